@@ -11,7 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 2 << 20
@@ -188,3 +189,9 @@ def saved(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="quire-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def text_key(text: Column) -> list[Column]:
+    """k1, k2: two independently seeded 64-bit hashes of the text (null as empty)."""
+    body = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body).alias("k2")]

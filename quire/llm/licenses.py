@@ -124,8 +124,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     phrase, else the best containment found, else 0)."""
     docs = flat.unclash(docs, (*OUTPUTS, "k1", "k2", "__w", "__p"))
     keep = docs.columns if keep is None else keep
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = [F.xxhash64(body).alias("k1"), F.xxhash64(body, F.lit(7)).alias("k2")]
+    keyed = flat.text_key(F.col(text))
     found = similar_blocks(docs.select(*keyed, F.col(text)), templates, threshold, text)
     found = found.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     # Only texts that hold the longest word of a phrase are searched for places; no other text can have one.

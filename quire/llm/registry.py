@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, urls
+from . import decontaminate, language, licenses, mixing, suffixes, urls
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_url_filter": urls.op3_url_filter,
+        "op4_suffix_dedup": suffixes.op4_suffix_dedup,
+        "op5_language_id": language.op5_language_id,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op10_license_scan": licenses.op10_license_scan,
     }
