@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, suffixes, urls
+from . import decontaminate, language, licenses, mixing, suffixes, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_language_id": language.op5_language_id,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": licenses.op10_license_scan,
     }
 
