@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, suffixes, toxicity, urls
+from . import decontaminate, language, licenses, mixing, neardup, suffixes, toxicity, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_url_filter": urls.op3_url_filter,
         "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_language_id": language.op5_language_id,
+        "op6_minhash_neardup": neardup.op6_minhash_neardup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": licenses.op10_license_scan,
