@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, neardup, suffixes, toxicity, urls
+from . import decontaminate, language, licenses, lmscore, mixing, neardup, suffixes, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_language_id": language.op5_language_id,
         "op6_minhash_neardup": neardup.op6_minhash_neardup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_lm_score": lmscore.op8_lm_score,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": licenses.op10_license_scan,
     }
