@@ -176,10 +176,9 @@ def binary_array(data: np.ndarray, offs: np.ndarray, kind=None) -> pa.Array:
     return pa.Array.from_buffers(kind or pa.binary(), len(offs) - 1, buffers)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``). Only a session
-    without that setting, as in tests, gets a folder of its own, in the warehouse's place."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The checkpoint folder that the cluster shares (``spark.checkpoint.dir``). Only a session without that
+    setting, as in tests, gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -188,6 +187,12 @@ def saved(df: DataFrame) -> DataFrame:
 
             shared = tempfile.mkdtemp(prefix="quire-checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, lmscore, mixing, neardup, suffixes, toxicity, urls
+from . import ann, decontaminate, language, licenses, lmscore, mixing, neardup, suffixes, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_ann": ann.op2_ann,
         "op3_url_filter": urls.op3_url_filter,
         "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_language_id": language.op5_language_id,
