@@ -191,9 +191,13 @@ def shared_folder(spark) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """A reliable checkpoint in the shared folder. The JVM is then asked to collect garbage, so that the shuffle
+    files of what the checkpoint replaces are removed now and not at the driver's next collection."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def text_key(text: Column) -> list[Column]:
