@@ -8,6 +8,8 @@ depend only on content, so they agree between tasks, runs and input sizes.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -190,14 +192,18 @@ def shared_folder(spark) -> str:
     return context.getCheckpointDir()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder. The JVM is then asked to collect garbage, so that the shuffle
-    files of what the checkpoint replaces are removed now and not at the driver's next collection."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    out = df.checkpoint()
+def release(spark) -> None:
+    """Let both runtimes drop what is no longer referenced, so that the shuffle files of finished steps are removed
+    now and not at the driver's next collection."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    release(df.sparkSession)
+    return df.checkpoint()
 
 
 def text_key(text: Column) -> list[Column]:
