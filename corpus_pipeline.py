@@ -8,6 +8,7 @@ are those of the operators.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +48,22 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+
+def _alone(stage):
+    @functools.wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        with flat.stage(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("benchmark_passages", benchmark_passages),
-    ("source_mix", source_mix),
+    ("language_id", _alone(language_id)),
+    ("near_duplicates", _alone(near_duplicates)),
+    ("repeated_passages", _alone(repeated_passages)),
+    ("benchmark_passages", _alone(benchmark_passages)),
+    ("source_mix", _alone(source_mix)),
 ]
 
 #: The first stage's model and the banded search are not SQL; tests hold run() against its stages one by one.

@@ -8,7 +8,10 @@ depend only on content, so they agree between tasks, runs and input sizes.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -199,11 +202,42 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_SAVED: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint()
+    """The frame written as a table to the shared folder and read again: its lineage ends there, any executor may be
+    lost, and (unlike a checkpoint, which keeps them referenced) the shuffle files behind it can go at once. The
+    tables are removed when the process ends, or by ``remove``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
+    if not _SAVED:
+        atexit.register(remove, spark, _SAVED)
+    _SAVED.append(path)
+    release(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark, paths: list[str]) -> None:
+    """Delete saved tables that nothing reads any more."""
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in paths:
+            where = hadoop.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
+    paths.clear()
+
+
+@contextlib.contextmanager
+def stage(spark, before: list[str] = []):  # noqa: B006  the list is the memory of the last stage
+    """Around a pipeline stage, whose input is written already: removes the tables that the last stage saved."""
+    remove(spark, before)
+    seen = len(_SAVED)
+    yield
+    before.extend(_SAVED[seen:])
 
 
 def text_key(text: Column) -> list[Column]:
