@@ -20,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Arrow batches of at most so many bytes: a task holds a batch in the JVM and in Python.
+BATCH = "8m"
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back to the system
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -143,6 +146,7 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], kernel, kee
     ``kernel`` is called once in a task and returns a function (bytes, offsets) -> one Arrow array per field.
     One narrow stage: no shuffle, and a lost task is simply run again."""
     keep = df.columns if keep is None else keep
+    shared_folder(df.sparkSession)
     need = [*keep, *([text] if text not in keep else [])]
     at, kept = need.index(text), len(keep)
     schema = T.StructType([df.schema[c] for c in keep] + fields)
@@ -185,6 +189,7 @@ def shared_folder(spark) -> str:
     """The checkpoint folder that the cluster shares (``spark.checkpoint.dir``). Only a session without that
     setting, as in tests, gets one of its own."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
