@@ -48,6 +48,8 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
 )
+#: The words before A-Z are lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 THRESHOLD = 0.85
 MAX_TEMPLATE_WORDS = 20_000
 OUTPUTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -82,7 +84,8 @@ def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
     of all pairs that reach the threshold. ``texts`` may repeat keys; equal keys must mean equal texts."""
     spark, sets = texts.sparkSession, _sets(templates)
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
-    words = F.regexp_extract_all(lowered(F.col(text)), F.lit(WORD), F.lit(0))
+    # Frequencies only order the words, so they may be counted on lower(), which is cheaper than A-Z alone.
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
     lit = lambda ws: F.array(*[F.lit(w) for w in ws] or [F.lit(None).cast("string")])
     df = dict(texts.select(F.explode(F.array_intersect(words, lit(vocabulary))).alias("w")).groupBy("w").count().collect())
     order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
@@ -97,9 +100,10 @@ def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
     if not rows:
         return texts.select(*key, F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     index = F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
-    lines = texts.select(*key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
+    # A text or line whose lower() holds no prefix word has none either; only others are cut into words.
+    lines = texts.filter(_holds(F.col(text), prefix)).select(*key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
     blocks = (
-        lines.select(*key, words_of("line").alias("w"))
+        lines.filter(_holds(F.col("line"), prefix)).select(*key, words_of("line").alias("w"))
         .filter((F.size("w") >= min(least)) & F.arrays_overlap("w", lit(sorted(prefix))))
         .select(*key, F.size(F.array_distinct("w")).alias("size"), F.array_intersect(lit(order), F.col("w")).alias("own"))
     )
@@ -115,6 +119,13 @@ def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
     return pairs.groupBy(*key, "label").agg(best.alias("containment"))
 
 
+def _holds(text: Column, words) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for word in sorted(words):
+        out |= F.contains(low, F.lit(word))
+    return out
+
+
 def words_of(column: str) -> Column:
     return F.regexp_extract_all(lowered(F.col(column)), F.lit(WORD), F.lit(0))
 
@@ -128,15 +139,14 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     found = similar_blocks(docs.select(*keyed, F.col(text)), templates, threshold, text)
     found = found.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     # Only texts that hold the longest word of a phrase are searched for places; no other text can have one.
-    rare = [max(p.split(" "), key=len) for p, _ in phrases]
-    low = lowered(F.col(text))
-    some = F.lit(False)
-    for word in sorted(set(rare)):
-        some |= F.contains(low, F.lit(word))
-    held = docs.select(*[f"`{c}`" for c in keep], *keyed, words_of(text).alias("__w"), some.alias("__some"))
+    some = _holds(F.col(text), {max(p.split(" "), key=len) for p, _ in phrases})
+    held = docs.select(
+        *[f"`{c}`" for c in keep], *keyed, F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE)), F.lit(0)).alias("__n"),
+        F.when(some, words_of(text)).alias("__w"),
+    )
     none = F.array().cast("array<int>")
-    places = F.struct(*[F.when(F.col("__some"), _places(F.col("__w"), p)).otherwise(none).alias(f"p{k}") for k, (p, _) in enumerate(phrases)])
-    held = held.select(*[f"`{c}`" for c in keep], "k1", "k2", F.size("__w").cast("long").alias("n_words"), places.alias("__p"))
+    places = F.struct(*[F.coalesce(_places(F.col("__w"), p), none).alias(f"p{k}") for k, (p, _) in enumerate(phrases)])
+    held = held.select(*[f"`{c}`" for c in keep], "k1", "k2", F.col("__n").cast("long").alias("n_words"), places.alias("__p"))
     each = [F.col(f"__p.p{k}") for k in range(len(phrases))]
     all_ = F.concat(*each)
     base = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(x) > 0, F.lit(label)) for x, (_, label) in zip(each, phrases)]), lambda x: x.isNotNull())))
