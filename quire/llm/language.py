@@ -32,6 +32,7 @@ SAMPLE = 300
 #: Scores of so many words that a task has met are kept for its next blocks.
 CACHE = 300_000
 ROUNDS = 3
+TRAIN_WORDS = 16_384
 MAX_LANGUAGES = 512
 LONGEST = 48
 PIECE = 10
@@ -168,10 +169,12 @@ def train(texts: list[str], langs: list[str], pieces: Pieces, rounds: int = ROUN
     lang = np.array([labels.index(x) for x in langs])[doc]
     weight = np.zeros((len(first), len(labels)))
     np.add.at(weight, (inverse, lang), 1.0)
-    lat = lattice(data, starts[first], ends[first], pieces)
     probs = np.full((pieces.n, len(labels)), 1.0 / pieces.n)
     for _ in range(rounds):
-        counts = expected_counts(lat, probs, weight) + 0.05
+        counts = np.full(probs.shape, 0.05)
+        for lo in range(0, len(first), TRAIN_WORDS):  # the lattice of a few words at a time
+            part = first[lo : lo + TRAIN_WORDS]
+            counts += expected_counts(lattice(data, starts[part], ends[part], pieces), probs, weight[lo : lo + TRAIN_WORDS])
         probs = counts / counts.sum(0)
     share = np.bincount([labels.index(x) for x in langs], minlength=len(labels))
     return labels, np.vstack([probs, np.zeros(len(labels))]), np.log(share / share.sum())
