@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -204,6 +205,8 @@ def release(spark) -> None:
     """Let both runtimes drop what is no longer referenced, so that the shuffle files of finished steps are removed
     now and not at the driver's next collection."""
     gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # freed memory of the driver's Python goes back to the system
     spark.sparkContext._jvm.System.gc()
 
 
@@ -240,6 +243,7 @@ def remove(spark, paths: list[str]) -> None:
 def stage(spark, before: list[str] = []):  # noqa: B006  the list is the memory of the last stage
     """Around a pipeline stage, whose input is written already: removes the tables that the last stage saved."""
     remove(spark, before)
+    release(spark)
     seen = len(_SAVED)
     yield
     before.extend(_SAVED[seen:])

@@ -250,7 +250,10 @@ def fit(docs: DataFrame, training, text: str = "text", lang: str = "lang", sampl
     pieces = Pieces.read(vocabulary)
     if not rows:
         return pieces, [], np.zeros((pieces.n + 1, 0)), np.zeros(0)
-    return pieces, *train([r.text for r in rows], [r.lang for r in rows], pieces)
+    model = train([r.text for r in rows], [r.lang for r in rows], pieces)
+    del rows
+    flat.release(docs.sparkSession)
+    return pieces, *model
 
 
 def held_out(id_column: str, by: int, rest: int):
