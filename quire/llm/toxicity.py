@@ -84,7 +84,7 @@ class Index:
         self.n = len(weights)
         pad = -self.n % BLOCK
         w = np.vstack([weights, np.zeros((pad, weights.shape[1]))]).T
-        self.blocks = np.ascontiguousarray(w.reshape(w.shape[0], -1, BLOCK).transpose(1, 0, 2))
+        self.blocks = np.ascontiguousarray(w.reshape(w.shape[0], w.shape[1] // BLOCK, BLOCK).transpose(1, 0, 2))
         self.most = self.blocks.max(2).T.copy()
 
     def search(self, q: np.ndarray, k: int, skip: np.ndarray | None = None):
