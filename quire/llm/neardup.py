@@ -8,14 +8,17 @@ their mean is taken off), so the broadcast table never grows. Exact copies colla
 1. Each text draws ``bands * rows`` samples (shingle, level) by improved consistent weighted sampling; two texts
    agree on a sample with the probability of their weighted Jaccard similarity. The method's gamma and uniform
    variables come from seeded tables of 65,536 entries, looked up by shingle hash.
-2. Texts that agree on all rows of a band share a bucket. Buckets of up to ``SMALL`` texts give all their pairs. A
-   larger one gives each member's pairs with ``LEADERS`` members, and is split by further samples into finer
-   buckets (each member in ``EXTRA`` of them), level after level, which find the links between other members.
+2. Texts that agree on all rows of a band share a bucket. Buckets of up to ``SMALL`` texts give all their pairs, a
+   larger one each member's pairs with ``LEADERS`` members: these only make classes early (see 4).
 3. Pairs whose samples agree too rarely for the threshold are dropped (at 4 standard deviations). The others are
    verified by exact weighted Jaccard on whole texts: each text's best pair first, then all pairs that still join
    different classes, then in each large bucket every member with the member that agrees most with the others (the
    original of many edited copies is like each of them, where two copies may not be like each other).
-4. Classes are the connected components of verified links, by label propagation on DataFrames.
+4. Then every pair of a large bucket that is still in different classes is compared: the bucket is cut into blocks
+   of about ``BLOCK_ROWS`` texts, and each pair of blocks drops pairs by the rule of 3 and verifies the rest at once,
+   without a row for a pair. Two blocks of one class are not compared, so a group of copies costs what its
+   outsiders cost.
+5. Classes are the connected components of verified links, by label propagation on DataFrames.
 
 Classes are written as one row a document, never as pairs. Cases: null texts and texts without a word are classes of
 their own; equal texts are one class; the class id is the least doc_id in it (null only if all are). Empty tables
@@ -39,7 +42,10 @@ CELLS = 1 << 18
 CHUNK = 1 << 12
 SLOTS = 1 << 16
 GAIN = 0.25
-SMALL, LEADERS, EXTRA, LEVELS = 16, 2, 1, 1
+SMALL, LEADERS = 16, 2
+#: Blocks of large buckets: texts and bytes; texts and shingles of a piece that is compared at once.
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 22
+PIECE, UNITS = 128, 1 << 13
 #: Bits of the broadcast bitmap of nodes (8 MB), and of one of its rows (what Spark's bitmap functions fix).
 BITS, BITS_ROW = 1 << 26, 1 << 15
 
@@ -163,39 +169,25 @@ def similarities(sampler: Sampler, a, b, n: int = N) -> np.ndarray:
 
 
 def _candidates(texts: DataFrame, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, agree) with a < b: pairs of texts that share a bucket, and the number of samples they agree on; and the
-    members (key, node) of the first level's large buckets."""
-    samples = bands * rows
+    """(a, b, agree) with a < b: pairs of texts in small buckets and of members of large ones with their leaders, and
+    the number of samples they agree on; and the members (key, band, node) of large buckets."""
     band = lambda k: F.xxhash64(F.lit(k), *[F.get("sig", F.lit(k * rows + i)) for i in range(rows)])
-    # A member row carries the few samples that finer keys add, not all of them.
-    added = [F.get("sig", F.pmod((F.col("band") + 1) * rows + j, F.lit(samples))) for j in range(LEVELS * EXTRA)]
-    member = texts.select("node", "sig", F.posexplode(F.array(*[band(k) for k in range(bands)])).alias("band", "key"))
-    member = member.select("key", "node", F.array(*added).alias("added"))
-    found = []
-    for level in range(LEVELS + 1):
-        sizes = member.groupBy("key").agg(
-            F.count("*").alias("n"),
-            F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", "key", F.lit(j)).alias("h"), "node"))["node"] for j in range(LEADERS)])).alias("leaders"),
-        ).filter("n > 1")
-        held = member.join(sizes, "key")
-        held = flat.saved(held.select("key", "node", "n", "leaders", *(["added"] if level < LEVELS else [])))
-        small = held.filter(F.col("n") <= SMALL).select("key", "node")
-        found.append(small.join(small.withColumnRenamed("node", "other"), "key").filter("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        large = held.filter(F.col("n") > SMALL)
-        crowded = large.select("key", "node") if level == 0 else crowded
-        star = large.select("node", F.explode("leaders").alias("other")).filter("node != other")
-        found.append(star.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
-        if level == LEVELS or large.isEmpty():
-            break
-        finer = [F.xxhash64("key", F.lit(e), F.get("added", F.lit(e + level * EXTRA))) for e in range(EXTRA)]
-        member = large.select("node", "added", F.explode(F.array(*finer)).alias("key"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    member = texts.select("node", F.posexplode(F.array(*[band(k) for k in range(bands)])).alias("band", "key"))
+    # A text that leads in one band leads in most, so that few different pairs arise.
+    sizes = member.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node"))["node"] for j in range(LEADERS)])).alias("leaders"),
+    ).filter("n > 1")
+    held = flat.saved(member.join(sizes, "key").select("key", "band", "node", "n", "leaders"))
+    small = held.filter(F.col("n") <= SMALL).select("key", "node")
+    large = held.filter(F.col("n") > SMALL)
+    star = large.select("node", F.explode("leaders").alias("other")).filter("node != other")
+    pairs = small.join(small.withColumnRenamed("node", "other"), "key").filter("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = pairs.unionByName(star.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
     left = texts.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     right = texts.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", agree.alias("agree")), crowded
+    return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", agree.alias("agree")), large.select("key", "band", "node")
 
 
 def _likely(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -233,6 +225,112 @@ def _verified(pairs: DataFrame, keyed: DataFrame, sampler, similarity: float, n:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"]]))
 
 
+def _outsiders(crowded: DataFrame, texts: DataFrame, keyed: DataFrame, roots: DataFrame, sampler, similarity: float, n: int, least: float, rows: int) -> DataFrame:
+    """Verified links (a, b) between different classes of ``roots`` in the large buckets, from all their pairs; of the
+    links of two blocks only those that join classes anew."""
+    held = crowded.join(texts.select("node", "bytes"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = flat.saved(held)
+    parts = F.ceil(F.greatest(F.sum("n") / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    # A class beyond a block has blocks of its own; the other classes of a bucket share lot 0.
+    sizes = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    own = (F.col("n") > BLOCK_ROWS) | (F.col("bytes") > BLOCK_BYTES)
+    sizes = flat.saved(sizes.withColumn("lot", F.when(own, F.xxhash64("root")).otherwise(F.lit(0))))
+    lots = sizes.groupBy("key", "lot").agg(parts.alias("parts"), F.count("*").alias("classes"))
+    mixed = lots.groupBy("key").agg(F.sum("classes").alias("all")).filter(F.col("all") > 1).select("key")
+    lots = flat.saved(lots.join(mixed, "key"))
+    blocks = lots.select("key", "lot", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("i"))
+    blocks = blocks.select("key", "lot", F.xxhash64("lot", "i").alias("block"))
+    others = blocks.select("key", F.col("lot").alias("lot2"), F.col("block").alias("block2"))
+    faced = blocks.join(others, "key").filter((F.col("block") <= F.col("block2")) & ((F.col("lot") != F.col("lot2")) | (F.col("lot") == 0)))
+    faced = faced.select("key", F.col("block").alias("p"), F.col("block2").alias("q"))
+    faced = faced.withColumn("block", F.explode(F.array_distinct(F.array("p", "q"))))
+    placed = held.join(sizes.select("key", "root", "lot"), ["key", "root"]).join(lots.select("key", "lot", "parts"), ["key", "lot"])
+    place = F.pmod(F.xxhash64("node", F.lit(11)), F.greatest("parts", F.lit(1))).cast("int")
+    dealt = flat.saved(placed.withColumn("block", F.xxhash64("lot", place)).join(faced, ["key", "block"]).select("key", "band", "p", "q", "block", "node", "root"))
+    nodes = flat.saved(dealt.select("node").distinct())
+    bodies = _likely(keyed, nodes).join(nodes, "node").groupBy("node").agg(F.first("t").alias("t"))
+    bodies = flat.saved(bodies.join(texts.select("node", "sig"), "node"))
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _across_blocks(sampler.value, table, similarity, n, least, rows)
+        own = table["node"].combine_chunks()
+        return pa.table([own.take(pa.array(x, pa.int64())) for x in found], names=["a", "b"])
+
+    kind = dealt.schema["node"].dataType
+    return dealt.join(bodies, "node").groupBy("key", "p", "q").applyInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _across_blocks(sampler, table: pa.Table, similarity: float, n: int, least: float, rows: int):
+    """Row numbers (left, right) of links that join different classes of two blocks (or of one with itself)."""
+    many, band = len(table), table["band"][0].as_py()
+    sig = np.array(table["sig"].combine_chunks().flatten()).reshape(many, -1)
+    root = table["root"].combine_chunks()
+    label = np.unique(np.column_stack([np.array(root.field(k)) for k in range(2)]), axis=0, return_inverse=True)[1].ravel()
+    block, p, q = np.array(table["block"]), table["p"][0].as_py(), table["q"][0].as_py()
+    parts = []
+    for lo, data, offs in flat.text_blocks(table["t"].combine_chunks()):
+        doc, h, count = shingles(data, offs, n)
+        parts.append((doc + lo, h, count))
+    doc, h, count = (np.concatenate(x) for x in zip(*parts))
+    total = np.bincount(doc, sampler.weights(h, count), many)
+    # A shingle that a text holds c times is c units, so that common units add up to the lesser weight.
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc, weight = np.repeat(doc, count), np.repeat(sampler.weights(h, np.ones(len(h))), count)
+    unit = np.unique(flat.mix(np.repeat(h, count) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)[1]
+    shared = np.bincount(unit)[unit] > 1
+    doc, unit, weight = doc[shared], unit[shared], weight[shared]
+    first = np.searchsorted(doc, np.arange(many + 1))
+
+    def entries(own):
+        """(place in own, unit, weight) of the rows ``own``."""
+        size = first[own + 1] - first[own]
+        at = np.arange(size.sum()) + np.repeat(first[own] - np.cumsum(size) + size, size)
+        return np.repeat(np.arange(len(own)), size), unit[at], weight[at]
+
+    def common(left, right):
+        """Common weight of each left row with each right row."""
+        (d, u, w), (e, v, _) = entries(left), entries(right)
+        both = np.intersect1d(u, v)
+        out = np.zeros((len(left), len(right)))
+        keep, kept = np.isin(u, both), np.isin(v, both)
+        d, w, u, e, v = d[keep], w[keep], np.searchsorted(both, u[keep]), e[kept], np.searchsorted(both, v[kept])
+        for lo in range(0, len(both), UNITS):
+            x, y = np.zeros((len(left), UNITS)), np.zeros((len(right), UNITS))
+            here, there = (u >= lo) & (u < lo + UNITS), (v >= lo) & (v < lo + UNITS)
+            x[d[here], u[here] - lo] = w[here]
+            y[e[there], v[there] - lo] = 1
+            out += x @ y.T
+        return out
+
+    cut = lambda own: [own[lo : lo + PIECE] for lo in range(0, len(own), PIECE)]
+    left, right = cut(np.flatnonzero(block == p)), cut(np.flatnonzero(block == q))
+    ends = [], []
+    for i, a in enumerate(left):
+        for b in right[i if p == q else 0 :]:
+            open_ = label[a][:, None] != label[b]
+            if not open_.any():
+                continue
+            agree, earlier = np.zeros(open_.shape, np.int16), np.zeros(open_.shape, bool)
+            for k in range(sig.shape[1] // rows):
+                same = [sig[a, k * rows + r][:, None] == sig[b, k * rows + r] for r in range(rows)]
+                agree += sum(x.astype(np.int16) for x in same)
+                if k < band:  # such pairs meet in that band's bucket
+                    earlier |= np.logical_and.reduce(same)
+            open_ &= (agree >= least) & ~earlier
+            x, y = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if not len(x):
+                continue
+            a_, b_ = a[x], b[y]
+            both = common(a_, b_)
+            hit = open_[np.ix_(x, y)] & (both >= (similarity - 1e-12) * (total[a_][:, None] + total[b_] - both))
+            while (live := np.argwhere(hit & (label[a_][:, None] != label[b_]))).size:
+                u, v = a_[live[0][0]], b_[live[0][1]]
+                ends[0].append(u)
+                ends[1].append(v)
+                label[label == label[v]] = label[u]
+    return ends
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links (a, b): root is the least node of its component.
 
@@ -266,14 +364,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N
 
         def work(data, offs):
             drawn, some = s.draw(data, offs, n)
-            return [flat.lists(pa.array(drawn.ravel()), np.full(len(drawn), drawn.shape[1])), pa.array(some)]
+            return [flat.lists(pa.array(drawn.ravel()), np.full(len(drawn), drawn.shape[1])), pa.array(some), pa.array(np.diff(offs), pa.int64())]
 
         return work
 
-    fields = [T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("some", T.BooleanType())]
+    fields = [T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("some", T.BooleanType()), T.StructField("bytes", T.LongType())]
     signed = flat.map_texts(keyed, "t", fields, kernel, ["node", "key"]).filter("some")
     texts = flat.saved(
-        signed.groupBy("node").agg(F.min(F.struct(F.col("key").isNull(), F.col("key").alias("key")))["key"].alias("keeper"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+        signed.groupBy("node").agg(F.min(F.struct(F.col("key").isNull(), F.col("key").alias("key")))["key"].alias("keeper"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     )
     least = max(0.0, bands * rows * similarity - 4 * (bands * rows * similarity * (1 - similarity)) ** 0.5)
     pairs, crowded = _candidates(texts.select("node", "sig"), bands, rows)
@@ -304,6 +402,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N
     if not open_.isEmpty():
         links = flat.saved(links.unionByName(_verified(open_, keyed, sampler, similarity, n)))
         roots = components(links)
+    more = flat.saved(_outsiders(crowded, texts, keyed, roots, sampler, similarity, n, least, rows))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     return texts.select("node", "keeper", "copies"), roots
 
 

@@ -147,6 +147,26 @@ def test_near_duplicates(spark):
     assert neardup.keep_one(df).count() == 30
 
 
+def test_near_duplicates_in_a_crowded_bucket(spark):
+    """Pairs among many texts of one template, which are no copies of each other, against brute force."""
+    rng = np.random.default_rng(8)
+    template, texts = [f"t{i}" for i in range(400)], []
+    for k in range(70):
+        body = [f"o{k}x{i}" for i in range(60)]
+        for copy in range(2):
+            own = [f"c{k}x{copy}x{i}" for i in range(40)]
+            texts.append(" ".join(template + body + own))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # 396 + 60 of 536 shingles are common to a pair, 396 of 596 to others.
+    similar = [[len(x & y) / len(x | y) >= 0.8 for y in grams] for grams in [[{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]] for x in grams]
+    want = {i: min(j for j, s in enumerate(row) if s) for i, row in enumerate(similar)}
+    assert len(set(want.values())) == 70
+    found = neardup.class_of(df).select("node", "class_id")
+    got = {r.doc_id: r.class_id for r in df.withColumn("node", neardup.node_of(F.col("text"))).join(found, "node").collect()}
+    assert got == want
+
+
 def test_near_duplicates_hard_rows(docs, spark):
     kept = neardup.keep_one(docs).collect()
     words = [r for r in rows() if cut(r[1])]
