@@ -1,19 +1,18 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index, weighted votes.
 
 Examples: at most ``sample`` labelled texts a class (smallest by hash, over all labels that ``training`` admits,
-whole texts). Terms: words (A-Z lower-cased) and the first 4 and 5 bytes of longer words; the ``terms`` of largest
-chi-square against the label in the examples are kept, and their document frequencies are counted over all
-documents. A document's vector is (1 + ln tf) * ln((N + 1) / (df + 1)), of unit length.
+whole texts). Terms: words (A-Z lower-cased) and the first 4 and 5 bytes of longer words; every term of an example
+counts, with its document frequency over all documents. A document's vector is (1 + ln tf) * ln((N + 1) / (df + 1)),
+times how much the term tells about the label (``evidence_of``, never 0), of unit length over the examples' terms.
 
-Postings are cut into blocks of 64 examples, each with the largest weight of a term in the block. A query visits
-blocks by falling upper bound (sum of its weights times the blocks' maxima) and stops when the bound is below its
-``k``-th cosine, so the neighbours are exact. The vote is the neighbours' similarity-weighted share of toxic labels,
+A query's cosine with every example is summed from the postings of all its terms (those of common terms are stored
+as dense rows), so the neighbours are exact. The vote is the neighbours' similarity-weighted share of toxic labels,
 each class weighted back to its share of all training labels; a logistic curve fitted on leave-one-out votes of
 the examples makes it a probability. Neighbours and their cosines are the evidence.
 
-Index and vocabulary are bounded by ``sample`` and ``terms``, so their broadcast is too. Scoring is one narrow stage.
+Index and vocabulary hold the terms of at most 2 * ``sample`` texts, and so does their broadcast. Scoring is one narrow stage.
 
-Cases: a text without any kept term (null and empty too) gets the smoothed share of such examples that are toxic;
+Cases: a text without a term of any example (null and empty too) gets the smoothed share of such examples that are toxic;
 without labels of both classes every score is the smoothed prior. Null labels and ids teach nothing; ties go to the
 smaller example. Empty tables and repeated rows work; extra columns pass through, clashing names are renamed.
 """
@@ -30,9 +29,9 @@ from . import flat
 from .language import held_out
 
 SAMPLE = 1500
-TERMS = 768
 NEIGHBOURS = 15
-BLOCK = 64
+#: Weight of a term without evidence, and the chi-square up to which there is none.
+FLOOR, EVEN = 0.05, 10.83
 OUTPUTS = ("score", "predicted", "evidence")
 
 
@@ -68,48 +67,82 @@ class Vocabulary:
         return pair // len(self.hashes), pair % len(self.hashes), count
 
 
-def vectors(found, n: int, idf: np.ndarray) -> np.ndarray:
-    """Dense unit vectors of n documents (rows without a term are zero)."""
-    doc, term, count = found
-    out = np.zeros((n, len(idf)))
-    out[doc, term] = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt((out * out).sum(1, keepdims=True))
-    return np.divide(out, norm, out=out, where=norm > 0)
+class Rows:
+    """Sparse rows: the entries of row i are term[start[i]:start[i + 1]] and value[...]."""
 
+    def __init__(self, start, term, value, width: int):
+        self.start, self.term, self.value, self.width = start, term, value, width
+
+    def __len__(self):
+        return len(self.start) - 1
+
+    def cut(self, lo: int, hi: int) -> Rows:
+        a, b = self.start[lo], self.start[min(hi, len(self))]
+        return Rows(self.start[lo : hi + 1] - a, self.term[a:b], self.value[a:b], self.width)
+
+    def row_of(self):
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
 
-class Index:
-    """Postings of the examples: blocks[b] is terms x 64 weights, most[:, b] its maxima."""
 
-    def __init__(self, weights: np.ndarray):
-        self.n = len(weights)
-        pad = -self.n % BLOCK
-        w = np.vstack([weights, np.zeros((pad, weights.shape[1]))]).T
-        self.blocks = np.ascontiguousarray(w.reshape(w.shape[0], w.shape[1] // BLOCK, BLOCK).transpose(1, 0, 2))
-        self.most = self.blocks.max(2).T.copy()
+def sparse(dense: np.ndarray) -> Rows:
+    row, term = np.nonzero(dense)
+    return Rows(np.searchsorted(row, np.arange(len(dense) + 1)), term, dense[row, term], dense.shape[1])
 
-    def search(self, q: np.ndarray, k: int, skip: np.ndarray | None = None):
+
+def vectors(found, n: int, idf: np.ndarray) -> Rows:
+    """Unit vectors of n documents (rows without a term are empty)."""
+    doc, term, count = found
+    value = (1 + np.log(count)) * idf[term]
+    norm = np.sqrt(np.bincount(doc, value * value, n)) if len(doc) else np.ones(n)
+    return Rows(np.searchsorted(doc, np.arange(n + 1)), term, value / norm[doc], len(idf))
+
+
+class Index:
+    """Postings of the examples by term; terms in many examples have a dense row."""
+
+    def __init__(self, weights):
+        w = weights if isinstance(weights, Rows) else sparse(weights)
+        self.n = len(w)
+        order, row = np.argsort(w.term, kind="stable"), w.row_of()
+        self.example, self.value = row[order], w.value[order]
+        df = np.bincount(w.term, minlength=w.width)
+        self.first = np.concatenate([[0], np.cumsum(df)])
+        common = np.flatnonzero(df >= max(32, self.n // 32))
+        self.place = np.full(w.width, -1)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        at = self.place[w.term]
+        self.dense[at[at >= 0], row[at >= 0]] = w.value[at >= 0]
+
+    def cosines(self, q: Rows) -> np.ndarray:
+        row, at = q.row_of(), self.place[q.term]
+        common = at >= 0
+        x = np.zeros((len(q), len(self.dense)))
+        x[row[common], at[common]] = q.value[common]
+        out = x @ self.dense
+        row, term, value = row[~common], q.term[~common], q.value[~common]
+        size = self.first[term + 1] - self.first[term]
+        post = np.arange(size.sum()) + np.repeat(self.first[term] - np.cumsum(size) + size, size)
+        cell = np.repeat(row * self.n, size) + self.example[post]
+        return out + np.bincount(cell, np.repeat(value, size) * self.value[post], out.size).reshape(out.shape)
+
+    def search(self, q, k: int, skip: np.ndarray | None = None):
         """Ids and cosines of the k nearest examples of each row (-1 and 0 where there are fewer); ``skip`` holds
         an example that a row must not meet."""
+        q = q if isinstance(q, Rows) else sparse(q)
         top, ids = np.zeros((len(q), k)), np.full((len(q), k), -1)
-        bound = q @ self.most
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for r in range(order.shape[1]):
-            block = order[:, r]
-            best = bound[np.arange(len(q)), block]
-            live = np.flatnonzero((best > 0) & (best >= top[:, -1] - 1e-12))
-            if not len(live):
-                break
-            for b in np.unique(block[live]):
-                rows = live[block[live] == b]
-                score = q[rows] @ self.blocks[b]
-                name = np.broadcast_to(np.arange(b * BLOCK, (b + 1) * BLOCK), score.shape)
-                if skip is not None:
-                    score = np.where(name == skip[rows, None], 0.0, score)
-                score, name = np.hstack([top[rows], score]), np.hstack([ids[rows], name])
-                keep = np.lexsort((name, -np.round(score, 12)), axis=1)[:, :k]
-                top[rows] = np.take_along_axis(score, keep, 1)
-                ids[rows] = np.take_along_axis(name, keep, 1)
-        ids[top <= 0] = -1
+        for lo in range(0, len(q), 256):
+            score = self.cosines(q.cut(lo, lo + 256))
+            if skip is not None:
+                score[np.arange(len(score)), skip[lo : lo + 256]] = 0.0
+            rounded = np.round(score, 12)
+            least = np.partition(rounded, self.n - k, axis=1)[:, self.n - k, None] if self.n > k else 0.0
+            row, name = np.nonzero((rounded >= least) & (rounded > 0))
+            order = np.lexsort((name, -rounded[row, name], row))
+            row, name = row[order], name[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, name, nth = row[nth < k], name[nth < k], nth[nth < k]
+            top[lo + row, nth], ids[lo + row, nth] = score[row, name], name
         return ids, top
 
 
@@ -140,7 +173,7 @@ class Model:
         self.vocabulary, self.idf, self.weights, self.toxic, self.weight, self.names, self.prior = vocabulary, idf, weights, toxic, weight, names, prior
         self.curve, self.blank = np.array([1.0, 0.0]), prior
         if len(toxic) and 0 < toxic.mean() < 1:
-            some = weights.any(1)
+            some = np.diff(weights.start) > 0
             ids, top = Index(weights).search(weights, NEIGHBOURS, np.arange(len(toxic)))
             vote = votes(ids, top, toxic, weight, prior)
             if some.any():
@@ -149,8 +182,8 @@ class Model:
             self.blank = float(((w * toxic[~some]).sum() + 0.5 * prior) / (w.sum() + 0.5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, training, text="text", key="doc_id", label="toxic", sample=SAMPLE, terms=TERMS) -> Model:
-    """Collects at most ``sample`` texts a class, and one count a kept term."""
+def fit(docs: DataFrame, labels: DataFrame, training, text="text", key="doc_id", label="toxic", sample=SAMPLE) -> Model:
+    """Collects at most ``sample`` texts a class, and one count of each of their terms."""
     marks = labels.filter(training & F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
     marks = marks.distinct()
     sizes = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -164,38 +197,36 @@ def fit(docs: DataFrame, labels: DataFrame, training, text="text", key="doc_id",
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
     rows = rows.groupBy("key", "y").agg(F.min("text").alias("text")).orderBy("key", "y").collect()
     if not rows:
-        return Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0), [], prior)
+        return Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), sparse(np.zeros((0, 0))), np.zeros(0), np.zeros(0), [], prior)
     toxic = np.array([float(r.y) for r in rows])
     weight = np.where(toxic == 1, sizes.get(1, 0) / max(1, toxic.sum()), sizes.get(0, 0) / max(1, (1 - toxic).sum()))
     raw = [(r.text or "").encode() for r in rows]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    vocabulary = Vocabulary(choose_terms(data, offs, toxic, terms))
-    idf = document_frequencies(docs, vocabulary, text)
-    weights = vectors(vocabulary.counts(data, offs), len(rows), idf)
+    vocabulary = Vocabulary(np.unique(terms_of(data, offs)[1]))
+    found = vocabulary.counts(data, offs)
+    idf = document_frequencies(docs, vocabulary, text) * evidence_of(found, toxic, len(vocabulary.hashes))
+    weights = vectors(found, len(rows), idf)
+    del data, raw, found
+    flat.release(docs.sparkSession)
     return Model(vocabulary, idf, weights, toxic, weight / weight.mean(), [r.key for r in rows], prior)
 
 
-def choose_terms(data, offs, toxic, terms: int) -> np.ndarray:
-    """Hashes of the terms with the largest chi-square against the label, of those in 5 examples and beyond 10.83."""
-    doc, code = terms_of(data, offs)
+def evidence_of(found, toxic, terms: int) -> np.ndarray:
+    """Weight of each term by its chi-square against the label in the examples: nearly 1 for a telling term, and
+    ``FLOOR`` for one that says nothing or is too rare to say."""
+    doc, term, _ = found
     n, ones = len(toxic), toxic.sum()
-    if not len(code):
-        return np.zeros(0, np.uint64)
-    names, inverse = np.unique(code, return_inverse=True)
-    pair = np.unique(inverse * n + doc)
-    df = np.bincount(pair // n, minlength=len(names))
-    a = np.bincount(pair // n, toxic[pair % n], len(names))
+    df = np.bincount(term, minlength=terms)
     expected = df * ones / n
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (a - expected) ** 2 / (expected * (1 - ones / n) * (n - df))
-    chi = np.where((df >= 5) & np.isfinite(chi), chi, 0)
-    best = np.lexsort((names, -chi))[:terms]
-    return names[best[chi[best] > 10.83]]
+        chi = n * (np.bincount(term, toxic[doc], terms) - expected) ** 2 / (expected * (1 - ones / n) * (n - df))
+    chi = np.where(np.isfinite(chi), chi, 0)
+    return FLOOR + (1 - FLOOR) * np.maximum(0, 1 - EVEN / np.maximum(chi, EVEN))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
-    """idf of the kept terms over all documents: one row a task and term, then one a term."""
+    """idf of the vocabulary over all documents: one row a task and term, then one a term."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -209,11 +240,11 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) ->
         terms = np.append(np.flatnonzero(seen), -1)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(np.append(seen[seen > 0], n), pa.int64())], names=["term", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    by = {r.term: r.n for r in rows}
-    n = by.pop(-1, 0)
+    rows = docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # no objects: there is a row for each term
+    term, count = (rows[c].to_numpy() for c in ("term", "n"))
+    n = count[term < 0].sum()
     df = np.zeros(len(vocabulary.hashes))
-    df[list(by)] = list(by.values())
+    df[term[term >= 0]] = count[term >= 0]
     return np.log((n + 1) / (df + 1)) + 1e-3
 
 

@@ -301,6 +301,16 @@ def test_toxicity_hard_rows(docs, spark):
     assert toxicity.score(docs, blank).count() == len(rows()) and toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_meets_copies_of_examples(spark):
+    """Every text shares only rare terms with its own example, and that example comes first."""
+    data = [(i, f"rare{i}a rare{i}b {'bad' if i % 2 else 'good'}word") for i in range(20)]
+    data += [(100 + i, f"rare{i}b rare{i}a") for i in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, labels, F.lit(True))).collect()}
+    assert all(found[100 + i].evidence and found[100 + i].evidence[0].key == str(i) for i in range(20))
+
+
 def test_language_model(spark, docs):
     types, state = lmscore.fit(docs.filter("doc_id is null or doc_id % 3 != 1"))
     got = lmscore.score(docs, types, state, block=4000)
