@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
 A text is lower-cased (A-Z); its words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Base: places where the words of
-a phrase stand consecutively. Method: a block (a line) holds a template when at least ``threshold`` of the
-template's distinct words occur in it. Words are ordered by document frequency over all documents, rarest first;
+a phrase stand consecutively. Method: a block (a line, or a window of consecutive words of the text, wherever its lines end, as long as
+the template's words over ``threshold``) holds a template when at least ``threshold`` of the template's distinct
+words occur in it. Windows are only tried in texts of several lines that as a whole would hold the template. Words are ordered by document frequency over all documents, rarest first;
 a template that needs ``need`` of its ``size`` words must share one of its rarest ``size - need + 1`` with the
 block (prefix filter), the block must have ``need`` distinct words (length filter), and the words after the
 shared one must suffice on both sides (positional filter). What is left is verified on the whole sets, so the
@@ -80,7 +81,7 @@ def _places(w: Column, phrase: str) -> Column:
 
 
 def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text", key=("k1", "k2")) -> DataFrame:
-    """(key, label, containment): for each text and label the best containment of a template in a line of it,
+    """(key, label, containment): for each text and label the best containment of a template in a line or window of it,
     of all pairs that reach the threshold. ``texts`` may repeat keys; equal keys must mean equal texts."""
     spark, sets = texts.sparkSession, _sets(templates)
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
@@ -91,30 +92,43 @@ def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
     order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     rows, prefix, least = [], set(), []
+    spans = {k: math.ceil(len(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t)) / threshold - 1e-9) for k, (t, _) in enumerate(templates)}
     for k, label, ws in sets:
         ws = sorted(ws, key=rank.get)
         need = _need(len(ws), threshold)
         least.append(need)
         prefix.update(ws[: len(ws) - need + 1])
-        rows += [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(len(ws) - 1 - i).alias("after"), F.lit(need).alias("need"), lit(ws).alias("set")) for i, w in enumerate(ws[: len(ws) - need + 1])]
+        rows += [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(len(ws) - 1 - i).alias("after"), F.lit(need).alias("need"), F.lit(spans[k]).alias("span"), lit(ws).alias("set")) for i, w in enumerate(ws[: len(ws) - need + 1])]
     if not rows:
         return texts.select(*key, F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     index = F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
     # A text or line whose lower() holds no prefix word has none either; only others are cut into words.
-    lines = texts.filter(_holds(F.col(text), prefix)).select(*key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    blocks = (
-        lines.filter(_holds(F.col("line"), prefix)).select(*key, words_of("line").alias("w"))
-        .filter((F.size("w") >= min(least)) & F.arrays_overlap("w", lit(sorted(prefix))))
-        .select(*key, F.size(F.array_distinct("w")).alias("size"), F.array_intersect(lit(order), F.col("w")).alias("own"))
-    )
-    pairs = (
-        blocks.select(*key, "size", "own", F.posexplode("own").alias("at", "word"))
-        .join(index, "word")
-        .filter(F.col("size") >= F.col("need"))
-        .filter(1 + F.least(F.col("after"), F.size("own") - F.col("at") - 1) >= F.col("need"))
-        .withColumn("overlap", F.size(F.array_intersect("own", "set")))
-        .filter(F.col("overlap") >= F.col("need"))
-    )
+    some = texts.filter(_holds(F.col(text), prefix)).select(*key, F.coalesce(F.col(text), F.lit("")).alias("line"))
+    lines = some.select(*key, F.explode(F.split("line", "\n")).alias("line")).filter(_holds(F.col("line"), prefix))
+
+    def sets_of(blocks: DataFrame, *more: str) -> DataFrame:
+        cut = blocks.select(*key, *more, words_of("line").alias("w")).filter((F.size("w") >= min(least)) & F.arrays_overlap("w", lit(sorted(prefix))))
+        cut = cut.select(*key, *more, F.size(F.array_distinct("w")).alias("size"), F.array_intersect(lit(order), F.col("w")).alias("own"))
+        return (
+            cut.select(*key, *more, "size", "own", F.posexplode("own").alias("at", "word"))
+            .join(index, "word")
+            .filter(F.col("size") >= F.col("need"))
+            .filter(1 + F.least(F.col("after"), F.size("own") - F.col("at") - 1) >= F.col("need"))
+            .withColumn("overlap", F.size(F.array_intersect("own", "set")))
+            .filter(F.col("overlap") >= F.col("need"))
+        )
+
+    found = sets_of(lines).select(*key, "label", "set", "overlap")
+    # Whole texts of several lines: what holds no template as a whole has no window that does. One row a text.
+    whole = some.filter(F.contains("line", F.lit("\n"))).dropDuplicates([*key])
+    wide = sets_of(whole, "line").dropDuplicates([*key, "template"]).withColumn("w", words_of("line"))
+    places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda o: F.array_contains("set", o["x"]))
+    wide = wide.select(*key, "label", "need", "span", "set", places.alias("o"))
+    # A window begins at a word of the template and has no more of them than words.
+    inside = lambda s, j: F.filter(F.slice("o", j + 1, F.col("span")), lambda o: o["i"] < s["i"] + F.col("span"))
+    most = F.array_max(F.transform("o", lambda s, j: F.size(F.array_distinct(F.transform(inside(s, j), lambda o: o["x"])))))
+    wide = wide.withColumn("overlap", most).filter(F.col("overlap") >= F.col("need"))
+    pairs = found.unionByName(wide.select(*key, "label", "set", "overlap"))
     best = F.max(F.col("overlap").cast("double") / F.size("set"))
     return pairs.groupBy(*key, "label").agg(best.alias("containment"))
 

@@ -246,6 +246,18 @@ def test_url_filter_and_licenses_equal_sql(spark, docs):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_licenses_are_found(spark):
+    """Each template wrapped as in source headers, among other lines; not when its words are scattered."""
+    near, far = [], []
+    for words, label in licenses.TEMPLATES:
+        wrapped = [words.split()[i : i + 4] for i in range(0, len(words.split()), 4)]
+        near.append(("Some file\n\n" + "\n".join(" *  " + " ".join(w).capitalize() for w in wrapped) + "\n */\nint main", label))
+        far.append(("\n".join(" ".join([w, *["other"] * 30]) for w in words.split()), label))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(near + far)], "doc_id long, text string, want string")
+    for r in licenses.scan(df, phrases=(("no such phrase", "none"),)).collect():
+        assert (r.want in r.labels.split(",")) == (r.doc_id < len(near))
+
+
 # --- language, toxicity, language model, neighbours -------------------------------------------------------------
 
 
