@@ -3,8 +3,9 @@
 The host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path
 follows up to ``?``, ``#`` or the end; a url that is null or has no ``://`` has both empty. A rule (host, path,
 verdict) fits its host and all subdomains of it where the url's path starts with the rule's. Each distinct
-(host, path) is expanded into every suffix of its host at a label's edge, joined with the prefixes of its path of
-those lengths that some rule has. Expressions meet rules by an equi-join on the first 8 hex digits of their
+(host, path) is expanded into the suffixes of its host of as many labels as some rule's host has, joined with the
+prefixes of its path of those lengths that some rule has, so a host of any number of labels gives no more expressions
+than rules have shapes. Expressions meet rules by an equi-join on the first 8 hex digits of their
 SHA-256, then the whole digest is confirmed, and the longest fitting rule wins (of equals, block).
 
 Distinct (host, path) pairs are made first, with map-side aggregation, so a url or host that holds a third of
@@ -12,7 +13,8 @@ all rows is expanded once. Rules are broadcast while there are at most ``BROADCA
 sides shuffle on the hash prefix, where the rules' side has one row for a rule, so adaptive execution can split
 a hot expression.
 
-Cases: null and empty urls give empty host and path, no rule, and the default verdict. Repeated pages keep a row
+Cases: null and empty urls give empty host and path, no rule, and the default verdict. Hosts of thousands of labels
+and very long paths cost what their length does. Repeated pages keep a row
 each. Empty tables and an empty rule list work. Extra columns pass through; clashing names are renamed.
 """
 
@@ -56,12 +58,16 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return hashed_rules(t)
 
 
+def _labels(host: str) -> Column:
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
 def hashed_rules(rules: DataFrame) -> DataFrame:
     """From (h, p, v) rows of any number."""
     digest = F.sha2(F.concat("h", "p"), 256)
     return rules.select(
         F.concat("h", "p").alias("rule"), F.col("v").alias("rule_verdict"), F.length(F.concat("h", "p")).alias("rule_size"),
-        F.length("p").alias("plen"), digest.alias("rule_digest"), F.substring(digest, 1, 8).alias("short"),
+        F.length("p").alias("plen"), _labels("h").alias("labels"), digest.alias("rule_digest"), F.substring(digest, 1, 8).alias("short"),
     )
 
 
@@ -71,11 +77,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     keep = [f"`{c}`" for c in pages.columns]
     u = F.coalesce(F.col(url), F.lit(""))
     placed = pages.select(*keep, host_of(u).alias("host"), path_of(u).alias("path"))
-    sizes = [r.plen for r in rules.select("plen").distinct().collect()]  # at most one for each length of a path
+    # At most one for each length of a path and number of labels.
+    sizes, counts = ([r[0] for r in rules.select(c).distinct().collect()] for c in ("plen", "labels"))
     if rules.count() <= BROADCAST_RULES:
         rules = F.broadcast(rules)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.filter(F.array(*[F.when(_labels("host") >= k, F.substring_index("host", ".", -k)) for k in counts or [1]]), lambda s: s.isNotNull())
     fitting = F.filter(F.array(*[F.lit(x) for x in sizes] or [F.lit(0)]), lambda n: n <= F.length("path"))
     pairs = (
         placed.select("host", "path").distinct()
