@@ -4,7 +4,8 @@ Texts are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\
 its windows of ``n`` consecutive words; an item of fewer words, but not none, is one window of its own length.
 Every document window is hashed, the hash is looked up in the broadcast set, and a hit counts only after its
 words equal the item's. The windows are broadcast in blocks of at most ``max_windows``: a larger benchmark is
-scanned block after block in one narrow chain, so the broadcast is bounded whatever the benchmark's size.
+scanned block after block; each scan writes the hits of the distinct texts that have any, and its broadcast is
+removed before the next, so one block at a time is in memory whatever the benchmark's size.
 
 Cases: a null or empty text has no words and is clean. An item that is null or empty has no windows. Repeated
 items and rows count once per distinct ``item_id``; a null ``item_id`` reads as the empty string. Empty tables
@@ -130,36 +131,45 @@ def contamination(
     """Documents with ``n_words``, ``hits`` (byte spans of hit word runs, with their words) and ``items``
     (sorted ids, as strings, of the benchmark items that occur).
 
-    With more than ``max_windows`` windows the scan runs once for each block of them and the blocks' spans are
-    merged within the row, so every block's broadcast stays under the same bound."""
+    With more than ``max_windows`` windows the scan runs once for each block of them; the blocks' spans meet by the
+    hash of the text, are merged, and return to the documents by an equi-join with one row a text."""
     spark = docs.sparkSession
-    docs = flat.unclash(docs, OUTPUTS)
+    docs = flat.unclash(docs, (*OUTPUTS, "__k1", "__k2", "__h", "__i"))
     grams = benchmark_windows(benchmark, n, item_text, item)
     keep = docs.columns if keep is None else keep
     total = grams.count()
-    blocks = max(1, -(-total // max_windows))
-    if blocks > 1:
-        grams = flat.saved(grams.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(2 * blocks))))
-        blocks *= 2
-    out, carried = docs, []
+    if total <= max_windows:
+        return flat.map_texts(docs, text, _FIELDS, _scan(spark, grams)[1], keep)
+    blocks = -(-2 * total // max_windows)
+    grams = flat.saved(grams.withColumn("block", F.pmod(F.xxhash64("gram", "item"), F.lit(blocks))))
+    body = docs.select(*flat.text_key(F.col(text)), F.col(text).alias("t"))
+    parts = []
     for k in range(blocks):
-        part = grams if blocks == 1 else grams.filter(F.col("block") == k)
-        rows = [(r.gram.encode(), r.size, r.item) for r in part.select("gram", "size", "item").collect()]
-        held = spark.sparkContext.broadcast(_Windows(rows))
-        names = [f.name if blocks == 1 else f"__{f.name}_{k}" for f in _FIELDS]
-        fields = [T.StructField(x, f.dataType, f.nullable) for x, f in zip(names, _FIELDS)]
-        carry = [*docs.columns, *carried] if blocks > 1 else keep
-        out = flat.map_texts(out, text, fields, lambda held=held: _kernel(held), carry)
-        carried += names
-    if blocks == 1:
-        return out
-    every = lambda x: F.flatten(F.array(*[F.col(f"__{x}_{k}") for k in range(blocks)]))
-    return out.select(
-        *[f"`{c}`" for c in keep], F.col("__n_words_0").alias("n_words"), _merged(every("hits")).alias("hits"),
-        F.array_sort(F.array_distinct(every("items"))).alias("items"),
+        held, kernel = _scan(spark, grams.filter(F.col("block") == k))
+        found = flat.map_texts(body, "t", _FIELDS, kernel, ["k1", "k2"]).filter(F.size("hits") > 0)
+        parts.append(flat.saved(found.groupBy("k1", "k2").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))))
+        held.destroy()
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.unionByName(more)
+    both = both.groupBy("k1", "k2").agg(F.flatten(F.collect_list("hits")).alias("__h"), F.flatten(F.collect_list("items")).alias("__i"))
+    joined = docs.select(*[f"`{c}`" for c in {**dict.fromkeys(keep), text: None}], *[k.alias(f"__{k_}") for k, k_ in zip(flat.text_key(F.col(text)), ("k1", "k2"))])
+    joined = joined.join(both.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
+    none = F.array()
+    return joined.select(
+        *[f"`{c}`" for c in keep], F.coalesce(F.regexp_count(lowered(F.col(text)), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
+        _merged(F.coalesce("__h", none.cast(_FIELDS[1].dataType))).alias("hits"),
+        F.array_sort(F.array_distinct(F.coalesce("__i", none.cast("array<string>")))).alias("items"),
     )
 
 
+def _scan(spark, grams: DataFrame):
+    """(broadcast, kernel) of some windows."""
+    rows = [(r.gram.encode(), r.size, r.item) for r in grams.select("gram", "size", "item").collect()]
+    held = spark.sparkContext.broadcast(_Windows(rows))
+    return held, lambda: _kernel(held)
+
+
 def _merged(spans: Column) -> Column:
     """Union of spans from several blocks. Words per merged span are recounted by ``hit_words``."""
     item = "struct<start:bigint,end:bigint,n_words:bigint>"
