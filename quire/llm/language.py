@@ -4,15 +4,16 @@ Each language has a probability for every piece of a public byte-level vocabular
 parameter; every single byte is a piece, so every text has a segmentation). The probability of a word, with the
 space before it, is the sum over all its segmentations into pieces, computed by a forward algorithm; a text's is
 the product over its words. Piece probabilities come from expectation-maximisation (forward and backward) on a
-bounded sample of labelled texts: ``sample`` texts a language, the smallest by a hash, whole texts.
+bounded sample of labelled texts: ``sample`` different texts a language, the smallest by a hash, whole texts, of the
+``MAX_LANGUAGES`` labels with most texts (of equals the smaller labels).
 
 The forward pass runs over the distinct words of a block, all languages at once, so its cost follows distinct
 words. Prediction is one narrow stage; the model (pieces x languages) is a broadcast whose size is fixed by the
-vocabulary and the label set, at most ``MAX_LANGUAGES``.
+vocabulary and ``MAX_LANGUAGES``.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. Without labelled texts all others are
 ``und`` too. A null label teaches nothing. Ties go to the smaller label. Long words are scored in runs of
-``LONGEST`` bytes. Empty tables and repeated rows work; extra columns pass through, clashing names are renamed.
+``LONGEST`` bytes; all pieces of the vocabulary that such a run can hold are used. Empty tables and repeated rows work; extra columns pass through, clashing names are renamed.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ SAMPLE = 300
 CACHE = 300_000
 ROUNDS = 3
 TRAIN_WORDS = 16_384
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 256
 LONGEST = 48
-PIECE = 10
+#: Longer pieces fit no run of a word and the space before it.
+PIECE = LONGEST + 1
 OUTPUTS = ("lang_pred", "score")
 
 
@@ -54,7 +56,11 @@ class Pieces:
 
     @classmethod
     def read(cls, path: str = VOCABULARY) -> Pieces:
-        with open(path, "rb") as f:
+        try:
+            f = open(path, "rb")
+        except FileNotFoundError:
+            raise FileNotFoundError(f"the vocabulary {path} is missing on the driver; pass the path of a rank file as 'vocabulary'") from None
+        with f:
             return cls([base64.b64decode(line.split()[0]) for line in f if line.strip()])
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -184,10 +190,11 @@ def labelled_sample(docs: DataFrame, training, text: str, lang: str, sample: int
     """At most ``sample`` texts for each label: those of smallest hash, over all rows that ``training`` admits."""
     rows = docs.filter(training & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text", F.lit(11)))
-    # A cut by hash first: its bound is found from counts, so the window sorts about 4 * sample rows a label.
-    seen = rows.groupBy("lang").count()
-    rows = rows.join(F.broadcast(seen) if seen.count() <= MAX_LANGUAGES else seen, "lang")
+    # A cut by hash first: its bound is found from counts of different texts, so the window sorts about 4 * sample rows a label.
+    seen = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    rows = rows.join(F.broadcast(seen), "lang")
     rows = rows.filter((F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))) < F.lit(2.0 * sample + 50) / F.col("count"))
+    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     return rows.withColumn("n", nth).filter(F.col("n") <= sample).select("lang", "text")
 
