@@ -8,13 +8,16 @@ block of documents through the null space of two constraints, the word total and
 most two of them are fractions; those meet the other blocks' in the next round, and what the last block of a
 source leaves is the landing problem. Every move keeps each probability's expectation.
 
+Equal rows (of one hash over all columns) are one unit first: c of them with probability p give floor(c * p) certain
+ones and one fraction, a move that keeps both totals exactly, so a row that a third of a table repeats is one number.
 Blocks are dealt by hash within a source, so a source that holds a third of all rows is many blocks of about
 ``block`` documents; rounds shrink the rest by ``block / 2`` each. Within a block large documents land first
 (each against all smaller ones at once), so only the smallest are left; the last block of a
 source is drawn ``LANDINGS`` times and the draw nearest to its expected words stays (rejective sampling).
 
+Sources are few against documents: their table (one row each) is sorted in one task, millions of them fit.
 Cases: a null text has size 0 and takes nothing; a null source is a source of its own, the last; sources
-without any word have target 0; an empty table gives no rows. Equal rows are decided one by one. Draws depend
+without any word have target 0; an empty table gives no rows. Equal rows share what their unit takes as evenly as may be. Draws depend
 on content and ``seed`` alone, so reruns agree. Extra columns pass through ``mix``; clashing names are renamed.
 """
 
@@ -34,15 +37,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 100_000
 #: A source's last block is drawn so often, and the draw whose words come nearest to their expectation stays.
 LANDINGS = 16
+#: Copies of one row beyond so many are written by several tasks.
+SPREAD = 4096
 OUTPUTS = ("size", "source_size", "target", "copies", "taken")
+_INNER = ("sid", "n_units", "h", "p", "block", "blocks", "row", "rows", "left", "__own", "__source", "__i", "__lo")
 _EPS = 1e-9
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = 3) -> DataFrame:
-    """One row per source: sid (its rank), n_docs, source_size, target. Input: source, size.
+    """One row per source: sid (its rank), n_units, source_size, target. Input: source, size, rows (units of equal rows).
 
     The windows run over this table of one row per source, not over documents."""
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    s = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n_units"))
     everything = Window.orderBy(F.col("source").isNull(), "source")
     s = s.withColumn("sid", F.row_number().over(everything) - 1)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.col("sid"), F.lit(len(weights))) + 1)
@@ -58,7 +64,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = 3) -> DataFrame
         .withColumn("level", F.max(F.when(F.col("k") == F.col("first"), F.col("level"))).over(whole))
     )
     target = F.least(F.col("most").cast("double"), F.col("level") * F.col("w"))
-    return s.select("source", "sid", "n_docs", "source_size", target.alias("target"))
+    return s.select("source", "sid", "n_units", "source_size", target.alias("target"))
 
 
 def flight(z: np.ndarray, p: np.ndarray, rng) -> np.ndarray:
@@ -129,25 +135,35 @@ def _fly(seed: int, turn: int):
     return run
 
 
-def copies(docs: DataFrame, text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = 3, block: int = 1024, seed: int = 1) -> DataFrame:
-    """The documents' columns but the text, with size, source_size, target, copies (how often the mix takes the
-    document) and taken (copies * size), all long but target."""
-    docs = flat.unclash(docs, (*OUTPUTS, "sid", "n_docs", "h", "p", "block", "blocks"))
+def _hash(docs: DataFrame, seed: int):
+    """Hash of a whole row. xxhash64 takes no maps; rows that differ in those columns alone count as equal."""
+    plain = [f"`{c}`" for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*plain, F.lit(seed))
+
+
+def _spread(df: DataFrame, many: str, name: str) -> DataFrame:
+    """Each row ``many`` times, numbered from 0 in ``name``; beyond ``SPREAD`` times by several tasks."""
+    few = df.filter(F.col(many).between(1, SPREAD)).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1)))
+    lots = df.filter(F.col(many) > SPREAD).withColumn("__lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1, F.lit(SPREAD))))
+    lots = lots.repartition("h", "__lo").withColumn(name, F.explode(F.sequence("__lo", F.least(F.col("__lo") + SPREAD, F.col(many)) - 1)))
+    return few.unionByName(lots.drop("__lo"))
+
+
+def _units(docs: DataFrame, text: str, source: str, weights, cap: int, block: int, seed: int) -> DataFrame:
+    """One row for equal rows: h, row (their columns but the text), rows (how many), size, source_size, target and
+    taken, how often the mix takes all of them together."""
     rest = [c for c in docs.columns if c != text]
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    # xxhash64 takes no maps; those columns only lose their say in the order of otherwise equal documents.
-    plain = [f"`{c}`" for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
-    sized = flat.saved(docs.select(*[f"`{c}`" for c in rest], size.alias("size"), F.xxhash64(*plain, F.lit(seed)).alias("h")))
-    targets = flat.saved(source_targets(sized.select(F.col(source).alias("source"), "size"), weights, cap).withColumnRenamed("source", "__source"))
+    units = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(source).alias("__own"), size.alias("size"), _hash(docs, seed).alias("h"))
+    units = flat.saved(units.groupBy("h").agg(F.first("row").alias("row"), F.first("__own").alias("__own"), F.first("size").alias("size"), F.count("*").alias("rows")))
+    targets = flat.saved(source_targets(units.select(F.col("__own").alias("source"), "size", "rows"), weights, cap).withColumnRenamed("source", "__source"))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    work = (
-        sized.join(targets, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-        .withColumn("copies", F.floor(share + _EPS).cast("long"))
-        .withColumn("p", F.greatest(share - F.col("copies"), F.lit(0.0)))
-        .withColumn("left", F.col("n_docs"))
-    )
+    every = F.floor(share + _EPS).cast("long")  # copies of each row that are certain
+    left = F.greatest(share - every, F.lit(0.0)) * F.col("rows")
+    work = units.join(targets, F.col("__own").eqNullSafe(F.col("__source"))).drop("__source", "__own")
+    work = work.withColumn("taken", every * F.col("rows") + F.floor(left + _EPS).cast("long")).withColumn("p", F.greatest(left - F.floor(left + _EPS), F.lit(0.0))).withColumn("left", F.col("n_units"))
     done, turn = [], 0
     while True:
         blocks = F.ceil(F.col("left") / block).cast("long")
@@ -162,26 +178,31 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", weights=
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    n = (F.col("copies") + F.col("p").cast("long")).alias("copies")
-    return out.select(*[f"`{c}`" for c in rest], "h", "size", "source_size", "target", n).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("h", "row", "rows", "size", "source_size", "target", (F.col("taken") + F.col("p").cast("long")).alias("taken"))
+
+
+def copies(docs: DataFrame, text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = 3, block: int = 1024, seed: int = 1) -> DataFrame:
+    """The documents' columns but the text, with size, source_size, target, copies (how often the mix takes the
+    document) and taken (copies * size), all long but target."""
+    docs = flat.unclash(docs, (*OUTPUTS, *_INNER))
+    rest = [c for c in docs.columns if c != text]
+    units = _spread(_units(docs, text, source, weights, cap, block, seed), "rows", "__i")
+    upto = lambda i: F.expr(f"({i} * taken) div rows")
+    units = units.withColumn("copies", upto("(__i + 1)") - upto("__i"))
+    out = units.select(*[F.col("row")[c].alias(c) for c in rest], "h", "size", "source_size", "target", "copies")
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", seed: int = 1, **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = 3, block: int = 1024, seed: int = 1) -> DataFrame:
     """The mix itself: the documents' own columns, every document as often as it is taken, with ``copy`` from 1.
 
-    Texts join their decision by the hash of the whole row; equal rows share theirs by adding up, which takes
-    the same words."""
-    docs = flat.unclash(docs, ("copy",))
-    plain = [f"`{c}`" for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
-    taken = copies(docs, text, source, seed=seed, **options).groupBy("h").agg(F.sum("copies").alias("__n"), F.count("*").alias("__rows"))
-    key = F.xxhash64(*plain, F.lit(seed))
-    joined = docs.withColumn("__h", key).join(taken.filter("__n > 0").withColumnRenamed("h", "__h"), "__h")
-    # Of equal rows each gives its share of the copies: together __n.
-    nth = F.when(F.col("__rows") == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("__h").orderBy("__rows")) - 1)
-    one = joined.filter("__rows = 1").withColumn("__k", F.col("__n"))
-    many = joined.filter("__rows > 1").withColumn("__i", nth).withColumn("__k", F.floor((F.col("__i") + 1) * F.col("__n") / F.col("__rows")) - F.floor(F.col("__i") * F.col("__n") / F.col("__rows"))).drop("__i")
-    out = one.unionByName(many).filter("__k > 0")
-    return out.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__k"))).alias("copy"))
+    Equal rows become one before their text moves, and it meets its decision by the hash of the whole row."""
+    docs = flat.unclash(docs, ("copy", *_INNER))
+    taken = _units(docs, text, source, weights, cap, block, seed).select("h", "rows", "taken").filter("taken > 0")
+    whole = docs.select(_hash(docs, seed).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = whole.groupBy("h").agg(F.first("row").alias("row"))
+    out = _spread(whole.join(taken, "h"), "taken", "__i")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.expr("__i div rows + 1").alias("copy"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
