@@ -14,8 +14,9 @@ blocks. The model is broadcast; its size depends on dimensions and parts alone.
 
 Distance is Euclidean in double precision on the original vectors; ties go to the smaller id. Cases: vectors that
 are null, empty, zero, of another length than most, or hold null or non-finite components take no part; null ids
-neither. Fewer than ten candidates give fewer rows. Repeated rows are candidates of their own, but a query never
-meets its own id. Empty tables give no rows. Extra columns are not read.
+neither. Fewer than ten candidates give fewer rows; a query whose parts hold too few is asked again in all parts.
+Every row is a query or a candidate of its own, those of a repeated id or vector too: only a query's own row is none
+of its candidates. Empty tables give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     dims, n = sizes[0].d, sizes[0]["count"]
     base = base.filter(F.size("v") == dims)
     share = (F.shiftrightunsigned(F.xxhash64("id", F.lit(31)), 1) / F.lit(float(1 << 63))) < min(1.0, 1.3 * sample / n + 0.01)
-    picked = base.filter(share).select("v", F.xxhash64("id", F.lit(31)).alias("h")).orderBy("h").limit(sample).select("v").toArrow()
+    picked = base.filter(share).select("v", F.xxhash64("id", "v", F.lit(31)).alias("h")).orderBy("h").limit(sample).select("v").toArrow()
     x = picked["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
     parts = int(min(MAX_PARTS, max(1, n // rows_a_part), max(1, len(x) // 32)))
     router, probes = fit(x, parts, aim, k)
@@ -183,41 +184,56 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
                 order = np.zeros((len(v), 1), np.int64)
             else:
                 order = np.argsort(-held.value.probabilities(v), axis=1, kind="stable")[:, :probes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=["id", "v", "q", "parts"])
-
-    routed = flat.saved(base.mapInArrow(route, "id long, v array<double>, q boolean, parts array<int>"))
-    own = routed.select("id", "v", F.col("parts")[0].alias("part"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=["id", "v", "q", "row", "parts"])
+
+    # A number for every row, fixed by being written: ids and vectors may repeat.
+    routed = base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(route, "id long, v array<double>, q boolean, row long, parts array<int>")
+    routed = flat.saved(routed)
+    own = routed.select("id", "row", "v", F.col("parts")[0].alias("part"))
+    queries = routed.filter("q")
+    found = flat.saved(_ranked(own, queries.select("id", "row", "v", F.explode("parts").alias("part")), dims, k))
+    if probes < parts:
+        enough = found.filter(F.col("rank") == min(k, n - 1)).select("row")
+        short = flat.saved(queries.join(enough, "row", "left_anti"))
+        if not short.isEmpty():
+            wide = short.select("id", "row", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+            found = found.join(short.select("row"), "row", "left_anti").unionByName(_ranked(own, wide, dims, k))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(own: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
+    """(query_id, row, rank, vec_id, score): the k nearest of each asked row (id, row, v, part) among the rows of its
+    parts, in blocks of at most ``PIECE`` candidates and ``GROUP`` queries."""
     counts = own.groupBy("part").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    asked = routed.filter("q").select("id", "v", F.explode("parts").alias("part"))
     groups = asked.groupBy("part").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     sizes = F.broadcast(counts.join(groups, "part"))  # one row a part: at most MAX_PARTS
-    # Within a part rows are dealt by hash of id and vector, so equal ids or vectors alone never gather.
-    one = F.pmod(F.xxhash64("id", "v"), F.col("pieces")).cast("int")
-    mine = own.join(sizes, "part").select("id", "v", "part", one.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).toDF("xid", "xv", "xpart", "xpiece", "xgroup")
-    grp = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.col("groups")).cast("int")
-    theirs = asked.join(sizes, "part").select("id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), grp.alias("group"))
+    # Within a part rows are dealt by their numbers, so equal ids or vectors never gather.
+    one = F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int")
+    mine = own.join(sizes, "part").select("id", "row", "v", "part", one.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).toDF("xid", "xrow", "xv", "xpart", "xpiece", "xgroup")
+    grp = F.pmod(F.xxhash64("row", F.lit(1)), F.col("groups")).cast("int")
+    theirs = asked.join(sizes, "part").select("id", "row", "v", "part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), grp.alias("group"))
 
     def nearest(queries: pa.Table, found: pa.Table) -> pa.Table:
         if not len(queries) or not len(found):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q, x = (t.combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (queries["v"], found["xv"]))
-        qid, xid = queries["id"].to_numpy(), found["xid"].to_numpy()
+        qid, qrow, xid, xrow = (t.to_numpy() for t in (queries["id"], queries["row"], found["xid"], found["xrow"]))
         ids, far = [], []
         for lo in range(0, len(q), 64):
             d = distances(q[lo : lo + 64], x)
-            d[qid[lo : lo + 64, None] == xid] = np.inf
+            d[qrow[lo : lo + 64, None] == xrow] = np.inf
             order = np.lexsort((np.broadcast_to(xid, d.shape), d), axis=1)[:, :k]
             far.append(np.take_along_axis(d, order, 1))
             ids.append(xid[order])
         far, ids = np.vstack(far), np.vstack(ids)
         some = np.isfinite(far)
-        return pa.table({"query_id": pa.array(np.repeat(qid, some.sum(1))), "vec_id": pa.array(ids[some]), "score": pa.array(far[some])})
+        many = some.sum(1)
+        return pa.table({"query_id": pa.array(np.repeat(qid, many)), "row": pa.array(np.repeat(qrow, many)), "vec_id": pa.array(ids[some]), "score": pa.array(far[some])})
 
     keys = ["part", "piece", "group"]
-    pairs = theirs.groupBy(*keys).cogroup(mine.groupBy(*[f"x{c}" for c in keys])).applyInArrow(nearest, "query_id long, vec_id long, score double")
-    # A query id of several rows is one query: its least distance to a candidate counts, once for each row of it.
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = theirs.groupBy(*keys).cogroup(mine.groupBy(*[f"x{c}" for c in keys])).applyInArrow(nearest, "query_id long, row long, vec_id long, score double")
+    best = Window.partitionBy("row").orderBy("score", "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "row", "rank", "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

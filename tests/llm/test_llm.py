@@ -216,6 +216,16 @@ def test_mixing_hard_rows(docs, spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_of_many_equal_rows(spark):
+    df = spark.range(9000).select(F.when(F.col("id") < 6000, F.lit(-1)).otherwise(F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.lit("w w w").alias("text"))
+    df = df.unionByName(df.filter("doc_id > 0").withColumn("source", F.lit("b")).limit(700))
+    got = mixing.copies(df, block=64).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("copies").alias("most"), F.min("copies").alias("least"), F.max("target").alias("target")).collect()
+    assert sum(r.n for r in got) == 9700 and all(r.most - r.least <= 1 for r in got)
+    for s in "ab":
+        assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 3
+    assert mixing.mix(df, block=64).count() * 3 == sum(r.taken for r in got)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(5)
     z, p = np.sort(rng.pareto(1, 400) * 50)[::-1].round(), np.full(400, 0.37)
@@ -246,6 +256,14 @@ def test_url_filter_and_licenses_equal_sql(spark, docs):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_urls_of_many_labels(spark):
+    """A host of 20,000 labels costs what its length does."""
+    long_ = "a." * 20_000 + "example.org"
+    df = spark.createDataFrame([(1, f"http://{long_}/es/x"), (2, f"http://{long_}.org.net/es/x"), (3, "http://x.y" + "/en/1" * 9000)], "page_id long, url string")
+    got = {r.page_id: r.rule for r in urls.judge(df, urls.rule_table(spark)).collect()}
+    assert got == {1: "example.org/es/", 2: None, 3: None}
+
+
 def test_wrapped_licenses_are_found(spark):
     """Each template wrapped as in source headers, among other lines; not when its words are scattered."""
     near, far = [], []
@@ -292,6 +310,13 @@ def test_language_id(spark, docs):
     assert {r[pred] for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    """A column of ids as labels, and one text repeated."""
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit("x")).otherwise(F.col("id").cast("string")).alias("lang"), F.when(F.col("id") < 1900, F.lit("same words")).otherwise(F.concat(F.lit("other "), F.col("id"))).alias("text"))
+    got = Counter(r.lang for r in language.labelled_sample(df, F.lit(True), "text", "lang", 50).collect())
+    assert len(got) == language.MAX_LANGUAGES and got["x"] == 50
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(7)
     w = rng.random((300, 40)) * (rng.random((300, 40)) < 0.2)
@@ -362,6 +387,27 @@ def test_neighbours(spark):
     assert hit >= 0.9 * total
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Each row of a repeated id has a list of its own, with its twins among the candidates."""
+    rng = np.random.default_rng(9)
+    data = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(20)]
+    df = spark.createDataFrame(data + [data[0]] * 2, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 100 == 0, rows_a_part=2).collect()
+    x = np.array([v for _, v in data] + [data[0][1]] * 2)
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    best = sorted(zip(d.tolist()[1:], [*range(1, 20), 0, 0]))[:10]
+    assert sorted((r.rank, r.vec_id) for r in got) == sorted((k, i) for k, (_, i) in enumerate(best, 1) for _ in range(3))
+
+
+def test_neighbours_of_thin_parts(spark):
+    """A query whose parts hold fewer than ten rows meets all parts."""
+    rng = np.random.default_rng(10)
+    data = [(i + 1, [float(x) for x in rng.normal(size=2) * 0.1]) for i in range(600)] + [(0, [50.0, 50.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") == 0, rows_a_part=4, aim=0.0).collect()
+    assert sorted(r.rank for r in got) == list(range(1, 11))
+
+
 def test_neighbours_hard_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (100, [0.0, 2.0]), (None, [1.0, 1.0]), (9, []), (2, [1.0, 0.0])]
