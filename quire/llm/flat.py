@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1 << 20
+#: Blocks of kernels that hold many arrays of eight bytes for each byte of text.
+SMALL_BLOCK = 1 << 18
 #: Arrow batches of at most so many bytes: a task holds a batch in the JVM and in Python.
 BATCH = "8m"
 pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back to the system
@@ -161,7 +163,7 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], kernel, kee
                 new = [pa.concat_arrays([p[k] for p in parts]) for k in range(len(fields))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *new], names=names)
 
-    return df.select(*[f"`{c}`" for c in need]).mapInArrow(run, schema)
+    return df.select(*[f"`{c}`" for c in need]).mapInArrow(tidy(run), schema)
 
 
 def per_doc(doc: np.ndarray, n: int, weights=None) -> np.ndarray:
@@ -201,12 +203,30 @@ def shared_folder(spark) -> str:
     return context.getCheckpointDir()
 
 
+def trim() -> None:
+    """Freed memory of this Python process goes back to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """The kernel, giving freed memory back after every few batches and at its end: workers outlive their tasks."""
+
+    def inner(batches):
+        for k, out in enumerate(run(batches)):
+            yield out
+            if k % 4 == 3:
+                trim()
+        trim()
+
+    return inner
+
+
 def release(spark) -> None:
     """Let both runtimes drop what is no longer referenced, so that the shuffle files of finished steps are removed
     now and not at the driver's next collection."""
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)  # freed memory of the driver's Python goes back to the system
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

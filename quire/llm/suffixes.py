@@ -14,8 +14,9 @@ least hash in it), so equal windows meet under one key. Consecutive windows with
 3. Marked windows go back to all places of their segment, are merged in each text, and the text is cut.
 
 A minimiser with more than ``hot`` segments is split by the window's offset from its minimiser (equal windows have
-equal offsets), so no task sorts more than a share of a hot passage's neighbourhoods. Memory of a task is bounded by
-``CHUNK`` bytes of segments plus one group.
+equal offsets). Beyond ``hot * size`` segments every window is a piece of its own, dealt by its content too; such
+windows come sorted by their bytes (Spark sorts them, and spills), so repeats are neighbours and one row is held at a
+time. So no task holds more than ``CHUNK`` bytes of segments plus one group of at most about ``hot`` segments.
 
 Cases: texts under ``size`` bytes keep all; empty tables give no rows; repeated rows (same id, same text) are copies
 of each other, so texts of at least ``size`` bytes go entirely. Extra columns pass through; clashes are renamed.
@@ -153,7 +154,7 @@ def _places(size: int, gram: int):
     def run(batches):
         for batch in batches:
             k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for lo, data, offs in flat.text_blocks(batch.column(2)):
+            for lo, data, offs in flat.text_blocks(batch.column(2), flat.SMALL_BLOCK):
                 mh, ch, start, count, doc, _ = segments(data, offs, size, gram)
                 if len(mh):
                     rows = [mh.view(np.int64), ch.view(np.int64), k1[lo + doc], k2[lo + doc], start * 256 + count]
@@ -177,7 +178,14 @@ def _fetch(size: int, hot: int):
                         continue
                     data = np.frombuffer(raw[start : start + count + size - 1], np.uint8)
                     off = int(segments(data, np.array([0, len(data)]), size)[5][0])
-                    parts = min(size, -(-p["n"] // hot))
+                    if p["n"] > hot * size:  # one window a row: the piece is negative and says offset and content
+                        deal = int(-(-p["n"] // (hot * size)))
+                        sums = flat.prefix(data)
+                        codes = flat.span_hash(sums, np.arange(count), np.arange(count) + size) % np.uint64(deal)
+                        for k, code in enumerate(codes.tolist()):
+                            rows.append((p["mh"], p["ch"], -1 - (off - k) - size * code, k, p["copies"], raw[start + k : start + k + size]))
+                        continue
+                    parts = int(min(size, -(-p["n"] // hot)))
                     each = -(-size // parts)
                     k = 0
                     while k < count:  # windows k.. share a piece while their offsets (off - k) do
@@ -195,7 +203,11 @@ def _fetch(size: int, hot: int):
 
 def _mark(size: int):
     """Sort the suffixes of a partition's segments (in order of mh, piece), group after group, about CHUNK bytes at
-    a time; emit the marked windows of each segment."""
+    a time; emit the marked windows of each segment. Single windows (piece < 0) come in order of their bytes."""
+
+    def emit(rows):
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["mh", "ch", "a", "b"])
 
     def flush(held):
         contents = [h[4] for h in held]
@@ -210,14 +222,24 @@ def _mark(size: int):
             for a, b in zip(*_runs(own)):
                 rows.append((mh, ch, first + int(a), first + int(b)))
         if rows:
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["mh", "ch", "a", "b"])
+            yield emit(rows)
 
     def run(batches):
         held, total, group = [], 0, None
+        last, marked = None, True  # the window before, and whether it was emitted
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
+            single = []
             for mh, ch, piece, first, copies, raw in zip(*cols):
+                if piece < 0:
+                    same = last is not None and last[:2] == (mh, raw)
+                    if same and not marked:
+                        single.append((mh, *last[2:]))
+                    marked = same or copies > 1
+                    if marked:
+                        single.append((mh, ch, first, first + 1))
+                    last = mh, raw, ch, first, first + 1
+                    continue
                 if (mh, piece) != group:
                     if total >= CHUNK:
                         yield from flush(held)
@@ -225,6 +247,8 @@ def _mark(size: int):
                     group = (mh, piece)
                 held.append((mh, ch, first, copies, raw))
                 total += len(raw)
+            if single:
+                yield emit(single)
         if held:
             yield from flush(held)
 
@@ -238,8 +262,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", size: int = SIZE, gram:
     """(k1, k2, spans): for each distinct text with repeats, by ``flat.text_key``, the byte spans [s, e) of its
     repeated windows (sorted, they may overlap)."""
     keyed = docs.select(*flat.text_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.octet_length("t") >= size)
-    places = keyed.mapInArrow(_places(size, gram), _PLACES)
+    places = keyed.mapInArrow(flat.tidy(_places(size, gram)), _PLACES)
     shared = places.groupBy("mh").agg(F.count("*").alias("n"), (F.min("ch") == F.max("ch")).alias("alike")).filter("n > 1")
+    shared = flat.saved(shared)  # a side of its own, so that adaptive execution can split a hot minimiser of the other
     found = flat.saved(places.join(shared, "mh"))
     alike = found.filter("alike").select("k1", "k2", F.expr("loc div 256").alias("s"), (F.expr("loc div 256") + F.col("loc") % 256 + (size - 1)).alias("e"))
     mixed = found.filter("not alike")
@@ -247,9 +272,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", size: int = SIZE, gram:
     picks = picks.groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("mh", "ch", "copies", "n", "r.loc")).alias("picks"))
     one = keyed.groupBy("k1", "k2").agg(F.first("t").alias("t"))
     sent = one.join(picks, ["k1", "k2"]).select(F.col("t").cast("binary").alias("t"), "picks").mapInArrow(
-        _fetch(size, hot), "mh long, ch long, piece long, at long, copies long, bytes binary"
+        flat.tidy(_fetch(size, hot)), "mh long, ch long, piece long, at long, copies long, bytes binary"
     )
-    marks = sent.repartition("mh", "piece").sortWithinPartitions("mh", "piece").mapInArrow(_mark(size), "mh long, ch long, a long, b long")
+    order = ["mh", "piece", F.when(F.col("piece") < 0, F.col("bytes"))]
+    marks = sent.repartition("mh", "piece").sortWithinPartitions(*order).mapInArrow(flat.tidy(_mark(size)), "mh long, ch long, a long, b long")
     start = F.expr("loc div 256")
     several = mixed.join(marks, ["mh", "ch"]).select("k1", "k2", (start + F.col("a")).alias("s"), (start + F.col("b") + (size - 1)).alias("e"))
     return alike.unionByName(several).distinct().groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
@@ -266,9 +292,18 @@ def _covered(data, offs, lists_: pa.Array):
     return np.cumsum(cover)[:-1] > 0
 
 
-def without_repeats(docs: DataFrame, text: str = "text", kept: str = "text", **options) -> DataFrame:
+def _whole(data: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The mask with every character that it covers in part covered entirely (texts are UTF-8, which starts anew in
+    every text)."""
+    char = np.cumsum((data & 0xC0) != 0x80) - 1
+    hit = np.zeros(char[-1] + 1 if len(char) else 0, bool)
+    hit[char[mask]] = True
+    return hit[char]
+
+
+def without_repeats(docs: DataFrame, text: str = "text", whole: bool = False, **options) -> DataFrame:
     """The documents with ``removed``, the byte spans cut out (maximal, sorted), and ``kept``, the bytes that are left
-    (binary). Texts meet their spans by an equi-join whose span side has one row for each distinct text."""
+    (binary); with ``whole``, characters that a cut would split go entirely. Texts meet their spans by an equi-join whose span side has one row for each distinct text."""
     docs = flat.unclash(docs, ("k1", "k2", "spans", "removed", "kept"))
     spans = repeated_spans(docs, text, **options)
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
@@ -281,8 +316,9 @@ def without_repeats(docs: DataFrame, text: str = "text", kept: str = "text", **o
     def run(batches):
         for batch in batches:
             gone, left = [], []
-            for lo, data, offs in flat.text_blocks(batch.column(at)):
+            for lo, data, offs in flat.text_blocks(batch.column(at), flat.SMALL_BLOCK):
                 mask = _covered(data, offs, batch.column(last).slice(lo, len(offs) - 1))
+                mask = _whole(data, mask) if whole else mask
                 begin, end = mask.copy(), mask.copy()
                 inner = np.zeros(len(data), bool)  # the byte before belongs to the same text
                 inner[1:] = True
@@ -297,16 +333,16 @@ def without_repeats(docs: DataFrame, text: str = "text", kept: str = "text", **o
             if gone:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.concat_arrays(gone), pa.concat_arrays(left)], schema=None, names=[f.name for f in schema])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(flat.tidy(run), schema)
 
 
 def dedup_spans(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents' own columns, their texts without repeated spans (a character cut in half goes entirely).
     Documents without any repeat stay as they are; one of which nothing is left is dropped."""
     columns = docs.columns
-    found = without_repeats(docs, text, **options)
+    found = without_repeats(docs, text, whole=True, **options)
     at = found.columns[columns.index(text)]
-    clean = F.when(F.size("removed") == 0, F.col(at)).otherwise(F.regexp_replace(F.decode(F.make_valid_utf8(F.col("kept").cast("string")).cast("binary"), "UTF-8"), "�", ""))
+    clean = F.when(F.size("removed") == 0, F.col(at)).otherwise(F.col("kept").cast("string"))
     out = found.filter((F.size("removed") == 0) | (F.octet_length("kept") > 0)).withColumn(at, clean)
     return out.select(*[f"`{c}`" for c in found.columns[: len(columns)]]).toDF(*columns)
 

@@ -86,7 +86,7 @@ def test_decontamination_removes(docs, benchmark, spark):
 # --- suffixes ---------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
+@pytest.mark.parametrize("hot", [4096, 1, 0.02])
 def test_suffix_dedup_equals_brute_force(spark, hot):
     rng = np.random.default_rng(1)
     word = ["ab", "é", "cd ", "日本", "zz", "\n", "q"]
@@ -101,6 +101,14 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
     assert got == dict(enumerate(suffixes.brute_force(texts)))
 
 
+def test_suffix_dedup_keeps_characters(spark):
+    """What a cut splits goes entirely; genuine replacement characters stay."""
+    shared = "é" * 150
+    df = spark.createDataFrame([(1, "keep \ufffd keep " + shared + "ü one"), (2, "a" + shared + "ê two \ufffd"), (3, "\ufffd")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffixes.dedup_spans(df).collect()}
+    assert got == {1: "keep \ufffd keep ü one", 2: "aê two \ufffd", 3: "\ufffd"}
+
+
 def test_two_stage_order():
     rng = np.random.default_rng(2)
     for k in range(20):
