@@ -19,11 +19,15 @@ from quire.llm import decontaminate, flat, language, mixing, neardup, suffixes
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (null, or no letter); the others keep all columns. The model learns from
-    the labelled documents it gets, all of them being admitted to its bounded sample."""
+    the labelled documents it gets, all of them being admitted to its bounded sample; where none has a label, every
+    document with a letter stays."""
     columns = docs.columns
     model = language.fit(docs, F.lit(True))
     found = language.identify(docs, model)
-    return found.filter(F.col("lang_pred") != "und").select(*[f"`{c}`" for c in found.columns[: len(columns)]]).toDF(*columns)
+    stays = F.col("lang_pred") != "und"
+    if not model[1]:
+        stays |= F.coalesce(F.col(found.columns[columns.index("text")]).rlike(r"\p{L}"), F.lit(False))
+    return found.filter(stays).select(*[f"`{c}`" for c in found.columns[: len(columns)]]).toDF(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +52,6 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-
 def _alone(stage):
     @functools.wraps(stage)
     def run_stage(spark, docs, sf_dir):
