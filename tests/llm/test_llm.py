@@ -102,11 +102,11 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
 
 
 def test_suffix_dedup_keeps_characters(spark):
-    """What a cut splits goes entirely; genuine replacement characters stay."""
+    """What a cut splits goes entirely (the first byte of ü and ê is common); genuine replacement characters stay."""
     shared = "é" * 150
     df = spark.createDataFrame([(1, "keep \ufffd keep " + shared + "ü one"), (2, "a" + shared + "ê two \ufffd"), (3, "\ufffd")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in suffixes.dedup_spans(df).collect()}
-    assert got == {1: "keep \ufffd keep ü one", 2: "aê two \ufffd", 3: "\ufffd"}
+    assert got == {1: "keep \ufffd keep  one", 2: "a two \ufffd", 3: "\ufffd"}
 
 
 def test_two_stage_order():
