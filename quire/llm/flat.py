@@ -244,7 +244,15 @@ def saved(df: DataFrame) -> DataFrame:
     _SAVED.append(path)
     release(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table behind a frame that ``saved`` returned; nothing may read it any more."""
+    _SAVED.remove(df._quire_path)
+    remove(df.sparkSession, [df._quire_path])
 
 
 def remove(spark, paths: list[str]) -> None:

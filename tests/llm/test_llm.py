@@ -356,23 +356,73 @@ def test_toxicity_meets_copies_of_examples(spark):
     assert all(found[100 + i].evidence and found[100 + i].evidence[0].key == str(i) for i in range(20))
 
 
-def test_language_model(spark, docs):
-    types, state = lmscore.fit(docs.filter("doc_id is null or doc_id % 3 != 1"))
-    got = lmscore.score(docs, types, state, block=4000)
+def test_seating_follows_the_conditional_distribution():
+    """Tables of c customers against sums over all seatings."""
+    d, others, base = 0.6, 3.0, 0.2
+    weight = lambda sizes: math.prod((lmscore.STRENGTH + d * (others + j)) * base * math.prod(k - d for k in range(1, n)) for j, n in enumerate(sizes))
+
+    def seatings(c):
+        if c == 1:
+            return [[1]]
+        return [x for s in seatings(c - 1) for x in [*[[*s[:i], s[i] + 1, *s[i + 1 :]] for i in range(len(s))], [*s, 1]]]
+
+    for c in (2, 3, 6):
+        want = np.zeros(c + 1)
+        for s in seatings(c):
+            want[len(s)] += weight(s)
+        n = 40_000
+        got = lmscore.seat(np.full(n, c), d, np.full(n, others), np.full(n, base), flat.mix(np.arange(n, dtype=np.uint64)))
+        assert np.allclose(np.bincount(got.astype(int), minlength=c + 1) / n, want / want.sum(), atol=0.012)
+    many = lmscore.seat(np.array([65, 600, 40_000]), d, np.full(3, others), np.full(3, base), np.arange(3, dtype=np.uint64))
+    assert (many >= 1).all() and (many <= [65, 600, 40_000]).all()
+
+
+def unpacked(model):
+    """(word -> (count, parent probability, back-off), pair -> own part) of a model's buckets."""
+    words, own = {}, {}
+    for r in model.buckets.collect():
+        names, n, p0, back, code, part = lmscore.load(bytes(r.blob), "u8 i8 f4 f4 u8 f4")
+        words.update(zip(names.tolist(), zip(n.tolist(), p0.tolist(), back.tolist())))
+        own.update(zip(code.tolist(), part.tolist()))
+    return words, own
+
+
+@pytest.mark.parametrize("often", [4096, 3])
+def test_language_model(spark, docs, often):
+    model = lmscore.fit(docs.filter("doc_id is null or doc_id % 3 != 1"), bucket=3000, often=often)
+    assert (len(model.deal.split) > 0) == (often == 3)
+    got = lmscore.score(docs, model, block=4000)
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), ""]
-    counts = Counter(x for r in rows() if r[0] is None or r[0] % 3 != 1 for x in tokens(r[1]))
+    trained = [tokens(r[1]) for r in rows() if r[0] is None or r[0] % 3 != 1]
+    counts = Counter(x for t in trained for x in t)
     n, v = sum(counts.values()), len(counts)
+    words, own = unpacked(model)
+    code = lambda w: int(flat.span_hash(flat.prefix(np.frombuffer(w.encode(), np.uint8)), [0], [len(w.encode())])[0])
+    start, pair = int(lmscore.START), lambda w, u: int(lmscore.pair_hash(np.array([w], np.uint64), np.array([u], np.uint64))[0])
+    pairs = Counter((u, w) for t in trained for u, w in zip([None, *t], t))
+    assert own.keys() == {pair(code(w), start if u is None else code(u)) for (u, w), c in pairs.items() if c > 1}
+    assert {w: words[code(w)][0] for w in counts} == counts
+
+    def chance(w, u):
+        _, p0, _ = words[code(w)] if w in counts else (0, model.new * model.others, 1.0)
+        return own.get(pair(code(w), u), 0.0) + words.get(u, (0, 0, 1.0))[2] * p0
+
+    for u in [start, code("the"), code("cat"), code("w1x1"), 77]:  # every context sums to one
+        assert math.isclose(sum(chance(w, u) for w in counts) + words.get(u, (0, 0, 1.0))[2] * model.new * model.others, 1.0, rel_tol=1e-4)
     at = {c: got.columns.index(c, 8) for c in lmscore.OUTPUTS}
     found = got.collect()
     assert len(found) == len(rows())
     for r in found:
-        own = tokens(r.text)
-        assert (r[at["n_tokens"]], r[at["n_known"]], r[at["train_tokens"]]) == (len(own), sum(counts[x] > 0 for x in own), n)
-        assert math.isclose(r[at["base_score"]], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in own), rel_tol=1e-9)
-        assert r[at["score"]] < 0 and r[at["spelled_score"]] <= r[at["score"]] + 1e-9
-    assert lmscore.score(empty(spark), types, state).count() == 0
+        mine = tokens(r.text)
+        assert (r[at["n_tokens"]], r[at["n_known"]], r[at["train_tokens"]]) == (len(mine), sum(counts[x] > 0 for x in mine), n)
+        assert math.isclose(r[at["base_score"]], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in mine), rel_tol=1e-9)
+        want = sum(math.log10(chance(w, start if u is None else code(u))) for u, w in zip([None, *mine], mine))
+        assert math.isclose(r[at["score"]], want, rel_tol=1e-5) and r[at["spelled_score"]] <= r[at["score"]] + 1e-9
+    assert lmscore.score(empty(spark), model).count() == 0
     bare = lmscore.fit(empty(spark))
-    assert lmscore.score(docs, *bare).count() == len(rows())
+    assert lmscore.score(docs, bare).count() == len(rows())
+    copies = docs.filter("doc_id = 8").limit(1).crossJoin(spark.range(100).withColumnRenamed("id", "nth"))
+    assert {round(r.score, 9) for r in lmscore.score(copies.select("doc_id", "text", "nth"), model).collect()} == {round(r[at["score"]], 9) for r in found if r[0] == 8}
 
 
 def test_language_model_beats_its_base(spark):
