@@ -222,6 +222,22 @@ def tidy(run):
     return inner
 
 
+def trimmed(step):
+    """The function of one or two tables, giving freed memory back after each call."""
+
+    def one(table):
+        out = step(table)
+        trim()
+        return out
+
+    def two(left, right):
+        out = step(left, right)
+        trim()
+        return out
+
+    return two if step.__code__.co_argcount == 2 else one
+
+
 def release(spark) -> None:
     """Let both runtimes drop what is no longer referenced, so that the shuffle files of finished steps are removed
     now and not at the driver's next collection."""
