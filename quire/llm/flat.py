@@ -25,7 +25,7 @@ BLOCK = 1 << 20
 #: Blocks of kernels that hold many arrays of eight bytes for each byte of text.
 SMALL_BLOCK = 1 << 18
 #: Arrow batches of at most so many bytes: a task holds a batch in the JVM and in Python.
-BATCH = "8m"
+BATCH = "4m"
 pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back to the system
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -128,6 +128,18 @@ def gram_hash(codes: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def distinct(codes: np.ndarray):
+    """(sorted values, a place of each, number of each code's value, how often each occurs)."""
+    order = np.argsort(codes)
+    ranked = codes[order]
+    new = np.ones(len(codes), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    number = np.empty(len(codes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[at], order[at], number, np.diff(np.append(at, len(codes)))
+
+
 def unclash(df: DataFrame, outputs) -> DataFrame:
     """The frame with every repeated column name, or one that an output has, made distinct (``name__2``).
 
