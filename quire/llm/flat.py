@@ -99,7 +99,7 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray):
     stops = offs[1:][offs[:-1] < offs[1:]] - 1
     last[stops] = member[stops]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
@@ -227,7 +227,7 @@ def tidy(run):
     def inner(batches):
         for k, out in enumerate(run(batches)):
             yield out
-            if k % 4 == 3:
+            if k % 16 == 15:
                 trim()
         trim()
 
@@ -235,16 +235,22 @@ def tidy(run):
 
 
 def trimmed(step):
-    """The function of one or two tables, giving freed memory back after each call."""
+    """The function of one or two tables, giving freed memory back after every few calls."""
+    calls = []
+
+    def counted():
+        calls.append(1)
+        if len(calls) % 4 == 0:
+            trim()
 
     def one(table):
         out = step(table)
-        trim()
+        counted()
         return out
 
     def two(left, right):
         out = step(left, right)
-        trim()
+        counted()
         return out
 
     return two if step.__code__.co_argcount == 2 else one
