@@ -5,8 +5,10 @@ whole texts). Terms: words (A-Z lower-cased) and the first 4 and 5 bytes of long
 counts, with its document frequency over all documents. A document's vector is (1 + ln tf) * ln((N + 1) / (df + 1)),
 times how much the term tells about the label (``evidence_of``, never 0), of unit length over the examples' terms.
 
-A query's cosine with every example is summed from the postings of all its terms (those of common terms are stored
-as dense rows), so the neighbours are exact. The vote is the neighbours' similarity-weighted share of toxic labels,
+The index is block-max: examples stand in blocks of ``BLOCK``; a term's postings of a block carry their greatest
+weight. A query's common terms (dense rows) are summed for all examples; with the greatest weights of its other terms
+they bound its cosine in every block. Two blocks of greatest bounds are summed first; then only blocks whose bound
+reaches the k-th cosine found are, so the neighbours are exact. The vote is the neighbours' similarity-weighted share of toxic labels,
 each class weighted back to its share of all training labels; a logistic curve fitted on leave-one-out votes of
 the examples makes it a probability. Neighbours and their cosines are the evidence.
 
@@ -32,6 +34,7 @@ SAMPLE = 1500
 NEIGHBOURS = 15
 #: Weight of a term without evidence, and the chi-square up to which there is none.
 FLOOR, EVEN = 0.05, 10.83
+BLOCK = 64
 OUTPUTS = ("score", "predicted", "evidence")
 
 
@@ -97,34 +100,34 @@ def vectors(found, n: int, idf: np.ndarray) -> Rows:
     return Rows(np.searchsorted(doc, np.arange(n + 1)), term, value / norm[doc], len(idf))
 
 
+def _expand(first: np.ndarray, keys: np.ndarray):
+    """Places first[key]..first[key + 1] of all keys, and how many each key has."""
+    size = first[keys + 1] - first[keys]
+    return np.arange(size.sum()) + np.repeat(first[keys] - np.cumsum(size) + size, size), size
+
+
 class Index:
-    """Postings of the examples by term; terms in many examples have a dense row."""
+    """Postings of the examples by term and block; terms in many examples have a dense row instead."""
 
     def __init__(self, weights):
         w = weights if isinstance(weights, Rows) else sparse(weights)
-        self.n = len(w)
-        order, row = np.argsort(w.term, kind="stable"), w.row_of()
-        self.example, self.value = row[order], w.value[order]
-        df = np.bincount(w.term, minlength=w.width)
-        self.first = np.concatenate([[0], np.cumsum(df)])
+        self.n, self.blocks = len(w), max(1, -(-len(w) // BLOCK))
+        row, df = w.row_of(), np.bincount(w.term, minlength=w.width)
         common = np.flatnonzero(df >= max(32, self.n // 32))
         self.place = np.full(w.width, -1)
         self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n))
         at = self.place[w.term]
+        self.dense = np.zeros((len(common), self.n))
         self.dense[at[at >= 0], row[at >= 0]] = w.value[at >= 0]
-
-    def cosines(self, q: Rows) -> np.ndarray:
-        row, at = q.row_of(), self.place[q.term]
-        common = at >= 0
-        x = np.zeros((len(q), len(self.dense)))
-        x[row[common], at[common]] = q.value[common]
-        out = x @ self.dense
-        row, term, value = row[~common], q.term[~common], q.value[~common]
-        size = self.first[term + 1] - self.first[term]
-        post = np.arange(size.sum()) + np.repeat(self.first[term] - np.cumsum(size) + size, size)
-        cell = np.repeat(row * self.n, size) + self.example[post]
-        return out + np.bincount(cell, np.repeat(value, size) * self.value[post], out.size).reshape(out.shape)
+        term, row, value = w.term[at < 0], row[at < 0], w.value[at < 0]
+        order = np.lexsort((row, term))
+        term, self.example, self.value = term[order], row[order], value[order]
+        group = term * self.blocks + self.example // BLOCK
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+        self.start = np.append(start, len(group))
+        self.block = self.example[start] // BLOCK
+        self.most = np.maximum.reduceat(self.value, start) if len(start) else np.zeros(0)
+        self.first = np.searchsorted(term[start], np.arange(w.width + 1))
 
     def search(self, q, k: int, skip: np.ndarray | None = None):
         """Ids and cosines of the k nearest examples of each row (-1 and 0 where there are fewer); ``skip`` holds
@@ -132,9 +135,7 @@ class Index:
         q = q if isinstance(q, Rows) else sparse(q)
         top, ids = np.zeros((len(q), k)), np.full((len(q), k), -1)
         for lo in range(0, len(q), 256):
-            score = self.cosines(q.cut(lo, lo + 256))
-            if skip is not None:
-                score[np.arange(len(score)), skip[lo : lo + 256]] = 0.0
+            score = self._scores(q.cut(lo, lo + 256), k, None if skip is None else skip[lo : lo + 256])
             rounded = np.round(score, 12)
             least = np.partition(rounded, self.n - k, axis=1)[:, self.n - k, None] if self.n > k else 0.0
             row, name = np.nonzero((rounded >= least) & (rounded > 0))
@@ -145,6 +146,39 @@ class Index:
             top[lo + row, nth], ids[lo + row, nth] = score[row, name], name
         return ids, top
 
+    def _scores(self, q: Rows, k: int, skip) -> np.ndarray:
+        """Cosines (rows x examples) of all blocks that can hold one of the k nearest; 0 in others."""
+        row, at = q.row_of(), self.place[q.term]
+        x = np.zeros((len(q), len(self.dense)))
+        x[row[at >= 0], at[at >= 0]] = q.value[at >= 0]
+        out = x @ self.dense
+        group, size = _expand(self.first, q.term[at < 0])
+        row, value = np.repeat(row[at < 0], size), np.repeat(q.value[at < 0], size)
+        edges = np.arange(0, self.n, BLOCK)
+        bound = np.maximum.reduceat(out, edges, axis=1)
+        bound += np.bincount(row * self.blocks + self.block[group], value * self.most[group], bound.size).reshape(bound.shape)
+
+        def add(blocks):
+            """The other terms' parts in the chosen blocks of each row."""
+            use = np.flatnonzero(blocks[row, self.block[group]])
+            post, many = _expand(self.start, group[use])
+            cell = np.repeat(row[use] * self.n, many) + self.example[post]
+            return np.bincount(cell, np.repeat(value[use], many) * self.value[post], out.size).reshape(out.shape)
+
+        def shown(blocks):
+            seen = np.where(np.repeat(blocks, BLOCK, axis=1)[:, : self.n], out, 0.0)
+            if skip is not None:
+                seen[np.arange(len(seen)), skip] = 0.0
+            return seen
+
+        done = np.zeros(bound.shape, bool)
+        done[np.arange(len(done))[:, None], np.argsort(-bound, axis=1)[:, : 2 + k // BLOCK]] = True
+        out += add(done)
+        least = np.partition(shown(done), self.n - k, axis=1)[:, self.n - k, None] if self.n > k else 0.0
+        more = ~done & (bound > 0) & (bound >= least - 1e-9)
+        out += add(more)
+        return shown(done | more)
+
 
 def votes(ids, top, toxic, weight, prior):
     """Similarity-weighted share of toxic neighbours, shrunk towards the prior."""
