@@ -1,9 +1,11 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased; a shingle is ``n`` consecutive
-words (a text of fewer words is one shingle of all). Its weight is tf * (1 + gain * idf), idf in 0..1: the log of its
-document frequency, counted over all documents in a fixed number of cells (a shingle's cell also counts others;
-their mean is taken off), so the broadcast table never grows. Exact copies collapse to one text first.
+words (a text of fewer words is one shingle of all). Its weight is tf * (1 + gain * idf). idf is 0 for a shingle in
+every document and 1 for one in at most ``RARE`` of them, by the logarithm of its share of documents in between. Only
+shares above ``RARE`` matter, and at most (shingles a document) / ``RARE`` shingles have one at any size of the corpus,
+so shares are counted over all documents in a fixed number of cells (the mean of the cells, which is what rare
+shingles add to each, is taken off): weights do not change as the same corpus grows. Exact copies collapse first.
 
 1. Each text draws ``bands * rows`` samples (shingle, level) by improved consistent weighted sampling; two texts
    agree on a sample with the probability of their weighted Jaccard similarity. The method's gamma and uniform
@@ -42,6 +44,7 @@ CELLS = 1 << 18
 CHUNK = 1 << 12
 SLOTS = 1 << 16
 GAIN = 0.25
+RARE = 1 / 1024
 SMALL, LEADERS = 16, 2
 #: Blocks of large buckets: texts and bytes; texts and shingles of a piece that is compared at once.
 BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 22
@@ -109,9 +112,10 @@ def document_frequencies(docs: DataFrame, text: str, n: int = N):
 
 
 def weight_table(n: int, cells: np.ndarray, gain: float = GAIN) -> np.ndarray:
-    """Weight of a shingle by cell: 1 (in every document) to 1 + gain (in one)."""
-    df = np.maximum(1.0, cells - cells.sum() / len(cells))
-    return 1.0 + gain * np.clip(np.log((n + 1) / (df + 1)) / np.log(n + 2), 0, 1)
+    """Weight of a shingle by cell: 1 (in every document) to 1 + gain (in at most RARE of them, or in one)."""
+    rare = min(max(RARE, 1.0 / max(1, n)), 0.5)
+    share = np.clip((cells - cells.sum() / len(cells)) / max(1, n), rare, 1.0)
+    return 1.0 + gain * np.log(share) / np.log(rare)
 
 
 class Sampler:
@@ -420,7 +424,7 @@ def class_of(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents' own columns, one document of each class (that of the least id); wordless texts all stay."""
     columns = docs.columns
-    docs = flat.unclash(docs, ("__node", "__twin"))
+    docs = flat.unclash(docs, ("__node", "__twin", "__row"))
     inner = docs.columns
     found = flat.saved(class_of(docs, text, key, **options))
     keyed = docs.withColumn("__node", node_of(F.col(text)))
@@ -433,7 +437,9 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options
     chosen = keyed.join(kept, "__node").filter(F.col(key).eqNullSafe(F.col("__class")))
     single = chosen.filter("__twin = 1").select(*[f"`{c}`" for c in inner])
     others = [c for c in inner if c not in (key, text)]
-    double = chosen.filter("__twin > 1").groupBy("__node", key).agg(F.min(text).alias(text), *[F.first(c).alias(c) for c in others]).select(*[f"`{c}`" for c in inner])
+    plain = [f"`{c}`" for c in others if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    mark = F.xxhash64(*plain, F.lit(1))  # of rows equal in id and text the one of the least hash stays whole
+    double = chosen.filter("__twin > 1").groupBy("__node", key).agg(F.min(text).alias(text), F.min_by(F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0)]), mark).alias("__row")).select(*[F.col("__row")[c].alias(c) if c in others else F.col(f"`{c}`") for c in inner]).select(*[f"`{c}`" for c in inner])
     return single.unionByName(double).unionByName(mine).toDF(*columns)
 
 

@@ -175,6 +175,42 @@ def test_near_duplicates_in_a_crowded_bucket(spark):
     assert got == want
 
 
+def test_near_duplicates_equal_weighted_jaccard(spark):
+    """Classes are the components of exact weighted Jaccard links among texts near the threshold."""
+    rng = np.random.default_rng(12)
+    vocabulary, texts = [f"v{i}" for i in range(3000)], []
+    for _ in range(40):
+        base = list(rng.choice(vocabulary, 200))
+        for edits in (0, 2, 4, 30):  # 30 edits are far below the threshold
+            words = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                words[at] = f"e{len(texts)}_{at}"
+            texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sampler = neardup.Sampler(neardup.weight_table(*neardup.document_frequencies(df, "text")))
+    block = lambda xs: (np.frombuffer("".join(xs).encode(), np.uint8), np.cumsum([0, *map(len, xs)]))
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        others = list(range(i - i % 4, i))
+        if others:
+            near = neardup.similarities(sampler, block([texts[i]] * len(others)), block([texts[j] for j in others]))
+            for j, s in zip(others, near):
+                if s >= 0.8:
+                    want = [want[j] if w == want[i] else w for w in want]
+    found = neardup.class_of(df).select("node", "class_id")
+    got = {r.doc_id: r.class_id for r in df.withColumn("node", neardup.node_of(F.col("text"))).join(found, "node").collect()}
+    assert got == dict(enumerate(want)) and 40 < len(set(want)) < 160
+
+
+def test_weights_do_not_change_with_size():
+    """The same shares of documents weigh the same in a corpus ten times the size."""
+    rng = np.random.default_rng(13)
+    cells = rng.poisson(3.0, neardup.CELLS).astype(np.int64)
+    cells[:5] += [50_000, 20_000, 5_000, 1_000, 500]
+    small, large = neardup.weight_table(50_000, cells), neardup.weight_table(500_000, cells * 10)
+    assert np.allclose(small, large) and (small[5:] == 1 + neardup.GAIN).all() and (np.diff(small[:5]) > 0).all()
+
+
 def test_near_duplicates_hard_rows(docs, spark):
     kept = neardup.keep_one(docs).collect()
     words = [r for r in rows() if cut(r[1])]
