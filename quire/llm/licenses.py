@@ -1,16 +1,18 @@
 """License scans: an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
 A text is lower-cased (A-Z); its words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Base: places where the words of
-a phrase stand consecutively. Method: a block (a line, or a window of consecutive words of the text, wherever its lines end, as long as
-the template's words over ``threshold``) holds a template when at least ``threshold`` of the template's distinct
-words occur in it. Windows are only tried in texts of several lines that as a whole would hold the template. Words are ordered by document frequency over all documents, rarest first;
+a phrase stand consecutively. Method: a block (a line, or a window of consecutive words of the text, wherever its lines end,
+as long as the template's words over ``threshold``) holds a template when at least ``threshold`` of the template's
+distinct words occur in it. Windows are only tried in texts of several lines that as a whole would hold the
+template. Words are ordered by document frequency over all documents, rarest first;
 a template that needs ``need`` of its ``size`` words must share one of its rarest ``size - need + 1`` with the
 block (prefix filter), the block must have ``need`` distinct words (length filter), and the words after the
 shared one must suffice on both sides (positional filter). What is left is verified on the whole sets, so the
 join is exact.
 
 Only the templates' own words are broadcast or collected, with their counts; that is a parameter of the call and
-is checked against ``MAX_TEMPLATE_WORDS``. Lines without a prefix word never leave their task. Found (text,
+is checked against ``MAX_TEMPLATE_WORDS``. One pass over the texts cuts them into words, counts those of the templates,
+finds the phrases, and keeps the text only where it as a whole has enough of some template's words. Found (text,
 template) pairs return to documents by a 128-bit hash of the text, with one row for a text, so a text that a third
 of all rows share meets one row.
 
@@ -49,8 +51,6 @@ TEMPLATES = (
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
 )
-#: The words before A-Z are lower-cased.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 THRESHOLD = 0.85
 MAX_TEMPLATE_WORDS = 20_000
 OUTPUTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -80,16 +80,16 @@ def _places(w: Column, phrase: str) -> Column:
     return F.filter(F.transform(w, at), lambda i: i.isNotNull())
 
 
-def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text", key=("k1", "k2")) -> DataFrame:
-    """(key, label, containment): for each text and label the best containment of a template in a line or window of it,
-    of all pairs that reach the threshold. ``texts`` may repeat keys; equal keys must mean equal texts."""
+def _literal(words) -> Column:
+    return F.array(*[F.lit(w) for w in words] or [F.lit(None).cast("string")])
+
+
+def similar_blocks(texts: DataFrame, counts: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD, key=("k1", "k2")) -> DataFrame:
+    """(key, label, containment): for each text (key, line) and label the best containment of a template in a line or
+    window of it, of all pairs that reach the threshold. ``counts`` are the words' document frequencies."""
     spark, sets = texts.sparkSession, _sets(templates)
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
-    # Frequencies only order the words, so they may be counted on lower(), which is cheaper than A-Z alone.
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
-    lit = lambda ws: F.array(*[F.lit(w) for w in ws] or [F.lit(None).cast("string")])
-    df = dict(texts.select(F.explode(F.array_intersect(words, lit(vocabulary))).alias("w")).groupBy("w").count().collect())
-    order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
+    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     rows, prefix, least = [], set(), []
     spans = {k: math.ceil(len(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t)) / threshold - 1e-9) for k, (t, _) in enumerate(templates)}
@@ -98,17 +98,15 @@ def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
         need = _need(len(ws), threshold)
         least.append(need)
         prefix.update(ws[: len(ws) - need + 1])
-        rows += [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(len(ws) - 1 - i).alias("after"), F.lit(need).alias("need"), F.lit(spans[k]).alias("span"), lit(ws).alias("set")) for i, w in enumerate(ws[: len(ws) - need + 1])]
+        rows += [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(len(ws) - 1 - i).alias("after"), F.lit(need).alias("need"), F.lit(spans[k]).alias("span"), _literal(ws).alias("set")) for i, w in enumerate(ws[: len(ws) - need + 1])]
     if not rows:
         return texts.select(*key, F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     index = F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
-    # A text or line whose lower() holds no prefix word has none either; only others are cut into words.
-    some = texts.filter(_holds(F.col(text), prefix)).select(*key, F.coalesce(F.col(text), F.lit("")).alias("line"))
-    lines = some.select(*key, F.explode(F.split("line", "\n")).alias("line")).filter(_holds(F.col("line"), prefix))
+    lines = texts.select(*key, F.explode(F.split("line", "\n")).alias("line"))
 
     def sets_of(blocks: DataFrame, *more: str) -> DataFrame:
-        cut = blocks.select(*key, *more, words_of("line").alias("w")).filter((F.size("w") >= min(least)) & F.arrays_overlap("w", lit(sorted(prefix))))
-        cut = cut.select(*key, *more, F.size(F.array_distinct("w")).alias("size"), F.array_intersect(lit(order), F.col("w")).alias("own"))
+        cut = blocks.select(*key, *more, words_of("line").alias("w")).filter((F.size("w") >= min(least)) & F.arrays_overlap("w", _literal(sorted(prefix))))
+        cut = cut.select(*key, *more, F.size(F.array_distinct("w")).alias("size"), F.array_intersect(_literal(order), F.col("w")).alias("own"))
         return (
             cut.select(*key, *more, "size", "own", F.posexplode("own").alias("at", "word"))
             .join(index, "word")
@@ -119,8 +117,8 @@ def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
         )
 
     found = sets_of(lines).select(*key, "label", "set", "overlap")
-    # Whole texts of several lines: what holds no template as a whole has no window that does. One row a text.
-    whole = some.filter(F.contains("line", F.lit("\n"))).dropDuplicates([*key])
+    # Whole texts of several lines: what holds no template as a whole has no window that does.
+    whole = texts.filter(F.contains("line", F.lit("\n")))
     wide = sets_of(whole, "line").dropDuplicates([*key, "template"]).withColumn("w", words_of("line"))
     places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda o: F.array_contains("set", o["x"]))
     wide = wide.select(*key, "label", "need", "span", "set", places.alias("o"))
@@ -133,13 +131,6 @@ def similar_blocks(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
     return pairs.groupBy(*key, "label").agg(best.alias("containment"))
 
 
-def _holds(text: Column, words) -> Column:
-    low, out = F.lower(text), F.lit(False)
-    for word in sorted(words):
-        out |= F.contains(low, F.lit(word))
-    return out
-
-
 def words_of(column: str) -> Column:
     return F.regexp_extract_all(lowered(F.col(column)), F.lit(WORD), F.lit(0))
 
@@ -147,30 +138,34 @@ def words_of(column: str) -> Column:
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Documents with n_words, n_base, first_word, last_word, base_labels, labels and score (1 with a base
     phrase, else the best containment found, else 0)."""
-    docs = flat.unclash(docs, (*OUTPUTS, "k1", "k2", "__w", "__p"))
+    docs = flat.unclash(docs, (*OUTPUTS, "k1", "k2", "__w", "__t", "__own", "__p", "__base"))
     keep = docs.columns if keep is None else keep
-    keyed = flat.text_key(F.col(text))
-    found = similar_blocks(docs.select(*keyed, F.col(text)), templates, threshold, text)
-    found = found.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
-    # Only texts that hold the longest word of a phrase are searched for places; no other text can have one.
-    some = _holds(F.col(text), {max(p.split(" "), key=len) for p, _ in phrases})
-    held = docs.select(
-        *[f"`{c}`" for c in keep], *keyed, F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE)), F.lit(0)).alias("__n"),
-        F.when(some, words_of(text)).alias("__w"),
-    )
+    kept, sets = [f"`{c}`" for c in keep], _sets(templates)
+    vocabulary = sorted({w for _, _, ws in sets for w in ws} | {w for p, _ in phrases for w in p.split(" ")})
+    # One pass cuts every text into words; only what may hold a template keeps its text.
+    cut = docs.select(*kept, *flat.text_key(F.col(text)), F.col(text).alias("__t"), words_of(text).alias("__w"))
+    cut = cut.withColumn("__own", F.array_intersect(_literal(vocabulary), F.col("__w")))
+    may = F.lit(False)
+    for _, _, ws in sets:
+        may |= F.size(F.array_intersect("__own", _literal(ws))) >= _need(len(ws), threshold)
     none = F.array().cast("array<int>")
-    places = F.struct(*[F.coalesce(_places(F.col("__w"), p), none).alias(f"p{k}") for k, (p, _) in enumerate(phrases)])
-    held = held.select(*[f"`{c}`" for c in keep], "k1", "k2", F.col("__n").cast("long").alias("n_words"), places.alias("__p"))
+    stands = lambda p: F.size(F.array_intersect("__own", _literal(sorted(set(p.split(" ")))))) == len(set(p.split(" ")))
+    places = F.struct(*[F.when(stands(p), _places(F.col("__w"), p)).otherwise(none).alias(f"p{k}") for k, (p, _) in enumerate(phrases)])
+    cut = flat.saved(cut.select(*kept, "k1", "k2", F.size("__w").cast("long").alias("n_words"), "__own", places.alias("__p"), F.when(may, F.col("__t")).alias("__t")))
+    counts = {r.w: r["count"] for r in cut.select(F.explode("__own").alias("w")).groupBy("w").count().collect()}  # one row for each word of the templates
+    some = cut.filter(F.col("__t").isNotNull()).groupBy("k1", "k2").agg(F.first("__t").alias("line"))
+    found = similar_blocks(some, counts, templates, threshold)
+    found = found.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     each = [F.col(f"__p.p{k}") for k in range(len(phrases))]
     all_ = F.concat(*each)
     base = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(x) > 0, F.lit(label)) for x, (_, label) in zip(each, phrases)]), lambda x: x.isNotNull())))
-    held = held.select(
-        *[f"`{c}`" for c in keep], "k1", "k2", "n_words", F.size(all_).cast("long").alias("n_base"),
+    held = cut.select(
+        *kept, "k1", "k2", "n_words", F.size(all_).cast("long").alias("n_base"),
         F.array_min(all_).cast("long").alias("first_word"), F.array_max(all_).cast("long").alias("last_word"), base.alias("__base"),
     )
     labels = F.array_sort(F.array_union("__base", F.coalesce("found", F.array().cast("array<string>"))))
     return held.join(found, ["k1", "k2"], "left").select(
-        *[f"`{c}`" for c in keep], "n_words", "n_base", "first_word", "last_word",
+        *kept, "n_words", "n_base", "first_word", "last_word",
         F.array_join("__base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
