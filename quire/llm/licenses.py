@@ -105,7 +105,8 @@ def similar_blocks(texts: DataFrame, counts: dict[str, int], templates=TEMPLATES
     lines = texts.select(*key, F.explode(F.split("line", "\n")).alias("line"))
 
     def sets_of(blocks: DataFrame, *more: str) -> DataFrame:
-        cut = blocks.select(*key, *more, words_of("line").alias("w")).filter((F.size("w") >= min(least)) & F.arrays_overlap("w", _literal(sorted(prefix))))
+        # What is exploded from an array of one is computed once; a filter on it would else compute it again.
+        cut = blocks.select(*key, *more, F.explode(F.array(words_of("line"))).alias("w")).filter((F.size("w") >= min(least)) & F.arrays_overlap("w", _literal(sorted(prefix))))
         cut = cut.select(*key, *more, F.size(F.array_distinct("w")).alias("size"), F.array_intersect(_literal(order), F.col("w")).alias("own"))
         return (
             cut.select(*key, *more, "size", "own", F.posexplode("own").alias("at", "word"))
@@ -119,13 +120,14 @@ def similar_blocks(texts: DataFrame, counts: dict[str, int], templates=TEMPLATES
     found = sets_of(lines).select(*key, "label", "set", "overlap")
     # Whole texts of several lines: what holds no template as a whole has no window that does.
     whole = texts.filter(F.contains("line", F.lit("\n")))
-    wide = sets_of(whole, "line").dropDuplicates([*key, "template"]).withColumn("w", words_of("line"))
+    wide = sets_of(whole, "line").dropDuplicates([*key, "template"])
+    wide = wide.select(*key, "label", "need", "span", "set", F.explode(F.array(words_of("line"))).alias("w"))
     places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda o: F.array_contains("set", o["x"]))
-    wide = wide.select(*key, "label", "need", "span", "set", places.alias("o"))
+    wide = wide.select(*key, "label", "need", "span", "set", F.explode(F.array(places)).alias("o"))
     # A window begins at a word of the template and has no more of them than words.
     inside = lambda s, j: F.filter(F.slice("o", j + 1, F.col("span")), lambda o: o["i"] < s["i"] + F.col("span"))
     most = F.array_max(F.transform("o", lambda s, j: F.size(F.array_distinct(F.transform(inside(s, j), lambda o: o["x"])))))
-    wide = wide.withColumn("overlap", most).filter(F.col("overlap") >= F.col("need"))
+    wide = wide.select(*key, "label", "set", "need", F.explode(F.array(most)).alias("overlap")).filter(F.col("overlap") >= F.col("need"))
     pairs = found.unionByName(wide.select(*key, "label", "set", "overlap"))
     best = F.max(F.col("overlap").cast("double") / F.size("set"))
     return pairs.groupBy(*key, "label").agg(best.alias("containment"))
