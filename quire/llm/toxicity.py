@@ -39,35 +39,45 @@ OUTPUTS = ("score", "predicted", "evidence")
 
 
 def terms_of(data: np.ndarray, offs: np.ndarray):
-    """(document, hash) of every word and leading part of a word."""
+    """(document of every word, number of its distinct word, and for each of those the hashes of the word and of its
+    leading parts, 0 where the word has none)."""
     data = flat.LOWER[data]
     starts, ends, doc = flat.words(data, offs, flat.ALNUM)
     sums = flat.prefix(data)
-    docs, codes = [doc], [flat.span_hash(sums, starts, ends)]
-    for part in (4, 5):
-        longer = ends - starts > part
-        docs.append(doc[longer])
-        codes.append(flat.span_hash(sums, starts[longer], starts[longer] + part) ^ np.uint64(part))
-    return np.concatenate(docs), np.concatenate(codes)
+    code, first, number, _ = flat.distinct(flat.span_hash(sums, starts, ends))
+    starts, ends = starts[first], ends[first]
+    terms = np.zeros((len(code), 3), np.uint64)
+    terms[:, 0] = code
+    for k, part in enumerate((4, 5), 1):
+        longer = np.flatnonzero(ends - starts > part)
+        terms[longer, k] = flat.span_hash(sums, starts[longer], starts[longer] + part) ^ np.uint64(part)
+    return doc, number, terms
 
 
 class Vocabulary:
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
+        self.hashes = np.sort(hashes[hashes > 0])
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
+    def find(self, code: np.ndarray) -> np.ndarray:
+        out = np.full(len(code), -1)
+        some = np.flatnonzero(self.bits[(code >> np.uint64(44)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.hashes, code[some]), len(self.hashes) - 1)
+            same = self.hashes[at] == code[some]
+            out[some[same]] = at[same]
+        return out
+
     def counts(self, data, offs):
         """(document, term, count), sorted."""
-        doc, code = terms_of(data, offs)
-        some = np.flatnonzero(self.bits[(code >> np.uint64(44)).astype(np.int64)])
-        doc, code = doc[some], code[some]
-        if not len(self.hashes) or not len(code):
+        doc, number, terms = terms_of(data, offs)
+        found = self.find(terms.ravel()).reshape(terms.shape)[number]
+        pair = np.sort(((doc * len(self.hashes))[:, None] + found)[found >= 0])
+        if not len(pair):
             return [np.zeros(0, np.int64)] * 3
-        at = np.minimum(np.searchsorted(self.hashes, code), len(self.hashes) - 1)
-        same = self.hashes[at] == code
-        pair, count = np.unique(doc[same] * len(self.hashes) + at[same], return_counts=True)
-        return pair // len(self.hashes), pair % len(self.hashes), count
+        at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        return pair[at] // len(self.hashes), pair[at] % len(self.hashes), np.diff(np.append(at, len(pair)))
 
 
 class Rows:
@@ -117,7 +127,7 @@ class Index:
         self.place = np.full(w.width, -1)
         self.place[common] = np.arange(len(common))
         at = self.place[w.term]
-        self.dense = np.zeros((len(common), self.n))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
         self.dense[at[at >= 0], row[at >= 0]] = w.value[at >= 0]
         term, row, value = w.term[at < 0], row[at < 0], w.value[at < 0]
         order = np.lexsort((row, term))
@@ -135,49 +145,45 @@ class Index:
         q = q if isinstance(q, Rows) else sparse(q)
         top, ids = np.zeros((len(q), k)), np.full((len(q), k), -1)
         for lo in range(0, len(q), 256):
-            score = self._scores(q.cut(lo, lo + 256), k, None if skip is None else skip[lo : lo + 256])
-            rounded = np.round(score, 12)
-            least = np.partition(rounded, self.n - k, axis=1)[:, self.n - k, None] if self.n > k else 0.0
-            row, name = np.nonzero((rounded >= least) & (rounded > 0))
-            order = np.lexsort((name, -rounded[row, name], row))
+            score, least = self._scores(q.cut(lo, lo + 256), k, None if skip is None else skip[lo : lo + 256])
+            row, name = np.nonzero(score >= np.maximum(least - 1e-9, 1e-12))
+            order = np.lexsort((name, -np.round(score[row, name], 12), row))
             row, name = row[order], name[order]
             nth = np.arange(len(row)) - np.searchsorted(row, row)
             row, name, nth = row[nth < k], name[nth < k], nth[nth < k]
             top[lo + row, nth], ids[lo + row, nth] = score[row, name], name
         return ids, top
 
-    def _scores(self, q: Rows, k: int, skip) -> np.ndarray:
-        """Cosines (rows x examples) of all blocks that can hold one of the k nearest; 0 in others."""
+    def _scores(self, q: Rows, k: int, skip):
+        """Cosines (rows x examples) in all blocks that can hold one of the k nearest, parts of them in others; and
+        a cosine that k examples of the row reach (0: there may be fewer), which those parts do not."""
         row, at = q.row_of(), self.place[q.term]
         x = np.zeros((len(q), len(self.dense)))
         x[row[at >= 0], at[at >= 0]] = q.value[at >= 0]
         out = x @ self.dense
         group, size = _expand(self.first, q.term[at < 0])
         row, value = np.repeat(row[at < 0], size), np.repeat(q.value[at < 0], size)
-        edges = np.arange(0, self.n, BLOCK)
-        bound = np.maximum.reduceat(out, edges, axis=1)
+        bound = out.reshape(len(q), self.blocks, BLOCK).max(2)
         bound += np.bincount(row * self.blocks + self.block[group], value * self.most[group], bound.size).reshape(bound.shape)
 
         def add(blocks):
             """The other terms' parts in the chosen blocks of each row."""
             use = np.flatnonzero(blocks[row, self.block[group]])
             post, many = _expand(self.start, group[use])
-            cell = np.repeat(row[use] * self.n, many) + self.example[post]
-            return np.bincount(cell, np.repeat(value[use], many) * self.value[post], out.size).reshape(out.shape)
-
-        def shown(blocks):
-            seen = np.where(np.repeat(blocks, BLOCK, axis=1)[:, : self.n], out, 0.0)
+            cell = np.repeat(row[use] * out.shape[1], many) + self.example[post]
+            part = np.bincount(cell, np.repeat(value[use], many) * self.value[post], out.size).reshape(out.shape)
             if skip is not None:
-                seen[np.arange(len(seen)), skip] = 0.0
-            return seen
+                out[np.arange(len(out)), skip] = part[np.arange(len(out)), skip] = 0.0
+            return part
 
+        best = np.argsort(-bound, axis=1)[:, : 2 + k // BLOCK]
         done = np.zeros(bound.shape, bool)
-        done[np.arange(len(done))[:, None], np.argsort(-bound, axis=1)[:, : 2 + k // BLOCK]] = True
+        np.put_along_axis(done, best, True, axis=1)
         out += add(done)
-        least = np.partition(shown(done), self.n - k, axis=1)[:, self.n - k, None] if self.n > k else 0.0
-        more = ~done & (bound > 0) & (bound >= least - 1e-9)
-        out += add(more)
-        return shown(done | more)
+        near = np.take_along_axis(out.reshape(len(q), self.blocks, BLOCK), best[:, :, None], axis=1).reshape(len(q), -1)
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None] if near.shape[1] >= k else np.zeros((len(q), 1))
+        out += add(~done & (bound > 0) & (bound >= least - 1e-9))
+        return out, least
 
 
 def votes(ids, top, toxic, weight, prior):
@@ -237,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, text="text", key="doc_id",
     raw = [(r.text or "").encode() for r in rows]
     data = np.frombuffer(b"".join(raw), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    vocabulary = Vocabulary(np.unique(terms_of(data, offs)[1]))
+    vocabulary = Vocabulary(np.unique(terms_of(data, offs)[2]))
     found = vocabulary.counts(data, offs)
     idf = document_frequencies(docs, vocabulary, text) * evidence_of(found, toxic, len(vocabulary.hashes))
     weights = vectors(found, len(rows), idf)
