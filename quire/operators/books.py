@@ -33,21 +33,21 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def text_sections(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, section_id, heading, n_paragraphs, paragraphs) of plain texts; a heading starts a section.
 
-    A text's blocks stay in its row: the fold over them needs no shuffle, however long the text."""
-    start = F.struct(F.lit(None).cast("string").alias("heading"), F.array().cast("array<string>").alias("paragraphs"))
-    kind = "array<struct<heading:string,paragraphs:array<string>>>"
-
-    def add(acc, block):
-        heading = C.is_heading(block)
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["heading"].alias("heading"), F.concat(last["paragraphs"], F.array(block)).alias("paragraphs"))))
-        fresh = F.concat(acc, F.array(F.struct(C.collapse(block).alias("heading"), F.array().cast("array<string>").alias("paragraphs"))))
-        return F.when(heading, fresh).otherwise(grown)
-
-    found = F.aggregate(C.blocks(text), F.array(start).cast(kind), add)
-    kept = F.filter(found, lambda s: s["heading"].isNotNull() | (F.size(s["paragraphs"]) > 0))
-    kept = F.when(F.size(kept) > 0, kept).otherwise(F.array(start).cast(kind))
-    return df.select(key, F.posexplode(kept).alias("ord", "s")).select(
+    A text's blocks stay in its row: headings are numbered and the runs between them cut out once, without a shuffle
+    and in time that grows with the text alone. (Exploding an array of one computes it once.)"""
+    none = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.array().cast("array<string>").alias("paragraphs")))
+    cut = df.select(key, F.explode(F.array(F.coalesce(C.blocks(text), F.array().cast("array<string>")))).alias("b"))
+    marks = F.filter(F.transform("b", lambda x, i: F.when(C.is_heading(x), i + 1)), lambda i: i.isNotNull())
+    cut = cut.select(key, "b", F.explode(F.array(F.concat(F.array(F.lit(0)), marks))).alias("edges"))
+
+    def section(edge, k):
+        stop = F.coalesce(F.get("edges", k + 1) - 1, F.size("b"))
+        return F.struct(F.when(edge > 0, C.collapse(F.get("b", edge - 1))).alias("heading"), F.slice("b", edge + 1, stop - edge).alias("paragraphs"))
+
+    found = cut.select(key, F.explode(F.array(F.transform("edges", section))).alias("found"))
+    kept = F.filter("found", lambda s: s["heading"].isNotNull() | (F.size(s["paragraphs"]) > 0))
+    kept = F.when(F.size(kept) > 0, kept).otherwise(none)
+    return found.select(key, F.posexplode(kept).alias("ord", "s")).select(
         key, F.concat(F.lit("s"), F.col("ord").cast("string")).alias("section_id"), F.col("s.heading").alias("heading"),
         F.size("s.paragraphs").cast("long").alias("n_paragraphs"), F.col("s.paragraphs").alias("paragraphs"),
     )
