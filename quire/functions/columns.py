@@ -46,6 +46,8 @@ decode_entities = kernel(markup.decode_entities, T.StringType())
 sentences = kernel(lambda text, section: positions.sentences(text, section or ""), T.ArrayType(SENTENCE))
 search = kernel(lambda text, query, section, index: matching.search(text, query or "", section or "", index or 0), T.ArrayType(HIT))
 parse_position = kernel(lambda s: dict(zip(("position", "error"), positions.parse(s))), PARSED)
+sentence_count = kernel(lambda text: len(unicode.sentence_runs(text)), T.LongType())
+_utf16_text = kernel(lambda data: bytes(data[2:]).decode("utf-16-le" if data[:1] == b"\xff" else "utf-16-be", "replace"), T.StringType())
 grapheme_count = kernel(lambda text: len(unicode.Units(text).parts), T.LongType())
 
 
@@ -68,6 +70,14 @@ capture_all = kernel(_capture, T.ArrayType(POSITION))
 resolve_all = kernel(_resolve, T.ArrayType(RESOLVED))
 
 
+def section_text(content: Column) -> Column:
+    """Text of a section's bytes: UTF-16 by its byte-order mark (the only rows that Python sees), else UTF-8 with
+    malformed bytes replaced and its mark dropped."""
+    wide = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    plain = F.make_valid_utf8(content.cast("string"))
+    return F.when(wide, _utf16_text(F.when(wide, content))).otherwise(F.regexp_replace(plain, "^\ufeff", ""))
+
+
 def u16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 

@@ -63,6 +63,15 @@ FRAME = {
 }
 
 
+#: Fields of each message that a host sends; every one has a numeric id.
+_OPTIONS = {"mode": ("paginated", "scrolled"), "pageWidth": _NUM, "pageHeight": _NUM, "columnGap": _NUM, "chunkChars": _NUM, "windowChunks": _NUM, "columnCount": _NUM}
+HOST = {
+    "ping": {}, "measure": {}, "paginate": {"options": _OPTIONS}, "relayout": {}, "goToPage": {"page": _NUM}, "offsetOfPage": {"page": _NUM},
+    "pageOfOffset": {"offset": _NUM}, "scrollToOffset": {"offset": _NUM}, "offsetOfElementId": {"elementId": _STR}, "sectionText": {},
+    "diagnostics": {}, "decorate": {"decorationId": _STR, "start": _NUM, "end": _NUM, "className": _STR}, "undecorate": {"decorationId": _STR},
+}
+
+
 def _shaped(value, spec):
     """The value with the fields of the spec and no others; ValueError where it has another shape."""
     if isinstance(spec, dict):
@@ -73,6 +82,10 @@ def _shaped(value, spec):
         if not isinstance(value, list) or spec[0] == "some" and not value:
             raise ValueError
         return [_shaped(v, spec[-1]) for v in value]
+    if isinstance(spec, tuple):
+        if value not in spec:
+            raise ValueError
+        return value
     fits = {
         _STR: isinstance(value, str), _BOOL: isinstance(value, bool),
         _NUM: isinstance(value, (int, float)) and not isinstance(value, bool),
@@ -83,14 +96,23 @@ def _shaped(value, spec):
     return value
 
 
+def host_message(text: str) -> str | None:
+    """A host's message with its known fields, as JSON; None if any is missing or of another type."""
+    return _message(text, HOST, {"id": _NUM})
+
+
 def frame_message(text: str) -> str | None:
-    """The message with its known fields, as JSON; None if any is missing or of another type."""
+    """A frame's message likewise."""
+    return _message(text, FRAME, {})
+
+
+def _message(text: str, known: dict, common: dict) -> str | None:
     try:
         data = json.loads(text)
         if not isinstance(data, dict) or isinstance(data.get("v"), bool) or data.get("v") != VERSION or not isinstance(data.get("type"), str):
             return None
-        spec = FRAME.get(data["type"])
-        return None if spec is None else json.dumps({"v": VERSION, "type": data["type"], **_shaped(data, spec)}, ensure_ascii=False)
+        spec = known.get(data["type"])
+        return None if spec is None else json.dumps({"v": VERSION, "type": data["type"], **_shaped(data, {**common, **spec})}, ensure_ascii=False)
     except (ValueError, RecursionError):
         return None
 

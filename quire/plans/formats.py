@@ -14,7 +14,7 @@ from ..operators import reader as R
 from ..operators import sanitize as Z
 from ..sources import decode as D
 from . import fixtures
-from .queries import _table, _values, literals
+from .queries import _SECTIONS_SQL, _table, _values, literals
 
 
 def _books(spark):
@@ -29,7 +29,7 @@ def decoded_books(spark, sf_dir):
 
 def decoded_sections(spark, sf_dir):
     found = D.sections_of(D.read_books(_books(spark)), "book_id")
-    return found.select("book_id", "section_index", "section_id", "linear", C.reading_text(F.col("content").cast("string")).alias("text"))
+    return found.select("book_id", "section_index", "section_id", "linear", C.reading_text(C.section_text(F.col("content"))).alias("text"))
 
 
 def decoded_toc(spark, sf_dir):
@@ -40,6 +40,28 @@ def decoded_resources(spark, sf_dir):
     return D.resources_of(D.read_books(_books(spark)), "book_id").select("book_id", "resource_id", "media_type", F.length("content").alias("size"))
 
 
+def _encoded(spark, sf_dir):
+    """Documents as files of three encodings, each with its byte-order mark."""
+    text = F.replace("text", F.lit("\n"), F.lit("\r\n\r\n"))
+    bom = lambda mark, charset: F.concat(F.unhex(F.lit(mark)), F.encode(text, charset))
+    turn = F.pmod("doc_id", F.lit(3))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.when(turn == 0, bom("FFFE", "UTF-16LE")).when(turn == 1, bom("FEFF", "UTF-16BE")).otherwise(bom("EFBBBF", "UTF-8")).alias("content"))
+
+
+def decoded_text_books(spark, sf_dir):
+    """Sections of plain-text books through the dispatcher, with the label that the contents give them."""
+    books = D.read_books(_encoded(spark, sf_dir)).filter(F.col("format") == "text")
+    one = books.select("doc_id", F.explode("sections").alias("s"), "toc")
+    label = F.get(F.filter("toc", lambda t: t["section_id"] == F.col("s.section_id")), F.lit(0))["label"]
+    return one.select("doc_id", F.col("s.section_id").alias("section_id"), label.alias("heading"))
+
+
+def section_bytes(spark, sf_dir):
+    """Bytes of three encodings as text again."""
+    text = F.replace(C.section_text(F.col("content")), F.lit("\r\n\r\n"), F.lit("\n"))
+    return _encoded(spark, sf_dir).select("doc_id", F.md5(text.cast("binary")).alias("md5"))
+
+
 def archive_entries(spark, sf_dir):
     return D.list_archives(_books(spark), "book_id").select("book_id", "ord", "name", "method", "uncompressed_size", "first", "error")
 
@@ -129,13 +151,15 @@ def column_geometry(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    decoded_books, decoded_sections, decoded_toc, decoded_resources, archive_entries, format_claims, sanitized_pages, sanitizer_removals, css_references,
+    decoded_books, decoded_text_books, section_bytes, decoded_sections, decoded_toc, decoded_resources, archive_entries, format_claims, sanitized_pages, sanitizer_removals, css_references,
     key_intents, tap_intents, gestures, protocol_validate, session_replay, column_geometry,
 )}
 ORACLES = {
     "decoded_books": """SELECT * FROM (VALUES (0::BIGINT, 'epub', 'The Small Lamp', 'N. Body', 'en', 'urn:x:1', 'OPS/img/p.png', 'ltr', false, NULL),
-        (1, 'fb2', 'Two Roads', 'Ann Onym', 'en', 'doc-7', 'cov', NULL, NULL, NULL), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'UnrecognizedFormat'),
+        (1, 'fb2', 'Two Roads', 'Ann Onym', 'en', 'doc-7', 'cov', NULL, NULL, NULL), (2, 'text', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
         (3, 'epub', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'CorruptContainer')) AS v(book_id, format, title, author, language, identifier, cover, direction, fixed_layout, error)""",
+    "decoded_text_books": f"SELECT doc_id, section_id, heading FROM ({_SECTIONS_SQL})",
+    "section_bytes": "SELECT doc_id, md5(text) AS md5 FROM documents",
     "format_claims": "SELECT * FROM (VALUES (0::BIGINT, false, false), (1, false, true), (2, true, false), (3, true, false), (4, false, false), (5, false, false), (6, false, false), (7, false, false)) AS v(id, is_text, is_fb2)",
     "sanitizer_removals": "SELECT name, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS name FROM pages) WHERE name IN ('script', 'meta', 'title', 'iframe', 'button', 'input') GROUP BY name",
     "css_references": "SELECT * FROM (VALUES (0::BIGINT, 'import', 'a.css', 8::BIGINT, 15::BIGINT), (0, 'url', 'x.png', 30, 40), (2, 'url', 'f.woff', 6, 21)) AS v(id, kind, value, start, \"end\")",

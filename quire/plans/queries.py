@@ -166,7 +166,7 @@ def resolve_shifted_text(spark, sf_dir):
 
 def sentences_count(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(C.sentences(F.col("text"), F.lit("s0"))).cast("long").alias("sentences"))
+    return docs.select("doc_id", C.sentence_count(F.col("text")).alias("sentences"))
 
 
 def chunk_ranges(spark, sf_dir):

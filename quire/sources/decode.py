@@ -9,6 +9,7 @@ import base64
 import binascii
 import hashlib
 import posixpath
+import re
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.unicode import SPACE_CHARS, collapse
+from ..functions.columns import HEADING_WORDS
+from ..functions.unicode import SPACE, SPACE_CHARS, collapse
 from . import xmltree
 from .archive import Archive, ArchiveError
 from .xmltree import Node
@@ -420,15 +422,62 @@ def decode_text(data: bytes) -> str:
         return "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in data)
 
 
+def _is_heading(block: str) -> bool:
+    size = len(block.encode("utf-16-le")) // 2
+    if "\n" in block or not 0 < size <= 60:
+        return False
+    capitals = size <= 48 and re.search("[A-Z]", block) and not re.search("[a-z]", block)
+    return bool(capitals or re.match(rf"(?i)(?:{HEADING_WORDS})\b", block, re.ASCII))
+
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _section_markup(heading: str | None, paragraphs: list[str]) -> str:
+    title = "" if heading is None else f"<h2>{_escaped(heading)}</h2>"
+    lines = (re.sub("[ \t]+", " ", re.sub(f"[{SPACE}]*\n[{SPACE}]*", " ", p)).strip(SPACE_CHARS) for p in paragraphs)
+    body = "".join(f"<p>{_escaped(p)}</p>" for p in lines)
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><meta charset="UTF-8"/></head><body>{title}{body}</body></html>'
+
+
+def decode_text_book(data: bytes) -> dict:
+    """A plain text as a book: blocks parted by blank lines, a heading starts a section, headings are the contents."""
+    text = re.sub("\r\n?", "\n", decode_text(data))
+    runs: list[tuple[str | None, list[str]]] = [(None, [])]
+    for block in re.split(r"\n[ \t]*\n+", text):
+        block = block.strip(SPACE_CHARS)
+        if block and _is_heading(block):
+            runs.append((collapse(block), []))
+        elif block:
+            runs[-1][1].append(block)
+    runs = [r for r in runs if r[0] is not None or r[1]] or runs
+    head = text[:4000]
+    named = {k: re.search(rf"(?im)^{k}:\s*(.+)$", head) for k in ("Title", "Author")}
+    banner = re.search(r"(?i)Project Gutenberg eBook of\s+(.+?)(?:,\s*by\s+(.+?))?[\r\n]", head)
+    title, author = (m and collapse(m[1]) for m in named.values())
+    if title is None and banner:
+        title, author = collapse(banner[1]), author or (banner[2] and collapse(banner[2]))
+    sections = [
+        {"section_id": f"s{k}", "media_type": "application/xhtml+xml", "path": None, "linear": True, "scripted": False, "content": _section_markup(*run).encode(), "error": None}
+        for k, run in enumerate(runs)
+    ]
+    toc = [{"node_id": n, "parent_id": None, "depth": 0, "label": runs[k][0], "section_id": f"s{k}", "fragment": None} for n, k in enumerate(k for k, r in enumerate(runs) if r[0] is not None)]
+    return {
+        "format": "text", "title": title, "author": author, "language": None, "identifier": None, "cover": None, "direction": None, "fixed_layout": None,
+        "sections": sections, "toc": toc, "resources": [],
+    }
+
+
 # --- Spark ------------------------------------------------------------------------------------------------------
 
 _SECTION = "struct<section_id:string,media_type:string,path:string,linear:boolean,scripted:boolean,content:binary,error:string>"
 _TOC = "struct<node_id:int,parent_id:int,depth:int,label:string,section_id:string,fragment:string>"
 _RESOURCE = "struct<resource_id:string,media_type:string,content:binary,error:string>"
-FORMATS = {"epub": (claims_epub, decode_epub), "fb2": (claims_fb2, decode_fb2), "text": (claims_text, None)}
+FORMATS = {"epub": (claims_epub, decode_epub), "fb2": (claims_fb2, decode_fb2), "text": (claims_text, decode_text_book)}
 
 
-def decode(data: bytes, formats=("epub", "fb2")) -> dict:
+def decode(data: bytes, formats=("epub", "fb2", "text")) -> dict:
     """The first format that claims the bytes decodes them; faults are the row's ``error``."""
     empty = {"sections": [], "toc": [], "resources": []}
     for name in formats:
@@ -449,7 +498,7 @@ BOOK_DDL = (
 )
 
 
-def read_books(files: DataFrame, content: str = "content", formats=("epub", "fb2")) -> DataFrame:
+def read_books(files: DataFrame, content: str = "content", formats=("epub", "fb2", "text")) -> DataFrame:
     """Decoded books of files (as ``spark.read.format("binaryFile")`` gives them); other columns pass through.
 
     One narrow stage, a book at a time in an Arrow batch of its own, so memory follows the largest book."""

@@ -7,11 +7,11 @@ import pytest
 import regex
 
 from quire.operators import reader
-from quire.plans import formats, queries
+from quire.plans import formats, layout, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages conversations events benchmark labels embeddings".split()
-QUERIES, ORACLES = queries.QUERIES | formats.QUERIES, queries.ORACLES | formats.ORACLES
+QUERIES, ORACLES = queries.QUERIES | formats.QUERIES | layout.QUERIES, queries.ORACLES | formats.ORACLES | layout.ORACLES
 
 
 def shown(v):
