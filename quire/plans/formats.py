@@ -50,7 +50,7 @@ def _encoded(spark, sf_dir):
 
 def decoded_text_books(spark, sf_dir):
     """Sections of plain-text books through the dispatcher, with the label that the contents give them."""
-    books = D.read_books(_encoded(spark, sf_dir)).filter(F.col("format") == "text")
+    books = D.read_books(_encoded(spark, sf_dir), formats=("epub", "fb2", "text")).filter(F.col("format") == "text")
     one = books.select("doc_id", F.explode("sections").alias("s"), "toc")
     label = F.get(F.filter("toc", lambda t: t["section_id"] == F.col("s.section_id")), F.lit(0))["label"]
     return one.select("doc_id", F.col("s.section_id").alias("section_id"), label.alias("heading"))
@@ -156,7 +156,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLES = {
     "decoded_books": """SELECT * FROM (VALUES (0::BIGINT, 'epub', 'The Small Lamp', 'N. Body', 'en', 'urn:x:1', 'OPS/img/p.png', 'ltr', false, NULL),
-        (1, 'fb2', 'Two Roads', 'Ann Onym', 'en', 'doc-7', 'cov', NULL, NULL, NULL), (2, 'text', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+        (1, 'fb2', 'Two Roads', 'Ann Onym', 'en', 'doc-7', 'cov', NULL, NULL, NULL), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'UnrecognizedFormat'),
         (3, 'epub', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'CorruptContainer')) AS v(book_id, format, title, author, language, identifier, cover, direction, fixed_layout, error)""",
     "decoded_text_books": f"SELECT doc_id, section_id, heading FROM ({_SECTIONS_SQL})",
     "section_bytes": "SELECT doc_id, md5(text) AS md5 FROM documents",

@@ -108,3 +108,20 @@ def test_hrefs():
     assert decode.resolve_href("a/b/", "../c%20d.x#f%20g") == ("a/c d.x", "f g")
     assert decode.resolve_href("a/", "/r/./s") == ("r/s", None) and decode.resolve_href("", "..") is None and decode.resolve_href("", "http:x") is None
     assert decode.resolve_href("", "a%zz") == ("a%zz", None)
+
+
+def test_plain_text_book():
+    data = "Title: A  Way\r\nAuthor: B. C\r\n\r\nFirst & only\r\n  line.\r\n\r\nCHAPTER I\r\n\r\nBody.".encode("utf-16")
+    book = decode.decode(data, ("epub", "fb2", "text"))
+    assert (book["format"], book["title"], book["author"], book["error"]) == ("text", "A Way", "B. C", None)
+    assert [s["section_id"] for s in book["sections"]] == ["s0", "s1"]
+    assert b"<p>First &amp; only line.</p>" in book["sections"][0]["content"] and b"<h2>CHAPTER I</h2><p>Body.</p>" in book["sections"][1]["content"]
+    assert [(t["label"], t["section_id"]) for t in book["toc"]] == [("CHAPTER I", "s1")]
+    assert decode.decode(b"", ("text",))["error"]["kind"] == "UnrecognizedFormat" and decode.decode(b"\xef\xbb\xbf", ("text",))["sections"][0]["section_id"] == "s0"
+
+
+def test_host_messages_keep_known_fields():
+    from quire.operators import reader
+
+    assert reader.host_message('{"v":13,"type":"goToPage","id":1,"page":2,"more":3}') == '{"v": 13, "type": "goToPage", "id": 1, "page": 2}'
+    assert reader.host_message('{"v":13,"type":"goToPage","id":1}') is None and reader.host_message('{"v":13,"type":"tap","id":1}') is None
