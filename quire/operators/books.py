@@ -143,8 +143,10 @@ def window_score(words: Column, other: Column, samples: int = 20, size: int = 25
     lo, hi = F.floor(n * 0.1), F.floor(n * 0.9) - size
     whole = F.concat(F.lit(" "), F.array_join(other, " "), F.lit(" "))
     at = lambda i: (lo + F.floor((hi - lo) * i / F.lit(samples))).cast("int")
-    held = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.contains(whole, F.concat(F.lit(" "), F.array_join(F.slice(words, at(i) + 1, size), " "), F.lit(" "))).cast("int"))
-    return F.when(hi > lo, F.aggregate(held, F.lit(0), lambda a, x: a + x) / F.lit(float(samples))).otherwise(F.lit(0.0))
+    window = lambda i: F.concat(F.lit(" "), F.array_join(F.slice(words, at(i) + 1, size), " "), F.lit(" "))
+    held = lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(samples - 1)), F.lit(0), lambda a, i: a + F.contains(w, window(i)).cast("int"))
+    found = F.get(F.transform(F.array(whole), held), F.lit(0))  # a lambda's argument: the joined text is made once
+    return F.when(hi > lo, found / F.lit(float(samples))).otherwise(F.lit(0.0))
 
 
 def column_width(width: Column, gap: Column, columns: Column) -> Column:
