@@ -493,6 +493,23 @@ def test_neighbours_of_repeated_rows(spark):
     assert sorted((r.rank, r.vec_id) for r in got) == sorted((k, i) for k, (_, i) in enumerate(best, 1) for _ in range(3))
 
 
+def test_neighbours_in_leaves(spark):
+    """Where parts would be too large, each is parted again by a classifier of its own."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 12))[rng.integers(0, 300, 6000)] * 2 + rng.normal(size=(6000, 12)) * 0.7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    base = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(True).alias("q"))
+    tree = ann.plant(base, 6000, 12, 3000, 0.97, 10, 32, 8)
+    assert (tree.parts, tree.subs, len(tree.below)) == (8, 8, 8) and all(tree.below.values()) and tree.leaf_probes < 48
+    got = ann.search(df, F.col("vec_id") % 100 == 0, sample=3000, rows_a_part=32, fan=8).toPandas()
+    assert sorted(got.groupby("query_id").size().tolist()) == [10] * 60
+    d = np.sqrt(((x[::100, None] - x[None]) ** 2).sum(2))
+    d[np.arange(60), np.arange(60) * 100] = np.inf
+    best = np.argsort(d, axis=1)[:, :10]
+    hit = sum(len(set(best[q // 100]) & set(g["vec_id"])) for q, g in got.groupby("query_id"))
+    assert hit >= 0.9 * 600
+
+
 def test_neighbours_of_thin_parts(spark):
     """A query whose parts hold fewer than ten rows meets all parts."""
     rng = np.random.default_rng(10)
