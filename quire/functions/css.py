@@ -67,6 +67,8 @@ def inline(css: str, sheet: str, load, seen: tuple[str, ...] = ()) -> str:
             return "about:invalid"
         media, body = found
         if kind == "import":
+            if media.split(";")[0].strip().lower() != "text/css":
+                return "about:invalid"
             text = body if isinstance(body, str) else body.decode("utf-8", "replace")
             media, body = "text/css", inline(text, path, load, (*seen, sheet)).encode()
         elif not servable(media):

@@ -114,6 +114,44 @@ def chunk_ranges(nodes: DataFrame, key: str, order: str, tag: str, chars: str, b
     return nodes.groupBy(key).applyInArrow(run, schema)
 
 
+def chunk_stats(nodes: DataFrame, key: str, order: str, tag: str, chars: str, budget: int = CHUNK_CHARS) -> DataFrame:
+    """(key, and the counters of the packing) of each section's nodes."""
+    names = list(pack([], budget)[1])
+    schema = T.StructType([nodes.schema[key], *[T.StructField(n, T.LongType()) for n in names]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        _, stats = pack(list(zip(table[tag].to_pylist(), table[chars].to_pylist())), budget)
+        return pa.table([table[key][:1], *[pa.array([stats[n]], pa.int64()) for n in names]], names=[key, *names])
+
+    return nodes.groupBy(key).applyInArrow(run, schema)
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, one column a share): the value at ``floor(share * n)`` of the key's sorted values. Equal values are
+    counted before anything is sorted, so a key costs as many rows as it has different values."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(key)
+    upto = F.sum("_n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counted.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(own))
+    at = lambda share: F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(share)))
+    return ranked.groupBy(key).agg(*[F.min(F.when(F.col("_upto") > at(q), F.col(value))).alias(n) for n, q in shares.items()])
+
+
+def prose(text: Column) -> Column:
+    """Paragraphs of a digitised book that are prose: between the markers, of 120 characters or more, not all in
+    capitals, neither headings nor notes of those who made the file."""
+    start, end = F.instr(text, "*** START OF THE PROJECT GUTENBERG EBOOK"), F.instr(text, "*** END OF THE PROJECT GUTENBERG EBOOK")
+    line = F.instr(F.substring(text, start, F.length(text)), "\n")
+    first = F.when((start == 0) | (line == 0), F.lit(1)).otherwise(start + line)
+    last = F.when(end == 0, F.length(text) + 1).otherwise(end)
+    body = F.substring(text, first, F.greatest(last - first, F.lit(0)))
+    clean = F.transform(F.split(body, r"\r?\n[ \t]*\r?\n"), lambda p: F.trim(F.replace(F.regexp_replace(p, f"[{C.SPACE}]+", " "), F.lit("_"), F.lit(""))))
+    #: How paragraphs that are no prose begin, and what they hold.
+    begins, holds = "(?i)^(chapter|contents|illustrations|list of|produced by|transcriber)", "(?i)project gutenberg|etext|proofread"
+    return F.filter(clean, lambda p: (C.u16_length(p) >= 120) & (p != F.upper(p)) & ~p.rlike(begins) & ~p.rlike(holds))
+
+
 def containing(offsets: DataFrame, ranges: DataFrame, key: str, offset: str, start: str = "start", end: str = "end") -> DataFrame:
     """Offsets with the range that holds them, as an as-of join without a nested loop: starts and offsets are merged
     in order within each key and the last start is carried forward."""

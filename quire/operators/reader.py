@@ -155,6 +155,22 @@ def typography_variables(a: dict) -> dict | None:
     return {k: v for k, v in out.items() if v is not None} or None
 
 
+def theme_style_sheet(a: dict, layer: str, root: str) -> str:
+    """The style sheet of an appearance: defaults in a cascade layer, the surface of the element ``root``, the colours
+    that follow the system, then a forced theme and the typography that is set."""
+    block = lambda v: ":root{" + ";".join(f"{k}:{x}" for k, x in v.items()) + "}"
+    use = lambda name, *also: [f"{p}:var(--wr-{name}) !important" for p in (*also, name)]
+    surface = "{background:var(--wr-background);color:var(--wr-color)}"
+    defaults = f"html{surface}body{surface}a{{color:var(--wr-link-color)}}::selection{{background:var(--wr-selection-background);color:var(--wr-selection-color)}}"
+    forced, typography = theme_variables(a), typography_variables(a) or {}
+    rules = [r for name in ("font-family", "font-size", "line-height", "text-align", "hyphens") if f"--wr-{name}" in typography for r in use(name, *(["-webkit-hyphens"] if name == "hyphens" else []))]
+    return "".join((
+        f"@layer {layer};@layer {layer}{{{defaults}}}", f"#{root}{{{';'.join(use('background') + use('color'))}}}",
+        block(THEMES["light"]), f"@media (prefers-color-scheme: dark){{{block(THEMES['dark'])}}}", "" if forced is None else block(forced),
+        f"{block(typography)}#{root}{{{';'.join(rules)}}}" if rules else "",
+    ))
+
+
 def reflows(update: dict) -> bool:
     return any(update.get(k) is not None for k in REFLOWS)
 

@@ -139,7 +139,7 @@ def session_replay(spark, sf_dir):
     verbs = F.array(*[F.lit(v) for v in ("next", "prev", "link", "back", "end")])
     events = _table(spark, sf_dir, "events").select(
         F.col("user_id").cast("long").alias("session"), F.col("event_id").cast("long").alias("seq"),
-        F.get(verbs, F.pmod(F.xxhash64("event_type", "event_id"), F.lit(5)).cast("int")).alias("verb"), F.pmod("event_id", F.lit(7)).cast("int").alias("target"),
+        F.get(verbs, (F.floor(F.col("event_id") / 3) % 5).cast("int")).alias("verb"), F.pmod("event_id", F.lit(7)).cast("int").alias("target"),
     )
     return R.replay(events, [4] * 5)
 
@@ -158,6 +158,14 @@ ORACLES = {
     "decoded_books": """SELECT * FROM (VALUES (0::BIGINT, 'epub', 'The Small Lamp', 'N. Body', 'en', 'urn:x:1', 'OPS/img/p.png', 'ltr', false, NULL),
         (1, 'fb2', 'Two Roads', 'Ann Onym', 'en', 'doc-7', 'cov', NULL, NULL, NULL), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'UnrecognizedFormat'),
         (3, 'epub', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'CorruptContainer')) AS v(book_id, format, title, author, language, identifier, cover, direction, fixed_layout, error)""",
+    "session_replay": """WITH RECURSIVE e AS (SELECT CAST(user_id AS BIGINT) AS session, CAST(event_id AS BIGINT) AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id // 3 % 5 AS v, event_id % 7 AS target FROM events),
+        r AS (SELECT DISTINCT session, 0::BIGINT AS seq, 0::BIGINT AS i, 0::BIGINT AS p, []::BIGINT[] AS s, '' AS status FROM e
+          UNION ALL SELECT session, seq, i, q, s, CASE WHEN v = 2 AND target > 4 THEN 'error' WHEN q <> p THEN 'moved' ELSE 'none' END FROM (
+            SELECT e.session, e.seq, e.i, e.v, e.target, r.p,
+              CASE v WHEN 0 THEN least(p + 1, 19) WHEN 1 THEN greatest(p - 1, 0) WHEN 4 THEN 19 WHEN 2 THEN CASE WHEN target > 4 THEN p ELSE target * 4 END ELSE coalesce(s[len(s)], p) END AS q,
+              CASE WHEN v = 2 AND target <= 4 THEN list_append(s, p) WHEN v = 3 THEN s[1 : len(s) - 1] ELSE s END AS s
+            FROM r JOIN e ON e.session = r.session AND e.i = r.i + 1))
+        SELECT session, seq, CAST(p // 4 AS INT) AS section, CAST(p % 4 AS INT) AS page, CAST(len(s) AS INT) AS depth, status FROM r WHERE i > 0""",
     "decoded_text_books": f"SELECT doc_id, section_id, heading FROM ({_SECTIONS_SQL})",
     "section_bytes": "SELECT doc_id, md5(text) AS md5 FROM documents",
     "format_claims": "SELECT * FROM (VALUES (0::BIGINT, false, false), (1, false, true), (2, true, false), (3, true, false), (4, false, false), (5, false, false), (6, false, false), (7, false, false)) AS v(id, is_text, is_fb2)",

@@ -37,7 +37,7 @@ _READING = (
 def search_pages(spark, sf_dir):
     text = reading_text_pages(spark, sf_dir).withColumn("section", F.lit("s0")).withColumn("index", F.lit(0))
     hits = B.search_sections(text, PAGE_QUERY, "page_id", "section", "index", "text")
-    return hits.select("page_id", "hit_ord", "start_u16", "text")
+    return hits.select("page_id", F.col("hit_ord").cast("long").alias("hit_ord"), F.col("start_u16").cast("long").alias("start_u16"), "text")
 
 
 def search_pages_hit_counts(spark, sf_dir):
@@ -149,11 +149,14 @@ def collapse_escape_documents(spark, sf_dir):
 def position_roundtrip(spark, sf_dir):
     """Captured positions of each document at every 500th unit, serialised, parsed and resolved again."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sequence(F.lit(0), F.length("text"), F.lit(500)).alias("at"))
-    held = docs.select("doc_id", "text", C.capture_all(F.col("text"), F.col("at"), F.col("doc_id").cast("string")).alias("p"))
-    found = held.select("doc_id", "p", C.resolve_all(F.col("text"), F.col("p")).alias("r"))
-    pairs = found.select("doc_id", F.explode(F.arrays_zip("p", "r")).alias("x"))
+    held = docs.select("doc_id", "text", "at", C.capture_all(F.col("text"), F.col("at"), F.col("doc_id").cast("string")).alias("p"))
+    found = held.select("doc_id", "at", "p", C.resolve_all(F.col("text"), F.col("p")).alias("r"))
+    pairs = found.select("doc_id", F.explode(F.arrays_zip("at", "p", "r")).alias("x"))
     parsed = pairs.select("doc_id", "x", C.parse_position(F.col("x.p.serialized")).alias("q"))
-    return parsed.select("doc_id", F.col("x.p.offset_g").alias("captured"), F.col("x.r.offset_g").alias("resolved"), (F.col("q.position.exact") == F.col("x.p.exact")).alias("same"))
+    return parsed.select(
+        "doc_id", F.col("x.at").cast("long").alias("asked"), (F.col("x.r.offset_g") == F.col("x.p.offset_g")).alias("resolved"),
+        ((F.col("q.position.exact") == F.col("x.p.exact")) & (F.col("q.position.offset_g") == F.col("x.p.offset_g"))).alias("same"),
+    )
 
 
 def resolve_shifted_text(spark, sf_dir):
@@ -301,7 +304,17 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _SMART_FROM, _SMART_TO = "".join(SMART), "".join(SMART.values()).replace("'", "''")
+_WORDS_SQL = r"regexp_extract_all(lower(translate(text, '’‘' || chr(173), chr(39) || chr(39))), '[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)*')"
 ORACLES = {
+    "search_pages": _hits_sql(f"(SELECT page_id, {_READING} AS text FROM pages)", ["page_id"], PAGE_QUERY).format(extra=f", substr(text, p, {len(PAGE_QUERY)}) AS text"),
+    "position_roundtrip": "SELECT doc_id, unnest(range(0, length(text) + 1, 500)) AS asked, true AS resolved, true AS same FROM documents",
+    "window_score": f"""WITH w AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents), n AS (SELECT doc_id, w, CAST(floor(len(w) * 0.1) AS BIGINT) AS lo, CAST(floor(len(w) * 0.9) AS BIGINT) - 25 AS hi FROM w WHERE len(w) >= 100),
+        b AS (SELECT *, ' ' || array_to_string(list_reverse(w), ' ') || ' ' AS back, ' ' || array_to_string(w, ' ') || ' ' AS own FROM n),
+        c AS (SELECT *, list_transform(range(0, 20), lambda i: ' ' || array_to_string(w[lo + (hi - lo) * i // 20 + 1 : lo + (hi - lo) * i // 20 + 25], ' ') || ' ') AS p FROM b)
+        SELECT doc_id, CASE WHEN hi > lo THEN len(list_filter(p, lambda x: contains(own, x))) / 20.0::DOUBLE ELSE 0 END AS self_score, CASE WHEN hi > lo THEN len(list_filter(p, lambda x: contains(back, x))) / 20.0::DOUBLE ELSE 0 END < 0.2 AS reversed_differs FROM c""",
+    "sentences_count": """WITH t AS (SELECT doc_id, text, regexp_replace(text, '[.][^\\p{L}\\n.!?。！？]*\\p{Ll}', 'x', 'g') AS u FROM documents),
+        c AS (SELECT doc_id, len(regexp_extract_all(u, '[.!?…。！？]+[)\\]}"”’»›]*(?:[ \\n]+|$|[^\\s\\p{L}\\p{N}.!?,;:-])|[。！？]+')) AS n, regexp_matches(u, '[^\\s.!?…。！？][)\\]}"”’»›]*\\s*$') AS tail FROM t)
+        SELECT doc_id, CAST(n + CAST(tail AS INT) AS BIGINT) AS sentences FROM c""",
     "reading_text_pages": f"SELECT page_id, {_READING} AS text FROM pages",
     "search_pages_hit_counts": f"WITH f AS (SELECT page_id, lower(regexp_replace({_READING}, '[{SPACE_SQL}]+', ' ', 'g')) AS f FROM pages) SELECT page_id, CAST((length(f) - length(replace(f, '{PAGE_QUERY}', ''))) / {len(PAGE_QUERY)} AS BIGINT) AS hits FROM f WHERE contains(f, '{PAGE_QUERY}')",
     "search_documents_hits": _hits_sql("documents", ["doc_id"], QUERY).format(extra=f", substr(text, p, {len(QUERY)}) AS text"),
