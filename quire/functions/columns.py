@@ -4,6 +4,8 @@ Everything that Spark's functions can say is built from them; the rest is one Ar
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ reading_text = kernel(markup.reading_text, T.StringType())
 fold = kernel(unicode.fold, T.StringType())
 decode_entities = kernel(markup.decode_entities, T.StringType())
 sentences = kernel(lambda text, section: positions.sentences(text, section or ""), T.ArrayType(SENTENCE))
-search = kernel(lambda text, query, section, index: matching.search(text, query or "", section or "", index or 0), T.ArrayType(HIT))
+search = kernel(lambda text, query, section, index, most: matching.search(text, query or "", section or "", index or 0, most=most), T.ArrayType(HIT))
 parse_position = kernel(lambda s: dict(zip(("position", "error"), positions.parse(s))), PARSED)
 sentence_count = kernel(lambda text: len(unicode.sentence_runs(text)), T.LongType())
 _utf16_text = kernel(lambda data: bytes(data[2:]).decode("utf-16-le" if data[:1] == b"\xff" else "utf-16-be", "replace"), T.StringType())
@@ -82,6 +84,24 @@ def u16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+_nfkc = kernel(lambda text: unicodedata.normalize("NFKC", text), T.StringType())
+
+
+def beyond_ascii(text: Column) -> Column:
+    return text.rlike(r"[^\x00-\x7f]")
+
+
+def nfkc(text: Column) -> Column:
+    """The compatibility form; Python sees only the rows that are not ASCII."""
+    return F.when(beyond_ascii(text), _nfkc(F.when(beyond_ascii(text), text))).otherwise(text)
+
+
+def may_hold(text: Column, query: str) -> Column:
+    """False only for ASCII texts without the folded query, which the JVM alone can tell."""
+    folded = F.regexp_replace(F.lower(text), r"[\t-\r ]+", " ")
+    return beyond_ascii(text) | F.contains(folded, F.lit(unicode.fold(query)))
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 

@@ -12,8 +12,8 @@ _WORDS = regex.compile(r"(?w)\b")
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}\p{M}]")
 
 
-def search(text: str, query: str, section: str, index: int, radius: int = RADIUS) -> list[dict]:
-    """Non-overlapping hits in order: matched raw text, context cut to words, position."""
+def search(text: str, query: str, section: str, index: int, radius: int = RADIUS, most: int | None = None) -> list[dict]:
+    """Non-overlapping hits in order: matched raw text, context cut to words, position. The scan stops after ``most``."""
     needle = fold(query)
     if not needle or needle not in fold(text):
         return []
@@ -23,7 +23,7 @@ def search(text: str, query: str, section: str, index: int, radius: int = RADIUS
     unit = [0]
     for c in folded if wide else "":
         unit.append(unit[-1] + (2 if c > "\uffff" else 1))
-    while (at := folded.find(needle, lo)) != -1:
+    while (most is None or len(out) < most) and (at := folded.find(needle, lo)) != -1:
         lo = at + len(needle)
         first, last = (unit[at], unit[lo]) if wide else (at, lo)
         begin, end = places[first], places[last]

@@ -63,11 +63,19 @@ def section_markup(heading: Column, paragraphs: Column) -> Column:
     )
 
 
-def search_sections(sections: DataFrame, query: str, key: str, section: str, index: str, text: str) -> DataFrame:
-    """Hits of every section, one row each. Sections without the folded query leave Python as empty arrays and never
-    reach the explode."""
-    hits = C.search(F.col(text), F.lit(query), F.col(section).cast("string"), F.col(index).cast("int"))
-    return sections.select(key, section, F.explode(hits).alias("hit")).select(key, section, "hit.*")
+def search_sections(sections: DataFrame, query: str, key: str, section: str, index: str, text: str, most: int | None = None) -> DataFrame:
+    """Hits of every section, one row each; of at most ``most`` a section. ASCII sections without the query never reach
+    Python; others leave it as empty arrays and never reach the explode."""
+    hits = C.search(F.col(text), F.lit(query), F.col(section).cast("string"), F.col(index).cast("int"), F.lit(most).cast("int"))
+    return sections.filter(C.may_hold(F.col(text), query)).select(key, section, F.explode(hits).alias("hit")).select(key, section, "hit.*")
+
+
+def first_hits(sections: DataFrame, query: str, key: str, section: str, index: str, text: str, n: int) -> DataFrame:
+    """The first ``n`` hits of each book in reading order: every section's scan stops at n, and the rank is limited
+    before the shuffle, so a book sends at most n rows a task."""
+    hits = search_sections(sections, query, key, section, index, text, n)
+    reading = Window.partitionBy(key).orderBy("section_index", "hit_ord")
+    return hits.withColumn("nth", F.row_number().over(reading)).filter(F.col("nth") <= n)
 
 
 def pack(nodes: list[tuple[str, int]], budget: int = CHUNK_CHARS) -> tuple[list[tuple[int, int, int]], dict]:
@@ -169,8 +177,8 @@ def tally(df: DataFrame, name: str) -> DataFrame:
 
 
 def word_stream(text: Column) -> Column:
-    """Words of letters and digits with inner apostrophes, lower-cased, soft hyphens dropped, quotes folded. (The
-    compatibility form of a text that has one is the caller's: Spark has no normaliser.)"""
+    """Words of letters and digits with inner apostrophes, lower-cased, soft hyphens dropped, quotes folded, of a text
+    in its compatibility form (``columns.nfkc``, where the caller's text may need it)."""
     clean = F.translate(F.lower(text), "’‘\u00ad", "''")
     return F.regexp_extract_all(clean, F.lit(r"([\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*)"), F.lit(1))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import struct
 import zipfile
@@ -36,6 +37,42 @@ def epub(opf: str = OPF, extra: tuple[tuple[str, bytes], ...] = (), drop: tuple[
     return archive([e for e in entries if e[0] not in drop], ("mimetype",))
 
 
+def _page(lines: list[str]) -> str:
+    body = "".join(f"<p>{html.escape(line, quote=False)}</p>" for line in lines)
+    return f'<html xmlns="http://www.w3.org/1999/xhtml"><body>{body}</body></html>'
+
+
+def parts(text: str, size: int = 5) -> list[list[str]]:
+    lines = text.split("\n")
+    return [lines[at : at + size] for at in range(0, len(lines), size)]
+
+
+def text_epub(name: str, language: str, text: str) -> bytes:
+    """A text as an EPUB: five lines a chapter, every second one outside the linear order, its bytes as an entry."""
+    chapters = parts(text)
+    items = "".join(f'<item id="c{k}" href="text/c%20{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(len(chapters)))
+    spine = "".join(f'<itemref idref="c{k}"{" linear=" + chr(34) + "no" + chr(34) if k % 2 else ""}/>' for k in range(len(chapters)))
+    points = "".join(f'<li><a href="text/c%20{k}.xhtml#top">Part  {k}</a></li>' for k in range(len(chapters)))
+    opf = (
+        '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
+        f'<dc:identifier id="uid">urn:x:{name}</dc:identifier><dc:title>Text  {name}</dc:title><dc:language>{language}</dc:language></metadata><manifest>'
+        f'<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="raw" href="raw.txt" media-type="text/plain"/>{items}</manifest><spine>{spine}</spine></package>'
+    )
+    nav = f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>{points}</ol></nav></body></html>'
+    entries = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", CONTAINER), ("OPS/book.opf", opf), ("OPS/nav.xhtml", nav), ("OPS/raw.txt", text)]
+    entries += [(f"OPS/text/c {k}.xhtml", _page(lines)) for k, lines in enumerate(chapters)]
+    return archive([(n, b.encode()) for n, b in entries], ("mimetype", "OPS/raw.txt"))
+
+
+def text_fb2(name: str, language: str, text: str) -> bytes:
+    """A text as a single-file XML book: five lines a section, each with a title."""
+    body = "".join(f"<section><title><p>Part {k}</p></title>{''.join(f'<p>{html.escape(line, quote=False)}</p>' for line in lines)}</section>" for k, lines in enumerate(parts(text)))
+    return (
+        '<?xml version="1.0" encoding="UTF-8"?><FictionBook xmlns:l="http://www.w3.org/1999/xlink"><description><title-info><author><first-name>Ann</first-name></author>'
+        f"<book-title>Text {name}</book-title><lang>{language}</lang></title-info><document-info><id>{name}</id></document-info></description><body>{body}</body></FictionBook>"
+    ).encode()
+
+
 def raw_archive(entries: list[dict], comment: bytes = b"") -> bytes:
     """An archive written field by field, so that records may lie."""
     body, table = b"", b""

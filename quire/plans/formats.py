@@ -40,6 +40,46 @@ def decoded_resources(spark, sf_dir):
     return D.resources_of(D.read_books(_books(spark)), "book_id").select("book_id", "resource_id", "media_type", F.length("content").alias("size"))
 
 
+def _made(spark, sf_dir, maker):
+    """Every document as a book's file, as binaryFile rows would bring it."""
+    file = C.kernel(lambda text, name, lang: maker(name, lang or "und", text), T.BinaryType())
+    return _table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", file(F.col("text"), F.col("doc_id").cast("string"), F.col("lang")).alias("content"))
+
+
+def epub_documents(spark, sf_dir):
+    """Documents written as EPUB files and decoded: metadata, and how many sections, points and resources."""
+    books = D.read_books(_made(spark, sf_dir, fixtures.text_epub))
+    return books.select("doc_id", "format", "title", "language", "identifier", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("sections", "toc")], F.col("error.kind").alias("error"))
+
+
+def epub_sections(spark, sf_dir):
+    found = D.sections_of(D.read_books(_made(spark, sf_dir, fixtures.text_epub)), "doc_id")
+    text = C.reading_text(C.section_text(F.col("content")))
+    return found.select("doc_id", F.col("section_index").cast("long").alias("section_index"), "section_id", "linear", F.md5(text.cast("binary")).alias("md5"))
+
+
+def epub_toc(spark, sf_dir):
+    found = D.toc_of(D.read_books(_made(spark, sf_dir, fixtures.text_epub)), "doc_id")
+    return found.select("doc_id", F.col("node_id").cast("long").alias("node_id"), "label", "section_id", "fragment")
+
+
+def epub_entries(spark, sf_dir):
+    """The archives' central directories: the place, name, method and size of the text's own entry."""
+    found = D.list_archives(_made(spark, sf_dir, fixtures.text_epub), "doc_id").filter("name = 'OPS/raw.txt'")
+    return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("method").cast("long").alias("method"), "compressed_size", "uncompressed_size", "first", "error")
+
+
+def fb2_documents(spark, sf_dir):
+    books = D.read_books(_made(spark, sf_dir, fixtures.text_fb2))
+    return books.select("doc_id", "format", "title", "author", "language", "identifier", F.size("sections").cast("long").alias("n_sections"), F.col("error.kind").alias("error"))
+
+
+def fb2_sections(spark, sf_dir):
+    found = D.sections_of(D.read_books(_made(spark, sf_dir, fixtures.text_fb2)), "doc_id")
+    text = C.reading_text(C.section_text(F.col("content")))
+    return found.select("doc_id", F.col("section_index").cast("long").alias("section_index"), F.md5(F.regexp_replace(text, "\\s", "").cast("binary")).alias("md5"))
+
+
 def _encoded(spark, sf_dir):
     """Documents as files of three encodings, each with its byte-order mark."""
     text = F.replace("text", F.lit("\n"), F.lit("\r\n\r\n"))
@@ -151,10 +191,18 @@ def column_geometry(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    decoded_books, decoded_text_books, section_bytes, decoded_sections, decoded_toc, decoded_resources, archive_entries, format_claims, sanitized_pages, sanitizer_removals, css_references,
+    decoded_books, epub_documents, epub_sections, epub_toc, epub_entries, fb2_documents, fb2_sections, decoded_text_books, section_bytes, decoded_sections, decoded_toc, decoded_resources, archive_entries, format_claims, sanitized_pages, sanitizer_removals, css_references,
     key_intents, tap_intents, gestures, protocol_validate, session_replay, column_geometry,
 )}
+_PARTS = """WITH l AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), n AS (SELECT *, (len(ls) + 4) // 5 AS n FROM l),
+p AS (SELECT doc_id, unnest(range(0, n)) AS k, ls FROM n) """
 ORACLES = {
+    "epub_documents": _PARTS + "SELECT doc_id, 'epub' AS format, 'Text  ' || doc_id AS title, coalesce(lang, 'und') AS language, 'urn:x:' || doc_id AS identifier, n AS n_sections, n AS n_toc, CAST(NULL AS VARCHAR) AS error FROM n",
+    "epub_sections": _PARTS + "SELECT doc_id, k AS section_index, 'c' || k AS section_id, k % 2 = 0 AS linear, md5(array_to_string(ls[k * 5 + 1 : k * 5 + 5], '')) AS md5 FROM p",
+    "epub_toc": _PARTS + "SELECT doc_id, k AS node_id, 'Part ' || k AS label, 'c' || k AS section_id, 'top' AS fragment FROM p",
+    "epub_entries": "SELECT doc_id, 4::BIGINT AS ord, 0::BIGINT AS method, octet_length(encode(text)) AS compressed_size, octet_length(encode(text)) AS uncompressed_size, true AS first, CAST(NULL AS VARCHAR) AS error FROM documents WHERE text IS NOT NULL",
+    "fb2_documents": _PARTS + "SELECT doc_id, 'fb2' AS format, 'Text ' || doc_id AS title, 'Ann' AS author, coalesce(lang, 'und') AS language, CAST(doc_id AS VARCHAR) AS identifier, n AS n_sections, CAST(NULL AS VARCHAR) AS error FROM n",
+    "fb2_sections": _PARTS + "SELECT doc_id, k AS section_index, md5(regexp_replace('Part' || k || array_to_string(ls[k * 5 + 1 : k * 5 + 5], ''), '\\s', '', 'g')) AS md5 FROM p",
     "decoded_books": """SELECT * FROM (VALUES (0::BIGINT, 'epub', 'The Small Lamp', 'N. Body', 'en', 'urn:x:1', 'OPS/img/p.png', 'ltr', false, NULL),
         (1, 'fb2', 'Two Roads', 'Ann Onym', 'en', 'doc-7', 'cov', NULL, NULL, NULL), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'UnrecognizedFormat'),
         (3, 'epub', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'CorruptContainer')) AS v(book_id, format, title, author, language, identifier, cover, direction, fixed_layout, error)""",

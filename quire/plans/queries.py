@@ -63,6 +63,13 @@ def search_conversations(spark, sf_dir):
     return hits.select("conv_id", F.col("section").cast("long").alias("turn"), F.col("hit_ord").cast("long").alias("hit_ord"), F.col("start_u16").cast("long").alias("start_u16"))
 
 
+def search_first_hits(spark, sf_dir):
+    """The first three hits of each conversation, turns being its sections."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.col("turn").cast("string").alias("section"))
+    hits = B.first_hits(turns, PAGE_QUERY, "conv_id", "section", "turn", "text", 3)
+    return hits.select("conv_id", F.col("nth").cast("long").alias("nth"), F.col("section").cast("long").alias("turn"), F.col("start_u16").cast("long").alias("start_u16"))
+
+
 def _hits_sql(table, keys, query):
     keyed = ", ".join(keys)
     return f"""
@@ -296,7 +303,7 @@ def quantiles_chars(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    reading_text_pages, search_pages, search_pages_hit_counts, search_documents_hits, search_context, search_conversations, fold_literals,
+    reading_text_pages, search_pages, search_pages_hit_counts, search_documents_hits, search_context, search_conversations, search_first_hits, fold_literals,
     text_blocks, text_headings, text_sections_lines_as_blocks, text_toc_lines_as_blocks, text_metadata_literals, grapheme_counts,
     collapse_escape_documents, position_roundtrip, resolve_shifted_text, sentences_count, chunk_ranges, chunk_at_offset, book_progress,
     classify_references, strip_markup_pages, window_score, removal_tally, crc32_vectors, sha1_key, spine_join, manifest_semi, manifest_anti,
@@ -319,6 +326,7 @@ ORACLES = {
     "search_pages_hit_counts": f"WITH f AS (SELECT page_id, lower(regexp_replace({_READING}, '[{SPACE_SQL}]+', ' ', 'g')) AS f FROM pages) SELECT page_id, CAST((length(f) - length(replace(f, '{PAGE_QUERY}', ''))) / {len(PAGE_QUERY)} AS BIGINT) AS hits FROM f WHERE contains(f, '{PAGE_QUERY}')",
     "search_documents_hits": _hits_sql("documents", ["doc_id"], QUERY).format(extra=f", substr(text, p, {len(QUERY)}) AS text"),
     "search_conversations": _hits_sql("conversations", ["conv_id", "turn"], PAGE_QUERY).format(extra=""),
+    "search_first_hits": f"SELECT conv_id, nth, turn, start_u16 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, hit_ord) AS nth FROM ({_hits_sql('conversations', ['conv_id', 'turn'], PAGE_QUERY).format(extra='')})) WHERE nth <= 3",
     "fold_literals": f"SELECT CAST(id AS BIGINT) AS id, trim(regexp_replace(lower(nfc_normalize(translate(raw, '{_SMART_FROM}', '{_SMART_TO}'))), '[{SPACE_SQL}\\x{{200B}}]+', ' ', 'g')) AS folded FROM {_values(_FOLD_ROWS, 'id, raw')}",
     "text_blocks": f"SELECT doc_id, CAST(ord AS BIGINT) AS ord, block FROM ({_LINES})",
     "text_headings": f"SELECT doc_id, CAST(ord AS BIGINT) AS ord, regexp_replace(block, '[{SPACE_SQL}]+', ' ', 'g') AS heading FROM ({_LINES}) WHERE {_HEADING_SQL}",

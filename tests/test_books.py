@@ -125,3 +125,53 @@ def test_host_messages_keep_known_fields():
 
     assert reader.host_message('{"v":13,"type":"goToPage","id":1,"page":2,"more":3}') == '{"v": 13, "type": "goToPage", "id": 1, "page": 2}'
     assert reader.host_message('{"v":13,"type":"goToPage","id":1}') is None and reader.host_message('{"v":13,"type":"tap","id":1}') is None
+
+
+def test_files_become_books(spark, tmp_path):
+    """Archives and single-file books read by Spark's own reader of files."""
+    from quire.plans import fixtures
+    from quire.sources import decode
+
+    (tmp_path / "a.epub").write_bytes(fixtures.text_epub("a", "en", "One.\nTwo & <three>."))
+    (tmp_path / "b.fb2").write_bytes(fixtures.text_fb2("b", "fr", "Un."))
+    (tmp_path / "c.bin").write_bytes(b"\0\0")
+    books = decode.read_books(spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content"))
+    found = {r.path.rsplit("/", 1)[1]: (r.format, r.language, len(r.sections), r.error and r.error.kind) for r in books.collect()}
+    assert found == {"a.epub": ("epub", "en", 1, None), "b.fb2": ("fb2", "fr", 1, None), "c.bin": (None, None, 0, "UnrecognizedFormat")}
+
+
+def test_resources_in_documents():
+    from quire.operators import resources
+
+    files = [("d/a.css", "Text/CSS ; x", b"@import 'b.css'; @import 'p.png'; i{background:url(http://x.org/i)}"), ("d/b.css", "text/css", b"@import url(a.css);"), ("d/p.png", "image/png", b"P"), ("d/p.png", "image/png", b"second")]
+    files = [dict(zip(("path", "media_type", "content"), f)) for f in files]
+    out = resources.apply_resources('<link href="a.css"><link><p>a<img alt="x">b<img src="data:,1"><img src="p.png#f"><img src="gone"></p><style>i{background:url(gone)}</style>', "d/s.xhtml", files)
+    assert out["alt_substituted"] == 1 and "axb" in out["html"] and out["html"].count("<link") == 1 and out["html"].count("<img") == 2
+    assert 'src="data:image/png;base64,UA=="' in out["html"] and 'url("about:invalid")' in out["html"]
+    assert resources.apply_resources("", "", None) == {"html": "", "alt_substituted": 0}
+    assert resources.top_level_nodes("<body> <p>ab</p>\n x<br>😀</body>") == [{"tag": "P", "chars": 2}, {"tag": "#text", "chars": 3}, {"tag": "BR", "chars": 0}, {"tag": "#text", "chars": 2}]
+    assert resources.element_offsets('<p>ab<i id="x">c</i></p> <p id="y"></p><b id="x">d</b>') == [{"id": "x", "offset": 2}, {"id": "y", "offset": 3}]
+
+
+def test_resolved_paths(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import resources
+    from quire.sources import decode
+
+    cases = [(b, r) for b in ("", "a/b/") for r in ("c.png", "../c.png", "../../../c.png", "/c//d", "./x%20y+z", "%zz", "%ff", "#f", "", "x:y", "..", "q#r#s", "é%C3%A9")]
+    df = spark.createDataFrame(cases, "b string, r string").select("b", "r", resources.resolved_path(F.col("b"), F.col("r")).alias("p"))
+    for row in df.collect():
+        want = decode.resolve_href(row.b, row.r)
+        assert row.p == (want and want[0]), row
+
+
+def test_compatibility_words(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import columns as C
+    from quire.operators import books as B
+
+    rows = [("ﬁne Ｗords’ it’s",), ("plain",), (None,)]
+    got = [r.w for r in spark.createDataFrame(rows, "t string").select(B.word_stream(C.nfkc(F.col("t"))).alias("w")).collect()]
+    assert got == [["fine", "words", "it's"], ["plain"], None]

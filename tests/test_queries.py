@@ -8,6 +8,7 @@ import regex
 
 from quire.operators import reader
 from quire.plans import formats, layout, marks, queries
+from quire.streaming.replay import replay_stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages conversations events benchmark labels embeddings".split()
@@ -59,7 +60,7 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "session long, seq long, verb string, target int"
     batch = spark.createDataFrame(rows, schema)
     batch.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = reader.replay_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), [2, 2])
+    stream = replay_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), [2, 2])
     q = stream.writeStream.format("memory").queryName("replayed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
