@@ -12,8 +12,9 @@ _WORDS = regex.compile(r"(?w)\b")
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}\p{M}]")
 
 
-def search(text: str, query: str, section: str, index: int, radius: int = RADIUS, most: int | None = None) -> list[dict]:
-    """Non-overlapping hits in order: matched raw text, context cut to words, position. The scan stops after ``most``."""
+def search(text: str, query: str, section: str, index: int, radius: int = RADIUS, most: int | None = None, bare: bool = False) -> list[dict]:
+    """Non-overlapping hits in order: matched raw text, context cut to words, position (``bare``: neither of the two).
+    The scan stops after ``most``."""
     needle = fold(query)
     if not needle or needle not in fold(text):
         return []
@@ -28,6 +29,9 @@ def search(text: str, query: str, section: str, index: int, radius: int = RADIUS
         first, last = (unit[at], unit[lo]) if wide else (at, lo)
         begin, end = places[first], places[last]
         hit = units.cut(begin, end).rstrip(SPACE_CHARS)
+        if bare:
+            out.append({"hit_ord": len(out), "start_u16": begin, "text": hit})
+            continue
         end = begin + u16(hit)
         c_lo, c_hi = places[max(0, first - radius)], places[min(len(places) - 1, last + radius)]
         out.append({"hit_ord": len(out), "start_u16": begin, "text": hit, "context": _context(units, c_lo, c_hi, begin, end), "section_index": index, **capture(units, begin, section)})

@@ -94,9 +94,13 @@ def fold(text: str) -> str:
     return fold_map(text)[0]
 
 
-def fold_map(text: str) -> tuple[str, list[int]]:
+def fold_map(text: str) -> tuple[str, list[int] | range]:
     """The search form, and for each of its UTF-16 units the raw UTF-16 offset it came from (a collapsed space: that
     of the text after it), with the raw length at the end."""
+    if _PLAIN.fullmatch(text) and "\u0130" not in text:
+        short = fold(text)
+        if len(short) == len(text):  # no run of spaces was shortened: every unit stays where it is
+            return short, range(len(text) + 1)
     units = Units(text)
     out, places, pending = [], [], False
     for part, start in zip(units.parts, units.starts):

@@ -63,10 +63,12 @@ def section_markup(heading: Column, paragraphs: Column) -> Column:
     )
 
 
-def search_sections(sections: DataFrame, query: str, key: str, section: str, index: str, text: str, most: int | None = None) -> DataFrame:
-    """Hits of every section, one row each; of at most ``most`` a section. ASCII sections without the query never reach
+def search_sections(sections: DataFrame, query: str, key: str, section: str, index: str, text: str, most: int | None = None, bare: bool = False) -> DataFrame:
+    """Hits of every section, one row each; of at most ``most`` a section; ``bare`` without context and position. ASCII sections without the query never reach
     Python; others leave it as empty arrays and never reach the explode."""
     hits = C.search(F.col(text), F.lit(query), F.col(section).cast("string"), F.col(index).cast("int"), F.lit(most).cast("int"))
+    if bare:
+        hits = C.search_places(F.col(text), F.lit(query), F.lit(most).cast("int"))
     return sections.filter(C.may_hold(F.col(text), query)).select(key, section, F.explode(hits).alias("hit")).select(key, section, "hit.*")
 
 

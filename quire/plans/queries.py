@@ -36,7 +36,7 @@ _READING = (
 
 def search_pages(spark, sf_dir):
     text = reading_text_pages(spark, sf_dir).withColumn("section", F.lit("s0")).withColumn("index", F.lit(0))
-    hits = B.search_sections(text, PAGE_QUERY, "page_id", "section", "index", "text")
+    hits = B.search_sections(text, PAGE_QUERY, "page_id", "section", "index", "text", bare=True)
     return hits.select("page_id", F.col("hit_ord").cast("long").alias("hit_ord"), F.col("start_u16").cast("long").alias("start_u16"), "text")
 
 
@@ -49,7 +49,7 @@ def search_pages_hit_counts(spark, sf_dir):
 
 def search_documents_hits(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("s0").alias("section"), F.lit(0).alias("index"))
-    return B.search_sections(docs, QUERY, "doc_id", "section", "index", "text").select("doc_id", F.col("hit_ord").cast("long").alias("hit_ord"), F.col("start_u16").cast("long").alias("start_u16"), "text")
+    return B.search_sections(docs, QUERY, "doc_id", "section", "index", "text", bare=True).select("doc_id", F.col("hit_ord").cast("long").alias("hit_ord"), F.col("start_u16").cast("long").alias("start_u16"), "text")
 
 
 def search_context(spark, sf_dir):
@@ -59,7 +59,7 @@ def search_context(spark, sf_dir):
 
 def search_conversations(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.col("turn").cast("string").alias("section"))
-    hits = B.search_sections(turns, PAGE_QUERY, "conv_id", "section", "turn", "text")
+    hits = B.search_sections(turns, PAGE_QUERY, "conv_id", "section", "turn", "text", bare=True)
     return hits.select("conv_id", F.col("section").cast("long").alias("turn"), F.col("hit_ord").cast("long").alias("hit_ord"), F.col("start_u16").cast("long").alias("start_u16"))
 
 
