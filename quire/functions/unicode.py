@@ -20,6 +20,8 @@ _FOLDED_SPACES = regex.compile(f"[{SPACE}\\u200b]+")
 _PLAIN = regex.compile("[\\x00-\\u02ff\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
 _GRAPHEME = regex.compile(r"\X")
 _WORD_EDGE = regex.compile(r"(?w)\b")
+#: So far around an offset its word is looked for before the whole text is cut into words.
+NEAR = 400
 
 #: Punctuation that folds to ASCII.
 SMART = {
@@ -69,10 +71,26 @@ class Units:
             self._cp = [0, *itertools.accumulate(2 if c > "\uffff" else 1 for c in self.text)]
         return self.text[bisect.bisect_left(self._cp, lo) : bisect.bisect_left(self._cp, hi)]
 
+    def _near_word(self, offset: int) -> int | None:
+        """The same from the text around an offset alone: from an ASCII letter or digit after a space, which always
+        starts a word, to the next space. None where that is far away."""
+        text, lo = self.text, offset
+        while (lo := text.rfind(" ", max(0, offset - NEAR), lo)) != -1 and not (text[lo + 1].isascii() and text[lo + 1].isalnum()):
+            pass
+        hi = text.find(" ", offset + 1, offset + NEAR)
+        if lo == -1 and offset > NEAR or hi == -1 and offset + NEAR < len(text):
+            return None
+        window = text[lo + 1 : hi + 1 if hi != -1 else len(text)]
+        edges = (lo + 1 + m.start() for m in _WORD_EDGE.finditer(window))
+        return max((e for e in edges if e <= offset), default=lo + 1)
+
     def word_start(self, grapheme: int) -> int:
         """Grapheme at which the word around a grapheme starts; the two ends stay."""
         if not 0 < grapheme < len(self.parts):
             return grapheme
+        near = self._near_word(self.starts[grapheme]) if self._words is None and self.size == len(self.text) else None
+        if near is not None:
+            return self.at(near)
         if self._words is None:
             edges = [m.start() for m in _WORD_EDGE.finditer(self.text)]
             if self.size != len(self.text):
@@ -132,8 +150,23 @@ def _sb(char: str) -> str:
     return mark
 
 
-def sentence_edges(text: str) -> list[int]:
-    """Code-point offsets where a UAX #29 sentence ends."""
+class _Marks(dict):
+    """Sentence marks by code point, for str.translate; filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = _sb(chr(code))
+        return self[code]
+
+
+_MARKS = _Marks()
+_SB_LOWER_AHEAD = regex.compile(r"[^oUlPat]*l")
+
+
+def _sentence_marks(text: str) -> tuple[str, list[int] | range]:
+    """One mark a character, extending ones joined to the character before; and where each mark's character ends."""
+    line = text.translate(_MARKS)
+    if "x" not in line and "\r\n" not in text:
+        return line, range(1, len(text) + 1)
     marks, places = [], []
     for i, c in enumerate(text):
         m = _sb(c)
@@ -145,7 +178,12 @@ def sentence_edges(text: str) -> list[int]:
             continue
         marks.append("." if m == "x" else m)
         places.append(i + 1)
-    line, edges = "".join(marks), []
+    return "".join(marks), places
+
+
+def sentence_edges(text: str) -> list[int]:
+    """Code-point offsets where a UAX #29 sentence ends."""
+    (line, places), edges = _sentence_marks(text), []
     for m in _SB_END.finditer(line):
         end = m.end()
         if end == len(line):
@@ -157,7 +195,7 @@ def sentence_edges(text: str) -> list[int]:
             bare = end == m.start() + 1
             if dot and bare and (after == "n" or after == "U" and m.start() and line[m.start() - 1] in "Ul"):
                 continue
-            if dot and regex.compile(r"[^oUlPat]*l").match(line, end):
+            if dot and _SB_LOWER_AHEAD.match(line, end):
                 continue
         edges.append(places[end - 1])
     return [*edges, len(text)] if text else []

@@ -41,8 +41,12 @@ class UnknownFormatError(BookError):
 # --- references -------------------------------------------------------------------------------------------------
 
 
+_BAD_ESCAPE = regex.compile(r"%(?![0-9a-fA-F]{2})")
+_SCHEME = regex.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
+
+
 def _unescape(part: str) -> str:
-    if regex.search(r"%(?![0-9a-fA-F]{2})", part):
+    if "%" not in part or _BAD_ESCAPE.search(part):
         return part
     try:
         return unquote_to_bytes(part).decode()
@@ -53,7 +57,7 @@ def _unescape(part: str) -> str:
 def resolve_href(base: str, href: str) -> tuple[str, str | None] | None:
     """(path, fragment) of a reference from a directory; None for schemes, empty references and the root."""
     path, mark, fragment = href.partition("#")
-    if not path or regex.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path):
+    if not path or _SCHEME.match(path):
         return None
     parts: list[str] = []
     for part in map(_unescape, (path[1:] if path[0] == "/" else base + path).split("/")):

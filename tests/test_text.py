@@ -130,3 +130,14 @@ def test_messages_appearance_and_navigation():
     r = reader.Reader([2, 3])
     assert [r.apply("next"), r.apply("next"), r.place] == ["moved", "moved", (1, 0)]
     assert r.apply("link", 9) == "error" and r.apply("link", 0) == "moved" and r.apply("back") == "moved" and r.place == (1, 0)
+
+
+def test_word_starts_near_and_whole():
+    """The word around an offset is the same whether its surroundings or the whole text are cut."""
+    from quire.functions import unicode as U
+
+    for text in ("a  b c'd e.f  .g ́h i", "don't  3.14 a_b x‍y  ́z", " lead", "x " * 500, "日本語 abc 한국어  a", "a:b c,d 1,2", " \n a \n\nb", "word" * 300 + " end"):
+        near, whole = U.Units(text), U.Units(text)
+        edges = [m.start() for m in U._WORD_EDGE.finditer(text)]
+        whole._words = edges if edges and edges[0] == 0 else [0, *edges]
+        assert [near.word_start(g) for g in range(len(near.parts) + 1)] == [whole.word_start(g) for g in range(len(whole.parts) + 1)]
