@@ -267,15 +267,21 @@ def release(spark) -> None:
 _SAVED: list[str] = []
 
 
+def folder(spark) -> str:
+    """A new path in the shared folder, removed like the tables of ``saved``."""
+    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
+    if not _SAVED:
+        atexit.register(remove, spark, _SAVED)
+    _SAVED.append(path)
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The frame written as a table to the shared folder and read again: its lineage ends there, any executor may be
     lost, and (unlike a checkpoint, which keeps them referenced) the shuffle files behind it can go at once. The
     tables are removed when the process ends, or by ``remove``."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
-    if not _SAVED:
-        atexit.register(remove, spark, _SAVED)
-    _SAVED.append(path)
+    path = folder(spark)
     release(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

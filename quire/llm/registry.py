@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language, licenses, lmscore, mixing, neardup, sharding, suffixes, toxicity, urls
+from . import alignment, ann, decontaminate, language, licenses, lmscore, mixing, neardup, sharding, suffixes, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_lm_score": lmscore.op8_lm_score,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_alignment": alignment.op11_alignment,
         "op13_sharding": sharding.op13_sharding,
     }
 
