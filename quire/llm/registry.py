@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, ann, decontaminate, language, licenses, lmscore, mixing, neardup, sharding, suffixes, toxicity, urls
+from . import alignment, ann, decontaminate, language, licenses, lmscore, mixing, neardup, negatives, sharding, suffixes, toxicity, urls
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_license_scan": licenses.op10_license_scan,
         "op11_alignment": alignment.op11_alignment,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
         "op13_sharding": sharding.op13_sharding,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": urls.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
         "op10_license_scan": licenses.ORACLE,
+        "op12_hard_negatives": negatives.ORACLE,
         "op13_sharding": sharding.ORACLE,
     }
