@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import json
 import os
 import re
 import uuid
-from array import array
 from urllib.parse import urlparse
 
 import numpy as np
@@ -40,6 +40,10 @@ from . import flat
 
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: Fixed value: how A cuts texts before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters from which a piece is encoded by the library whose time does not grow with their square.
+LONG_PIECE = 256
 #: Bytes, about, of aligned pieces that a worker keeps.
 KEPT = 48 << 20
 #: Distinct pairs that a partition holds before it hands partial counts on.
@@ -70,6 +74,7 @@ class Aligner:
     def __init__(self, a_file: str = A_FILE, b_file: str = B_FILE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel workers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_file)
@@ -77,46 +82,61 @@ class Aligner:
         letters = byte_letters()
         with open(a_file, encoding="utf-8") as file:
             known = json.load(file)
-        self.a_bytes = {i: bytes(letters[c] for c in s) for s, i in known["model"]["vocab"].items()}
+        a_bytes = {i: bytes(letters[c] for c in s) for s, i in known["model"]["vocab"].items() if all(c in letters for c in s)}
+        # The same vocabulary, its ids being its ranks: faster for short pieces, slower for very long ones.
+        self.short = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={v: k for k, v in a_bytes.items()}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         spelled = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(s[3:5], 16)]) if self.b.is_byte(i) else s.replace("\u2581", " ").encode() for i, s in enumerate(spelled)]
+        b_bytes = [bytes([int(s[3:5], 16)]) if self.b.is_byte(i) else s.replace("\u2581", " ").encode() for i, s in enumerate(spelled)]
         if any("\u2581" in s.lstrip("\u2581") for s in spelled):
             raise ValueError("a piece holds a space behind another character: texts cannot be cut at spaces")
+        self.a_spell, self.b_spell = Spelling([a_bytes.get(i, b"") for i in range(max(a_bytes) + 2)]), Spelling(b_bytes)
+        # What an id writes into the groups: its digits and a mark, by id, vocabulary and whether it ends a group.
+        self.written = Spelling([f"{i}{mark}".encode() for size, marks in ((len(self.a_spell), ",|"), (len(self.b_spell), ",;")) for mark in marks for i in range(size)])
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.counts, self.groups = array("q"), []  # four numbers and a text a piece
-        self.keys, self.ends, self.held = array("q"), array("q", [0]), 0
+        self.counts, self.keys, self.codes = Rows(), Rows(), Rows()
+        self.held = 0
+
+    def _ids(self, piece: str) -> list[int]:
+        if len(piece) > LONG_PIECE:
+            return self.a.encode(f" {piece}", add_special_tokens=False).ids
+        return self.short.encode_ordinary(f" {piece}")
 
     def learn(self, pieces: list[str]) -> None:
-        """Aligns pieces that were not met yet."""
-        for piece, a, b in zip(pieces, self.a.encode_batch([f" {p}" for p in pieces], add_special_tokens=False), self.b.encode(pieces, num_threads=1)):
-            self.number[piece] = len(self.groups)
-            self._add(f" {piece}".encode(), a.ids, b)
-            self.held += 300 + 4 * len(piece) + len(self.groups[-1])
-
-    def _add(self, whole: bytes, a: list[int], b: list[int]) -> None:
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            self.counts.extend((0, 0, 0, 0))
-            self.groups.append("")
-            self.ends.append(len(self.keys))
-            return
-        groups, j, a_end, b_end, a_from, b_from = [], 0, 0, 0, 0, 0
-        for i, part in enumerate(a_parts):
-            a_end += len(part)
-            while j < len(b) and b_end + len(b_parts[j]) <= a_end:
-                b_end += len(b_parts[j])
-                j += 1
-            if a_end == b_end:
-                self.keys.append(b[j - 1] << 32 | a[i])
-                groups.append(f"{','.join(map(str, a[a_from : i + 1]))}|{','.join(map(str, b[b_from:j]))}")
-                a_from, b_from = i + 1, j
-        self.counts.extend((1, len(a), len(b), len(groups)))
-        self.groups.append(";".join(groups))
-        self.ends.append(len(self.keys))
+        """Aligns pieces that were not met yet, all at once: their bytes stand one after another, a token's end is its
+        place among them, and ends that both vocabularies have are found by one look-up."""
+        n = len(pieces)
+        whole = [f" {p}".encode() for p in pieces]
+        size = np.fromiter(map(len, whole), np.int64, n)
+        (a, a_many), (b, b_many) = (flattened(found) for found in (list(map(self._ids, pieces)), self.b.encode(pieces, num_threads=1)))
+        fine, text = np.ones(n, bool), np.frombuffer(b"".join(whole), np.uint8)
+        for ids, many, spell in ((a, a_many, self.a_spell), (b, b_many, self.b_spell)):
+            fine &= per_piece(spell.size[ids], many) == size
+        ok_a, ok_b = np.repeat(fine, a_many), np.repeat(fine, b_many)
+        for ids, ok, spell in ((a, ok_a, self.a_spell), (b, ok_b, self.b_spell)):
+            wrong = spell.join(ids[ok]) != text[np.repeat(fine, size)]
+            if wrong.any():  # rare: characters that B reads as others of the same length
+                fine[np.flatnonzero(fine)[np.unique(np.searchsorted(np.cumsum(size[fine]), np.flatnonzero(wrong), "right"))]] = False
+                ok_a, ok_b = np.repeat(fine, a_many), np.repeat(fine, b_many)
+        a, b, a_many, b_many = a[ok_a], b[ok_b], np.where(fine, a_many, 0), np.where(fine, b_many, 0)
+        a_end, b_end = np.cumsum(self.a_spell.size[a]), np.cumsum(self.b_spell.size[b])
+        both = np.intersect1d(a_end, b_end, assume_unique=True)
+        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        a_last[np.searchsorted(a_end, both)] = b_last[np.searchsorted(b_end, both)] = True
+        groups = per_piece(a_last, a_many)
+        # Group by group, A's ids before B's.
+        na, nb = len(self.a_spell), len(self.b_spell)
+        codes = np.concatenate([a + na * a_last, 2 * na + b + nb * b_last]).astype(np.int32)
+        group = np.concatenate([np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last])
+        self.codes.add(codes[np.argsort(group, kind="stable")], a_many + b_many)
+        self.keys.add(b[b_last] << 32 | a[a_last], groups)
+        self.counts.add(np.stack([fine, a_many, b_many, groups], 1).astype(np.int64), np.ones(n, np.int64))
+        for piece in pieces:
+            self.number[piece] = len(self.number)
+        self.held += 200 * n + 2 * len(text) + 4 * len(codes) + 8 * int(groups.sum())
 
     def align(self, texts: list[str | None]):
         """For each text (counts of A, of B, of groups; groups as text; distinct keys; links of each key), or None."""
@@ -124,26 +144,82 @@ class Aligner:
             self.forget()
         cut = [_CUT.split(t) if t else [] for t in texts]
         new = list({p for pieces in cut for p in pieces if p not in self.number})
-        for lo in range(0, len(new), 4096):
-            self.learn(new[lo : lo + 4096])
-        counts = np.frombuffer(self.counts, np.int64).reshape(-1, 4) if self.counts else np.zeros((0, 4), np.int64)
-        keys, ends = np.frombuffer(self.keys, np.int64) if self.keys else np.zeros(0, np.int64), np.frombuffer(self.ends, np.int64)
-        out = []
+        for lo in range(0, len(new), 8192):
+            self.learn(new[lo : lo + 8192])
+        out, counts = [], self.counts.values
         for pieces in cut:
             at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-            found = counts[at]
-            if not len(at) or not found[:, 0].all():
+            found = counts[at] if len(at) else None
+            if found is None or not found[:, 0].all():
                 out.append(None)
                 continue
             once, many = np.unique(at, return_counts=True)
-            size = ends[once + 1] - ends[once]
-            places = np.repeat(ends[once] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            pairs, links = summed(keys[places], np.repeat(many, size))
-            out.append((*found[:, 1:].sum(0).tolist(), ";".join(map(self.groups.__getitem__, at.tolist())), pairs, links))
-        del keys, counts, ends  # the arrays may grow again
+            keys, size = self.keys.take(once)
+            pairs, links = summed(keys, np.repeat(many, size))
+            out.append((*found[:, 1:].sum(0).tolist(), self.written.join(self.codes.take(at)[0]).tobytes()[:-1], pairs, links))
         return out
 
 
+class Spelling:
+    """Byte strings by id, in one buffer."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def join(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[places(self.start[ids], self.size[ids])]
+
+
+class Rows:
+    """Runs of values, one a number, in arrays that grow by doubling."""
+
+    def __init__(self):
+        self.values, self.ends, self._rows, self._many = None, np.zeros(1, np.int64), 0, 0
+
+    def add(self, values: np.ndarray, many: np.ndarray) -> None:
+        if self.values is None:
+            self.values = np.zeros((0, *values.shape[1:]), values.dtype)
+        self.values = self._grown(self.values, self._rows, values)
+        self.ends = self._grown(self.ends, self._many + 1, self._rows + np.cumsum(many))
+        self._rows, self._many = self._rows + len(values), self._many + len(many)
+
+    @staticmethod
+    def _grown(held: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+        if used + len(new) > len(held):
+            held = np.concatenate([held[:used], np.zeros((used + 2 * len(new), *held.shape[1:]), held.dtype)])
+        held[used : used + len(new)] = new
+        return held
+
+    def take(self, numbers: np.ndarray):
+        """(the values of these runs one after another, how many each has)."""
+        start = self.ends[numbers]
+        size = self.ends[numbers + 1] - start
+        return self.values[places(start, size)], size
+
+
+def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every run."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def per_piece(values: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``many`` values."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(many)
+    return sums[ends] - sums[ends - many]
+
+
+def flattened(lists: list[list[int]]):
+    many = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(many.sum())), many
+
+
 def summed(keys: np.ndarray, counts: np.ndarray):
     """Distinct keys, sorted, and the sum of each one's counts."""
     keys, at = np.unique(keys, return_inverse=True)
@@ -175,10 +251,10 @@ def encode(df: DataFrame, text: str = "text", a_file: str = A_FILE, b_file: str
                 many = np.array([0 if f is None else len(f[4]) for f in found], np.int64)
                 joined = [np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found if f is not None)]) for k in (4, 5)]
                 columns += [pa.array(numbers[:, k]) for k in (0, 1, 2, 2)]  # every group ends with one link
-                columns.append(pa.array(["" if f is None else hashlib.sha256(f[3].encode()).hexdigest() for f in found], pa.string()))
+                columns.append(pa.array(["" if f is None else hashlib.sha256(f[3]).hexdigest() for f in found], pa.string()))
                 columns += [flat.lists(pa.array(j), many) for j in joined]
                 if groups:
-                    columns.append(pa.array(["" if f is None else f[3] for f in found], pa.string()))
+                    columns.append(pa.array(["" if f is None else f[3].decode() for f in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return binary.mapInArrow(flat.tidy(run), schema)
