@@ -64,6 +64,33 @@ def text_epub(name: str, language: str, text: str) -> bytes:
     return archive([(n, b.encode()) for n, b in entries], ("mimetype", "OPS/raw.txt"))
 
 
+def nested_epub(name: str, language: str, text: str) -> bytes:
+    """A text as an EPUB whose lists have something to decide: five lines a chapter, in groups of three; the even groups
+    stand in the contents under their first chapter's link, the odd ones under a bare label. The reading order repeats
+    its first chapter and names an item that is not there; an id stands twice; every chapter links to the next."""
+    chapters = parts(text)
+    n = len(chapters)
+    point = lambda k: f'<a href="text/c%20{k}.xhtml#top"><b>Part</b>\n <i>{k}</i></a>'
+    groups = []
+    for first in range(0, n, 3):
+        inner = "".join(f"<li>{point(k)}</li>" for k in range(first + 1, min(first + 3, n)))
+        label = f"<span>Group &amp; {first // 3}</span>" if first // 3 % 2 else point(first)
+        groups.append(f"<li>{label}{'<ol>' + inner + '</ol>' if inner else ''}</li>")
+    item = lambda k, path: f'<item href="{path}" id="c{k}" media-type="application/xhtml+xml"/>'
+    items = item(0, "wrong.xhtml") + "".join(item(k, f"text/c%20{k}.xhtml") for k in range(n))
+    spine = "".join(f"<itemref idref='c{k}'{' linear=' + chr(34) + 'no' + chr(34) if k % 2 else ''}/>" for k in range(n))
+    opf = (
+        '<?xml version="1.0" encoding="utf-8"?><!DOCTYPE package [<!ENTITY x "y">]><o:package xmlns:o="http://www.idpf.org/2007/opf" version="3.0"><o:metadata/><!-- <spine> --><o:manifest>'
+        f'<o:item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="x nav"/>{items}</o:manifest><o:spine>{spine}<itemref idref="c0"/><itemref idref="gone"/></o:spine></o:package>'
+    )
+    nav = f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="landmarks"><ol><li><a href="nav.xhtml">x</a></li></ol></nav><nav epub:type="toc"><h1>All</h1><ol>{"".join(groups)}</ol></nav></body></html>'
+    container = CONTAINER.replace("<rootfiles>", '<rootfiles><rootfile full-path="other.opf" media-type="text/plain"/>')
+    entries = [("mimetype", "application/epub+zip"), ("META-INF/container.xml", container), ("OPS/book.opf", opf), ("OPS/nav.xhtml", nav)]
+    links = lambda k: f'<p><a href="c%20{k + 1}.xhtml#a%20b">on</a><a href="../nav.xhtml">all</a><a href="#top">up</a><a href="http://example.org/">out</a></p>'
+    entries += [(f"OPS/text/c {k}.xhtml", _page(lines).replace("</body>", links(k) + "</body>")) for k, lines in enumerate(chapters)]
+    return archive([(e, b.encode()) for e, b in entries], ("mimetype",))
+
+
 def text_fb2(name: str, language: str, text: str) -> bytes:
     """A text as a single-file XML book: five lines a section, each with a title."""
     body = "".join(f"<section><title><p>Part {k}</p></title>{''.join(f'<p>{html.escape(line, quote=False)}</p>' for line in lines)}</section>" for k, lines in enumerate(parts(text)))

@@ -554,3 +554,40 @@ def list_archives(files: DataFrame, key: str, content: str = "content") -> DataF
     kind = files.sparkSession.createDataFrame([], f"x struct<entries:{fields},error:string>").schema["x"].dataType
     found = files.select(key, kernel(listing, kind)(F.col(content)).alias("a"))
     return found.select(key, F.explode_outer("a.entries").alias("e"), F.col("a.error").alias("error")).select(key, "e.*", "error")
+
+
+def archive_entries(files: DataFrame, keys: list[str], names: str, content: str = "content") -> DataFrame:
+    """(keys, ord, name, body, error): the entries of archives whose name fits the pattern ``names``, read; of equal
+    names the first. An archive that cannot be listed is one row with an error."""
+    wanted = re.compile(names)
+    schema = T.StructType([*[files.schema[k] for k in keys], *files.sparkSession.createDataFrame([], "ord int, name string, body binary, error string").schema])
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for i, data in enumerate(batch.column(len(keys))):
+                try:
+                    archive = Archive(data.as_py() or b"")
+                except ArchiveError as e:
+                    rows.append((i, None, None, None, e.kind))
+                    continue
+                for name, entry in archive.by_name.items():
+                    if not wanted.search(name):
+                        continue
+                    try:
+                        rows.append((i, entry["ord"], name, archive.read(name), None))
+                        held += entry["uncompressed_size"]
+                    except ArchiveError as e:
+                        rows.append((i, entry["ord"], name, None, e.kind))
+                    if held > 4 << 20:
+                        yield emitted(batch, rows)
+                        rows, held = [], 0
+            yield emitted(batch, rows)
+
+    def emitted(batch, rows):
+        at = pa.array([r[0] for r in rows], pa.int64())
+        kinds = [pa.int32(), pa.string(), pa.binary(), pa.string()]
+        new = [pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[: len(keys)]], *new], names=schema.names)
+
+    return files.select(*keys, content).mapInArrow(run, schema)

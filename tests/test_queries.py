@@ -7,12 +7,13 @@ import pytest
 import regex
 
 from quire.operators import reader
-from quire.plans import formats, layout, marks, queries
+from quire.plans import formats, layout, marks, nodes, queries
 from quire.streaming.replay import replay_stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages conversations events benchmark labels embeddings".split()
-QUERIES, ORACLES = queries.QUERIES | formats.QUERIES | layout.QUERIES | marks.QUERIES, queries.ORACLES | formats.ORACLES | layout.ORACLES | marks.ORACLES
+PLANS = (queries, formats, layout, marks, nodes)
+QUERIES, ORACLES = ({k: v for plan in PLANS for k, v in getattr(plan, name).items()} for name in ("QUERIES", "ORACLES"))
 
 
 def shown(v):
