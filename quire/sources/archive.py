@@ -1,4 +1,6 @@
-"""ZIP archives from bytes: listing, bounded reads, typed errors.
+"""ZIP archives from bytes or ranges of files: listing, bounded reads, typed errors.
+
+A source has a ``size`` and reads ranges; the directory is found from the file's end, and an entry costs its own range.
 
 Duplicate names, trailing comments and over-inflating entries follow fixed rules, so the reader is our own; only raw
 inflate comes from zlib."""
@@ -21,10 +23,36 @@ class ArchiveError(Exception):
         self.kind = kind
 
 
-def _span(data: bytes, at: int, size: int) -> bytes:
-    if at < 0 or at + size > len(data):
+class Bytes:
+    """A source over bytes at hand."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read(self, at: int, size: int) -> bytes:
+        return self.data[at : at + size]
+
+
+class Counted:
+    """A source that remembers how many bytes were read, and the last range: what lies in it is not read again."""
+
+    def __init__(self, source):
+        self.source, self.size, self.bytes, self._at, self._held = source, source.size, 0, 0, b""
+
+    def read(self, at: int, size: int) -> bytes:
+        if not self._at <= at <= at + size <= self._at + len(self._held):
+            self._at, self._held = at, self.source.read(at, size)
+            self.bytes += len(self._held)
+        return self._held[at - self._at : at - self._at + size]
+
+
+def _span(source, at: int, size: int) -> bytes:
+    if at < 0 or at + size > source.size:
         raise ArchiveError("truncated", f"{size} bytes at {at} reach beyond the end")
-    return data[at : at + size]
+    data = source.read(at, size)
+    if len(data) != size:
+        raise ArchiveError("truncated", f"{len(data)} of {size} bytes at {at} came")
+    return data
 
 
 def _safe(value: int) -> int:
@@ -33,28 +61,42 @@ def _safe(value: int) -> int:
     return value
 
 
-def directory(data: bytes) -> tuple[int, int, int]:
-    """(offset, size, entries) of the central directory. The end record counts only if its comment ends the file."""
-    if len(data) < 22:
+#: So much of a file's end is looked at first, and at most (an end record and its longest comment).
+_PROBES = (1024, 22 + 0xFFFF)
+
+
+def _end_record(tail: bytes) -> int:
+    """Place of the last end record whose comment ends the file; -1 without one."""
+    at, mark = len(tail) - 22, struct.pack("<I", _END)
+    while at >= 0 and (at := tail.rfind(mark, 0, at + 4)) != -1:
+        if at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
+            return at
+        at -= 1
+    return -1
+
+
+def directory(source) -> tuple[int, int, int]:
+    """(offset, size, entries) of the central directory."""
+    if source.size < 22:
         raise ArchiveError("format", "too small for an archive")
-    floor, at = max(0, len(data) - 22 - 0xFFFF), len(data) - 22
-    mark = struct.pack("<I", _END)
-    while (at := data.rfind(mark, floor, at + 4)) != -1:
-        if at + 22 + struct.unpack_from("<H", data, at + 20)[0] == len(data):
+    for probe in _PROBES:
+        base = max(0, source.size - probe)
+        tail = _span(source, base, source.size - base)
+        at = _end_record(tail)
+        if at != -1 or not base:
             break
-        at -= 1
-    else:
+    if at == -1:
         raise ArchiveError("format", "no end of central directory")
-    if at >= 20 and struct.unpack_from("<I", data, at - 20)[0] == _LOCATOR:
-        _, _, where, disks = struct.unpack_from("<IIQI", data, at - 20)
+    if base + at >= 20 and struct.unpack("<I", (locator := _span(source, base + at - 20, 20))[:4])[0] == _LOCATOR:
+        _, _, where, disks = struct.unpack("<IIQI", locator)
         if disks > 1:
             raise ArchiveError("format", "several disks")
-        record = _span(data, _safe(where), 56)
+        record = _span(source, _safe(where), 56)
         if struct.unpack_from("<I", record)[0] != _END64:
             raise ArchiveError("format", "the zip64 record is missing")
         entries, size, offset = map(_safe, struct.unpack_from("<QQQ", record, 32))
         return offset, size, entries
-    disk, first, _, entries, size, offset = struct.unpack_from("<HHHHII", data, at + 4)
+    disk, first, _, entries, size, offset = struct.unpack_from("<HHHHII", tail, at + 4)
     if disk or first:
         raise ArchiveError("format", "several disks")
     if entries == 0xFFFF or 0xFFFFFFFF in (size, offset):
@@ -62,10 +104,11 @@ def directory(data: bytes) -> tuple[int, int, int]:
     return offset, size, entries
 
 
-def entries(data: bytes) -> list[dict]:
-    """One dict per central record, in order; masked sizes come from the zip64 extra field."""
-    offset, size, count = directory(data)
-    table, at, out = _span(data, offset, size), 0, []
+def entries(data) -> list[dict]:
+    """Of bytes or a source: one dict per central record, in order; masked sizes come from the zip64 extra field."""
+    source = Bytes(data) if isinstance(data, (bytes, bytearray)) else data
+    offset, size, count = directory(source)
+    table, at, out = _span(source, offset, size), 0, []
     for ord_ in range(count):
         if at + 46 > len(table) or struct.unpack_from("<I", table, at)[0] != _CENTRAL:
             raise ArchiveError("format", f"bad record {ord_}")
@@ -96,14 +139,15 @@ def _extras(raw: bytes):
         at += 4 + size
 
 
-def read(data: bytes, entry: dict) -> bytes:
+def read(data, entry: dict) -> bytes:
+    source = Bytes(data) if isinstance(data, (bytes, bytearray)) else data
     if entry["encrypted"]:
         raise ArchiveError("encrypted", entry["name"])
-    head = _span(data, entry["offset"], 30)
+    head = _span(source, entry["offset"], 30)
     if struct.unpack_from("<I", head)[0] != _LOCAL:
         raise ArchiveError("format", f"{entry['name']} has no local header")
     n_name, n_extra = struct.unpack_from("<HH", head, 26)
-    packed = _span(data, entry["offset"] + 30 + n_name + n_extra, entry["compressed_size"])
+    packed = _span(source, entry["offset"] + 30 + n_name + n_extra, entry["compressed_size"])
     if entry["method"] == 0:
         out = packed
     elif entry["method"] == 8:

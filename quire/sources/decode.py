@@ -481,14 +481,24 @@ _RESOURCE = "struct<resource_id:string,media_type:string,content:binary,error:st
 FORMATS = {"epub": (claims_epub, decode_epub), "fb2": (claims_fb2, decode_fb2), "text": (claims_text, decode_text_book)}
 
 
+def register_format(name: str, claim, reader) -> None:
+    """Makes a further format known: ``claim(data)`` tells whether bytes are of it, ``reader(data)`` gives a book's fields
+    (BOOK_DDL; those left out are null) or raises a ``BookError``."""
+    FORMATS[name] = (claim, reader)
+
+
+def chosen_formats(formats) -> list[tuple]:
+    """(name, claim, reader) of the formats named; unknown names are an error here and not in a task."""
+    return [(name, *FORMATS[name]) for name in formats]
+
+
 def decode(data: bytes, formats=("epub", "fb2")) -> dict:
     """The first format that claims the bytes decodes them; faults are the row's ``error``."""
     empty = {"sections": [], "toc": [], "resources": []}
-    for name in formats:
-        claim, reader = FORMATS[name]
+    for name, claim, reader in formats if formats and not isinstance(formats[0], str) else chosen_formats(formats):
         try:
             if claim(data):
-                return {**reader(data), "error": None}
+                return {**empty, "format": name, **reader(data), "error": None}
         except BookError as e:
             return {**empty, "format": name, "error": {"kind": e.kind, "message": str(e)}}
         except Exception as e:  # noqa: BLE001  any other failure of a decoder is a corrupt container
@@ -511,6 +521,7 @@ def read_books(files: DataFrame, content: str = "content", formats=("epub", "fb2
     keep = [c for c in files.columns if c != content]
     schema = T.StructType([*[files.schema[c] for c in keep], *book.fields])
     kind = to_arrow_schema(book)
+    formats = chosen_formats(formats)  # goes with the function: workers need not have registered it
 
     def run(batches):
         for batch in batches:
