@@ -53,3 +53,35 @@ def _context(units: Units, lo: int, hi: int, begin: int, end: int) -> str:
         if a < hi < b:
             tail = max(end, a)
     return collapse(units.cut(head, tail))
+
+
+class Folded:
+    """A text in its search form, and the way back: raw offset and raw text of a span of the form."""
+
+    def __init__(self, text: str):
+        self.raw = text
+        self.text, self._places = fold_map(text)
+        self._wide = u16(self.text) != len(self.text)
+        self._unit = self._units = None
+
+    def span(self, at: int, size: int) -> tuple[int, str]:
+        """(UTF-16 offset, raw text without space at its end) of ``size`` characters of the form."""
+        lo, hi = at, at + size
+        if self._wide:
+            if self._unit is None:
+                self._unit = [0]
+                for c in self.text:
+                    self._unit.append(self._unit[-1] + (2 if c > "￿" else 1))
+            lo, hi = self._unit[lo], self._unit[hi]
+        if self._units is None:
+            self._units = Units(self.raw)
+        return self._places[lo], self._units.cut(self._places[lo], self._places[hi]).rstrip(SPACE_CHARS)
+
+
+def apart(places: list[int], size: int) -> list[int]:
+    """Of ascending places those that a scan finds which goes on behind each hit."""
+    out: list[int] = []
+    for at in places:
+        if not out or at >= out[-1] + size:
+            out.append(at)
+    return out
