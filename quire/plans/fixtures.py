@@ -91,6 +91,33 @@ def nested_epub(name: str, language: str, text: str) -> bytes:
     return archive([(e, b.encode()) for e, b in entries], ("mimetype",))
 
 
+def rich_epub(name: str, language: str, text: str) -> bytes:
+    """A text as an EPUB with an author, a cover, a direction, a layout and resources; five lines a chapter."""
+    chapters, number = parts(text), int(name)
+    items = "".join(f'<item id="c{k}" href="text/c{k}.xhtml" media-type="application/xhtml+xml"/>' for k in range(len(chapters)))
+    direction = ' page-progression-direction="rtl"' if number % 3 == 0 else ""
+    layout = "pre-paginated" if number % 8 == 0 else "reflowable"
+    points = "".join(f'<li><a href="text/c{k}.xhtml">Part {k}</a></li>' for k in range(len(chapters)))
+    opf = (
+        '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
+        f'<dc:identifier id="uid">urn:y:{name}</dc:identifier><dc:title>Book {name}</dc:title><dc:creator> Writer {name} </dc:creator><dc:language>{language}</dc:language>'
+        f'<meta property="rendition:layout">{layout}</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'
+        f'<item id="pic" href="img/p.png" media-type="image/png" properties="cover-image"/><item id="raw" href="raw.txt"/>{items}</manifest>'
+        f'<spine{direction}>{"".join(f"<itemref idref={chr(34)}c{k}{chr(34)}/>" for k in range(len(chapters)))}</spine></package>'
+    )
+    nav = f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>{points}</ol></nav></body></html>'
+    entries = [("mimetype", b"application/epub+zip"), ("META-INF/container.xml", CONTAINER.encode()), ("OPS/book.opf", opf.encode()), ("OPS/nav.xhtml", nav.encode()), ("OPS/img/p.png", b"\x89PNG"), ("OPS/raw.txt", text.encode())]
+    return archive([*entries, *((f"OPS/text/c{k}.xhtml", _page(lines).encode()) for k, lines in enumerate(chapters))], ("mimetype",))
+
+
+def any_book(name: str, language: str, text: str) -> bytes:
+    """By the number: an EPUB, a single-file XML book, plain text, or an EPUB without its package."""
+    kind = int(name) % 4
+    if kind == 3:
+        return archive([("mimetype", b"application/epub+zip"), ("META-INF/container.xml", CONTAINER.encode()), ("OPS/raw.txt", text.encode())], ("mimetype", "OPS/raw.txt"))
+    return (rich_epub(name, language, text), text_fb2(name, language, text), text.encode())[kind]
+
+
 def text_fb2(name: str, language: str, text: str) -> bytes:
     """A text as a single-file XML book: five lines a section, each with a title."""
     body = "".join(f"<section><title><p>Part {k}</p></title>{''.join(f'<p>{html.escape(line, quote=False)}</p>' for line in lines)}</section>" for k, lines in enumerate(parts(text)))

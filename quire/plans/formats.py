@@ -17,29 +17,6 @@ from . import fixtures
 from .queries import _SECTIONS_SQL, _table, _values, literals
 
 
-def _books(spark):
-    rows = [(0, bytearray(fixtures.epub())), (1, bytearray(fixtures.FB2.encode())), (2, bytearray(b"plain words")), (3, bytearray(fixtures.epub(drop=("OPS/book.opf",))))]
-    return literals(spark, rows, "book_id long, content binary")
-
-
-def decoded_books(spark, sf_dir):
-    books = D.read_books(_books(spark))
-    return books.select("book_id", "format", "title", "author", "language", "identifier", "cover", "direction", "fixed_layout", F.col("error.kind").alias("error"))
-
-
-def decoded_sections(spark, sf_dir):
-    found = D.sections_of(D.read_books(_books(spark)), "book_id")
-    return found.select("book_id", "section_index", "section_id", "linear", C.reading_text(C.section_text(F.col("content"))).alias("text"))
-
-
-def decoded_toc(spark, sf_dir):
-    return D.toc_of(D.read_books(_books(spark)), "book_id")
-
-
-def decoded_resources(spark, sf_dir):
-    return D.resources_of(D.read_books(_books(spark)), "book_id").select("book_id", "resource_id", "media_type", F.length("content").alias("size"))
-
-
 def _made(spark, sf_dir, maker):
     """Every document as a book's file, as binaryFile rows would bring it."""
     file = C.kernel(lambda text, name, lang: maker(name, lang or "und", text), T.BinaryType())
@@ -102,24 +79,6 @@ def section_bytes(spark, sf_dir):
     return _encoded(spark, sf_dir).select("doc_id", F.md5(text.cast("binary")).alias("md5"))
 
 
-def archive_entries(spark, sf_dir):
-    return D.list_archives(_books(spark), "book_id").select("book_id", "ord", "name", "method", "uncompressed_size", "first", "error")
-
-
-_CLAIMS = [(0, "504B0304"), (1, "3C46696374696F6E426F6F6B3E"), (2, "68656C6C6F"), (3, "EFBBBF3C"), (4, ""), (5, "25504446"), (6, "610062"), (7, "203C70")]
-
-
-def format_claims(spark, sf_dir):
-    """Claims of plain text and FB2 on the first bytes, as expressions."""
-    rows = literals(spark, _CLAIMS, "id long, h string").select("id", F.unhex("h").alias("b"))
-    x = F.hex(F.substring("b", 1, 512))
-    mark = x.rlike("^(EFBBBF|FFFE|FEFF)")
-    other = x.rlike("^(504B0304|25504446)") | x.rlike("^(?:20|09|0A|0D|EF|BB|BF)*3C") | x.rlike("^(?:..)*?00")
-    text = (F.length(x) > 0) & (mark | ~other)
-    fb2 = F.decode(F.substring("b", 1, 1024), "ISO-8859-1").rlike(r"<\s*FictionBook[\s>]")
-    return rows.select("id", text.alias("is_text"), fb2.alias("is_fb2"))
-
-
 def sanitized_pages(spark, sf_dir):
     out = T.StructType([T.StructField("html", T.StringType()), T.StructField("parsed_as", T.StringType())] + [
         T.StructField(n, T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("count", T.IntegerType())]))) for n in ("elements_removed", "elements_unwrapped", "attributes_removed")
@@ -133,47 +92,6 @@ def sanitizer_removals(spark, sf_dir):
     return gone.groupBy(F.col("r.name").alias("name")).agg(F.sum("r.count").alias("n"))
 
 
-_SHEETS = [(0, '@import "a.css"; p{background:url(x.png)}'), (1, "/* url(no) */ q{content:'url(no)'}"), (2, 'b{src:url( "f.woff" ) format("woff")}')]
-
-
-def css_references(spark, sf_dir):
-    kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    found = literals(spark, _SHEETS, "id long, css string").select("id", F.explode(C.kernel(css.references, kind)(F.col("css"))).alias("r"))
-    return found.select("id", "r.kind", "r.value", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
-
-
-_GRID = [(k, d) for k, d in itertools.product(["ArrowRight", "ArrowLeft", "PageDown", "Shift+Space", "Home", "End", "x"], ["ltr", "rtl"])]
-_TAPS = [(float(x), 90.0, d) for x, d in itertools.product((0, 29, 30, 59, 60, 89), ("ltr", "rtl"))] + [(1.0, 0.0, "ltr")]
-
-
-def key_intents(spark, sf_dir):
-    return literals(spark, _GRID, "key string, direction string").select("key", "direction", R.key_intent(F.col("key"), F.col("direction")).alias("intent"))
-
-
-def tap_intents(spark, sf_dir):
-    return literals(spark, _TAPS, "x double, width double, direction string").select("x", "width", "direction", R.tap_intent(F.col("x"), F.col("width"), F.col("direction")).alias("intent"))
-
-
-_DRAGS = [(i, float(dx), float(dy)) for i, (dx, dy) in enumerate([(40, 3), (-40, 3), (31, 40), (5, 5), (11, 0), (0, 12), (30, 0)])]
-
-
-def gestures(spark, sf_dir):
-    rows = literals(spark, _DRAGS, "id long, dx double, dy double")
-    return rows.select("id", R.gesture(F.col("dx"), F.col("dy")).alias("gesture"), R.swipe_intent(F.col("dx"), F.lit("ltr")).alias("swipe"))
-
-
-_MESSAGES = [
-    (0, '{"v":13,"type":"ready"}'), (1, '{"v":12,"type":"ready"}'), (2, '{"v":13,"type":"tap","x":1,"y":2,"width":3,"height":4,"more":true}'),
-    (3, '{"v":13,"type":"pong","id":"1"}'), (4, "not json"), (5, '{"v":13,"type":"decorationtap","x":1,"y":1,"decorations":[]}'),
-    (6, '{"v":13,"type":"selection","start":0,"end":2,"text":"ab","rect":{"x":0,"y":0,"width":1,"height":1},"rects":[]}'),
-]
-
-
-def protocol_validate(spark, sf_dir):
-    valid = C.kernel(R.frame_message, T.StringType())(F.col("m"))
-    return literals(spark, _MESSAGES, "id long, m string").select("id", valid.isNotNull().alias("accepted"))
-
-
 def session_replay(spark, sf_dir):
     """Each user's events replayed as reader verbs over five sections of four pages."""
     verbs = F.array(*[F.lit(v) for v in ("next", "prev", "link", "back", "end")])
@@ -184,15 +102,9 @@ def session_replay(spark, sf_dir):
     return R.replay(events, [4] * 5)
 
 
-def column_geometry(spark, sf_dir):
-    rows = literals(spark, [(0, 800.0, 40.0, 1), (1, 800.0, 40.0, 2), (2, 1200.0, 20.0, 2)], "id long, width double, gap double, columns int")
-    w = B.column_width(F.col("width"), F.col("gap"), F.col("columns"))
-    return rows.select("id", w.alias("column_width"), (F.col("columns") * (w + F.col("gap"))).alias("stride"))
-
-
 QUERIES = {f.__name__: f for f in (
-    decoded_books, epub_documents, epub_sections, epub_toc, epub_entries, fb2_documents, fb2_sections, decoded_text_books, section_bytes, decoded_sections, decoded_toc, decoded_resources, archive_entries, format_claims, sanitized_pages, sanitizer_removals, css_references,
-    key_intents, tap_intents, gestures, protocol_validate, session_replay, column_geometry,
+    epub_documents, epub_sections, epub_toc, epub_entries, fb2_documents, fb2_sections, decoded_text_books, section_bytes, sanitized_pages, sanitizer_removals, 
+    session_replay, 
 )}
 _PARTS = """WITH l AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), n AS (SELECT *, (len(ls) + 4) // 5 AS n FROM l),
 p AS (SELECT doc_id, unnest(range(0, n)) AS k, ls FROM n) """
@@ -203,9 +115,6 @@ ORACLES = {
     "epub_entries": "SELECT doc_id, 4::BIGINT AS ord, 0::BIGINT AS method, octet_length(encode(text)) AS compressed_size, octet_length(encode(text)) AS uncompressed_size, true AS first, CAST(NULL AS VARCHAR) AS error FROM documents WHERE text IS NOT NULL",
     "fb2_documents": _PARTS + "SELECT doc_id, 'fb2' AS format, 'Text ' || doc_id AS title, 'Ann' AS author, coalesce(lang, 'und') AS language, CAST(doc_id AS VARCHAR) AS identifier, n AS n_sections, CAST(NULL AS VARCHAR) AS error FROM n",
     "fb2_sections": _PARTS + "SELECT doc_id, k AS section_index, md5(regexp_replace('Part' || k || array_to_string(ls[k * 5 + 1 : k * 5 + 5], ''), '\\s', '', 'g')) AS md5 FROM p",
-    "decoded_books": """SELECT * FROM (VALUES (0::BIGINT, 'epub', 'The Small Lamp', 'N. Body', 'en', 'urn:x:1', 'OPS/img/p.png', 'ltr', false, NULL),
-        (1, 'fb2', 'Two Roads', 'Ann Onym', 'en', 'doc-7', 'cov', NULL, NULL, NULL), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'UnrecognizedFormat'),
-        (3, 'epub', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'CorruptContainer')) AS v(book_id, format, title, author, language, identifier, cover, direction, fixed_layout, error)""",
     "session_replay": """WITH RECURSIVE e AS (SELECT CAST(user_id AS BIGINT) AS session, CAST(event_id AS BIGINT) AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id // 3 % 5 AS v, event_id % 7 AS target FROM events),
         r AS (SELECT DISTINCT session, 0::BIGINT AS seq, 0::BIGINT AS i, 0::BIGINT AS p, []::BIGINT[] AS s, '' AS status FROM e
           UNION ALL SELECT session, seq, i, q, s, CASE WHEN v = 2 AND target > 4 THEN 'error' WHEN q <> p THEN 'moved' ELSE 'none' END FROM (
@@ -216,14 +125,5 @@ ORACLES = {
         SELECT session, seq, CAST(p // 4 AS INT) AS section, CAST(p % 4 AS INT) AS page, CAST(len(s) AS INT) AS depth, status FROM r WHERE i > 0""",
     "decoded_text_books": f"SELECT doc_id, section_id, heading FROM ({_SECTIONS_SQL})",
     "section_bytes": "SELECT doc_id, md5(text) AS md5 FROM documents",
-    "format_claims": "SELECT * FROM (VALUES (0::BIGINT, false, false), (1, false, true), (2, true, false), (3, true, false), (4, false, false), (5, false, false), (6, false, false), (7, false, false)) AS v(id, is_text, is_fb2)",
     "sanitizer_removals": "SELECT name, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS name FROM pages) WHERE name IN ('script', 'meta', 'title', 'iframe', 'button', 'input') GROUP BY name",
-    "css_references": "SELECT * FROM (VALUES (0::BIGINT, 'import', 'a.css', 8::BIGINT, 15::BIGINT), (0, 'url', 'x.png', 30, 40), (2, 'url', 'f.woff', 6, 21)) AS v(id, kind, value, start, \"end\")",
-    "key_intents": f"""SELECT key, direction, CASE WHEN key IN ('ArrowRight', 'ArrowLeft') THEN CASE WHEN (key = 'ArrowRight') = (direction <> 'rtl') THEN 'next' ELSE 'prev' END
-        WHEN key = 'PageDown' THEN 'next' WHEN key = 'Shift+Space' THEN 'prev' WHEN key = 'Home' THEN 'start' WHEN key = 'End' THEN 'end' ELSE 'none' END AS intent FROM {_values(_GRID, 'key, direction')}""",
-    "tap_intents": f"""SELECT CAST(x AS DOUBLE) AS x, CAST(width AS DOUBLE) AS width, direction, CASE WHEN width <= 0 THEN 'none' WHEN x / width::DOUBLE < 1/3::DOUBLE THEN CASE direction WHEN 'rtl' THEN 'next' ELSE 'prev' END
-        WHEN x / width::DOUBLE >= 2/3::DOUBLE THEN CASE direction WHEN 'rtl' THEN 'prev' ELSE 'next' END ELSE 'none' END AS intent FROM {_values(_TAPS, 'x, width, direction')}""",
-    "gestures": "SELECT * FROM (VALUES (0::BIGINT, 'swipe', 'prev'), (1, 'swipe', 'next'), (2, 'none', 'prev'), (3, 'tap', 'prev'), (4, 'none', 'prev'), (5, 'none', 'none'), (6, 'none', 'prev')) AS v(id, gesture, swipe)",
-    "protocol_validate": "SELECT * FROM (VALUES (0::BIGINT, true), (1, false), (2, true), (3, false), (4, false), (5, false), (6, true)) AS v(id, accepted)",
-    "column_geometry": "SELECT id, (width - 2 * gap - (columns - 1) * gap) / columns AS column_width, columns * ((width - 2 * gap - (columns - 1) * gap) / columns + gap) AS stride FROM (VALUES (0::BIGINT, 800.0::DOUBLE, 40.0::DOUBLE, 1), (1, 800.0, 40.0, 2), (2, 1200.0, 20.0, 2)) AS v(id, width, gap, columns)",
 }

@@ -30,8 +30,6 @@ def page_chunk(spark, sf_dir):
     return found.select("conv_id", "page", "chunk", "local_page", F.round(L.chapter_fraction(F.col("page"), F.col("total")), 9).alias("fraction"))
 
 
-
-
 def _boxes(spark, sf_dir):
     i = F.col("doc_id")
     left, top = (i * 37 % 2000).cast("double"), (i * 53 % 1500).cast("double")
@@ -62,44 +60,12 @@ _ROUND = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
 _CLIPPED = f"""(SELECT id, l AS x, t AS y, {_ROUND("r - l")} AS width, {_ROUND("b - t")} AS height FROM (
   SELECT id, {_ROUND("greatest(l, 100.5::DOUBLE)")} AS l, {_ROUND("greatest(t, 80.25::DOUBLE)")} AS t, {_ROUND("least(r, 1500.0::DOUBLE)")} AS r, {_ROUND("least(b, 1200.125::DOUBLE)")} AS b FROM {_BOXES}) WHERE r - l > 0 AND b - t > 0)"""
 
-_SECTIONS = [(0, "text/ch1.xhtml"), (1, "text/ch2.xhtml"), (2, "notes"), (3, "deep/er/notes.htm"), (4, "s.tar.gz"), (5, "dup/ch1.xhtml")]
-_TOC = [(0, "text/ch2.xhtml", "frag"), (1, "notes", "frag"), (2, "gone", "lost"), (3, "notes", None)]
-_HREFS = [
-    (0, "text/ch1.xhtml", None), (1, "../ch2.xhtml", None), (2, "other/notes.xhtml", None), (3, "notes.htm", None), (4, "x/s.tar", None), (5, "nowhere", "frag"),
-    (6, "nowhere", "lost"), (7, "nowhere", None), (8, "ch1.html?x=a/b", None), (9, "dup/ch1.xhtml", "frag"), (10, ".hidden", None),
-]
-
-
-def href_ladder(spark, sf_dir):
-    return L.href_sections(
-        literals(spark, _HREFS, "href_id long, path string, fragment string"), literals(spark, _SECTIONS, "section_index int, section_id string"),
-        literals(spark, _TOC, "node_id int, section_id string, fragment string"),
-    )
-
-
-_SEG = lambda c: f"regexp_extract(regexp_replace({c}, '\\?.*$', ''), '[^/]*$')"
-_STEM = lambda c: f"CASE WHEN strpos(reverse({c}), '.') BETWEEN 1 AND length({c}) - 1 THEN substr({c}, 1, length({c}) - strpos(reverse({c}), '.')) ELSE {c} END"
-
 
 def without_boilerplate(spark, sf_dir):
     wrapped = F.concat(F.lit("Front matter\n*** START OF THE PROJECT GUTENBERG EBOOK ONE ***"), "text", F.lit("*** end of this project gutenberg ebook ***\nterms"))
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(L.without_boilerplate(wrapped).cast("binary")).alias("md5"))
 
 
-_OK = {"mode": "paginated", "pageWidth": 1, "pageHeight": 2, "columnGap": 3, "chunkChars": 4, "windowChunks": 5, "columnCount": 1}
-_HOST = [
-    *[(i, json.dumps({"v": 13, "type": t, "id": 1})) for i, t in enumerate(("ping", "measure", "relayout", "sectionText", "diagnostics", "goToPage", "ready"))],
-    (7, json.dumps({"v": 13, "type": "paginate", "id": 2, "options": _OK})), (8, json.dumps({"v": 13, "type": "paginate", "id": 2, "options": {**_OK, "mode": "flat"}})),
-    (9, json.dumps({"v": 13, "type": "decorate", "id": 3, "decorationId": "d", "start": 0, "end": 1, "className": "c"})), (10, json.dumps({"v": 13, "type": "decorate", "id": 3, "decorationId": 1, "start": 0, "end": 1, "className": "c"})),
-    (11, json.dumps({"v": 13, "type": "goToPage", "id": 3, "page": 2})), (12, json.dumps({"v": 12, "type": "ping", "id": 1})), (13, json.dumps({"v": 13, "type": "ping", "id": "1"})), (14, "[]"),
-]
-
-
-def host_messages(spark, sf_dir):
-    valid = C.kernel(R.host_message, T.StringType())(F.col("m"))
-    return literals(spark, _HOST, "id long, m string").select("id", valid.isNotNull().alias("accepted"))
-
-
 def appearance_changes(spark, sf_dir):
     """Turns of a conversation as states: which fields changed since the turn before."""
     from pyspark.sql import Window
@@ -111,7 +77,7 @@ def appearance_changes(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_pages, page_chunk, tapped_decorations, clipped_rects, union_rects, href_ladder, without_boilerplate, host_messages, appearance_changes,
+    chunk_pages, page_chunk, tapped_decorations, clipped_rects, union_rects, without_boilerplate, appearance_changes,
 )}
 _PAGES_SQL = _CHUNK_SQL + f""", p AS (SELECT conv_id, chunk, CAST(greatest(1, ceil((chars + {GAP}) / {STRIDE})) AS BIGINT) AS pages FROM t),
 q AS (SELECT *, CAST(sum(pages) OVER (PARTITION BY conv_id ORDER BY chunk) AS BIGINT) AS end_page FROM p)
@@ -124,17 +90,7 @@ ORACLES = {
         SELECT tap_id, id, o AS "order", row_number() OVER (PARTITION BY tap_id ORDER BY o DESC, id) AS rank FROM h""",
     "clipped_rects": f"SELECT * FROM {_CLIPPED}",
     "union_rects": f"SELECT id % 50 AS own, min(x) AS x, min(y) AS y, {_ROUND('max(x + width) - min(x)')} AS width, {_ROUND('max(y + height) - min(y)')} AS height FROM {_CLIPPED} GROUP BY 1",
-    "href_ladder": f"""WITH s AS (SELECT section_index, section_id, {_SEG('section_id')} AS tail FROM {_values(_SECTIONS, 'section_index, section_id')}),
-        f AS (SELECT fragment, arg_min(section_id, node_id) AS section_id FROM {_values(_TOC, 'node_id, section_id, fragment')} WHERE fragment IS NOT NULL GROUP BY fragment),
-        h AS (SELECT *, {_SEG('path')} AS seg FROM {_values(_HREFS, 'href_id, path, fragment')}), k AS (SELECT *, {_STEM('seg')} AS stem FROM h)
-        SELECT CAST(href_id AS BIGINT) AS href_id, CAST(coalesce((SELECT min(section_index) FROM s WHERE section_id = path), (SELECT min(section_index) FROM s WHERE section_id = seg),
-            (SELECT min(section_index) FROM s WHERE section_id IN (seg, stem) OR tail IN (seg, stem) OR {_STEM('tail')} = stem),
-            (SELECT min(s.section_index) FROM f JOIN s USING (section_id) WHERE f.fragment = k.fragment), -1) AS BIGINT) AS section_index FROM k""",
     "without_boilerplate": "SELECT doc_id, md5(text) AS md5 FROM documents",
-    "host_messages": f"""SELECT CAST(id AS BIGINT) AS id, coalesce(json_valid(m) AND json_type(m) = 'OBJECT' AND m->>'$.v' = '13' AND json_type(m, '$.id') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CASE m->>'$.type'
-        WHEN 'ping' THEN true WHEN 'measure' THEN true WHEN 'relayout' THEN true WHEN 'sectionText' THEN true WHEN 'diagnostics' THEN true
-        WHEN 'goToPage' THEN json_type(m, '$.page') = 'UBIGINT' WHEN 'paginate' THEN m->>'$.options.mode' IN ('paginated', 'scrolled')
-        WHEN 'decorate' THEN json_type(m, '$.decorationId') = 'VARCHAR' ELSE false END, false) AS accepted FROM {_values(_HOST, 'id, m')}""",
     "appearance_changes": """WITH t AS (SELECT conv_id, turn, role, length(text) AS size, substr(text, 1, 1) AS initial, lag(turn) OVER w AS b, lag(role) OVER w AS r0, lag(length(text)) OVER w AS s0, lag(substr(text, 1, 1)) OVER w AS i0
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role IS DISTINCT FROM r0 THEN 'role' END, CASE WHEN size IS DISTINCT FROM s0 THEN 'size' END, CASE WHEN initial IS DISTINCT FROM i0 THEN 'initial' END], lambda x: x IS NOT NULL), ',') AS changed FROM t WHERE b IS NOT NULL""",

@@ -83,16 +83,6 @@ SELECT {keyed}, CAST(hit_ord AS BIGINT) AS hit_ord, CAST(p - 1 AS BIGINT) AS sta
 """
 
 
-_FOLD_ROWS = [
-    (0, "‘Quoted’ and “double”"), (1, "dash – dash — dash"), (2, "Café NAÏVE"), (3, "a b c"),
-    (4, "  lead\tand\ntrail  "), (5, "é combining"), (6, ""), (7, "−‐′″"), (8, "zero​width"),
-]
-
-
-def fold_literals(spark, sf_dir):
-    return literals(spark, _FOLD_ROWS, "id long, raw string").select("id", C.fold("raw").alias("folded"))
-
-
 def _values(rows, names):
     quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
     return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS v({names})"
@@ -129,18 +119,6 @@ SELECT doc_id, section_id, heading, CAST(n_paragraphs AS BIGINT) AS n_paragraphs
 UNION ALL SELECT doc_id, 's0', NULL, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM b)
 """
 
-_META_ROWS = [
-    (0, "Title: The  Long Way\nAuthor: A. Writer\n\nText"), (1, "The Project Gutenberg eBook of Some Book, by Some One\nmore"), (2, "no fields here"), (3, "x\nTITLE: Loud\n"),
-]
-
-
-def text_metadata_literals(spark, sf_dir):
-    rows = literals(spark, _META_ROWS, "id long, t string")
-    title = F.coalesce(C.metadata_field(F.col("t"), "Title"), C.banner_field(F.col("t"), 1))
-    own = C.metadata_field(F.col("t"), "Title").isNotNull()
-    author = F.coalesce(C.metadata_field(F.col("t"), "Author"), F.when(~own, C.banner_field(F.col("t"), 2)))
-    return rows.select("id", title.alias("title"), author.alias("author"))
-
 
 def grapheme_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
@@ -253,43 +231,6 @@ def removal_tally(spark, sf_dir):
     return B.tally(found.filter(F.col("name").isin(*sorted(DISCARDED), "style")), "name")
 
 
-_CRC_ROWS = [(0, "123456789"), (1, ""), (2, "The quick brown fox jumps over the lazy dog")]
-
-
-def crc32_vectors(spark, sf_dir):
-    return literals(spark, _CRC_ROWS, "id long, s string").select("id", F.crc32(F.col("s").cast("binary")).alias("crc"))
-
-
-def sha1_key(spark, sf_dir):
-    rows = literals(spark, [(0, " urn:uuid:1-2\t"), (1, "a b\r\nc")], "id long, s string")
-    return rows.select("id", F.sha1(F.regexp_replace("s", r"[ \t\r\n]", "").cast("binary")).alias("key"))
-
-
-_MANIFEST = [("m1", "a.xhtml", 0), ("m2", "b.xhtml", 1), ("m3", "img.png", 2), ("m4", "missing.xhtml", 3)]
-_SPINE = [("m2", 0), ("m1", 1), ("m2", 2), ("m9", 3)]
-_ENTRIES = [("a.xhtml",), ("b.xhtml",), ("img.png",)]
-
-
-def _manifest(spark):
-    return literals(spark, _MANIFEST, "id string, path string, ord long"), literals(spark, _SPINE, "idref string, pos long"), literals(spark, _ENTRIES, "name string")
-
-
-def spine_join(spark, sf_dir):
-    manifest, spine, _ = _manifest(spark)
-    first = B.first_wins(spine, ["idref"], ["pos"])
-    return first.join(B.small(manifest), first["idref"] == manifest["id"]).select("idref", "path", "pos")
-
-
-def manifest_semi(spark, sf_dir):
-    manifest, _, entries = _manifest(spark)
-    return manifest.join(B.small(entries), manifest["path"] == entries["name"], "left_semi").select("id", "path")
-
-
-def manifest_anti(spark, sf_dir):
-    manifest, spine, _ = _manifest(spark)
-    return manifest.join(B.small(spine), manifest["id"] == spine["idref"], "left_anti").select("id", "path")
-
-
 def first_of_host(spark, sf_dir):
     """First page of each host: the first-wins rule on real rows."""
     pages = _table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"://([^/?#]*)", 1).alias("host"), "page_id", "url")
@@ -303,10 +244,10 @@ def quantiles_chars(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    reading_text_pages, search_pages, search_pages_hit_counts, search_documents_hits, search_context, search_conversations, search_first_hits, fold_literals,
-    text_blocks, text_headings, text_sections_lines_as_blocks, text_toc_lines_as_blocks, text_metadata_literals, grapheme_counts,
+    reading_text_pages, search_pages, search_pages_hit_counts, search_documents_hits, search_context, search_conversations, search_first_hits, 
+    text_blocks, text_headings, text_sections_lines_as_blocks, text_toc_lines_as_blocks, grapheme_counts,
     collapse_escape_documents, position_roundtrip, resolve_shifted_text, sentences_count, chunk_ranges, chunk_at_offset, book_progress,
-    classify_references, strip_markup_pages, window_score, removal_tally, crc32_vectors, sha1_key, spine_join, manifest_semi, manifest_anti,
+    classify_references, strip_markup_pages, window_score, removal_tally, 
     first_of_host, quantiles_chars,
 )}
 
@@ -327,12 +268,10 @@ ORACLES = {
     "search_documents_hits": _hits_sql("documents", ["doc_id"], QUERY).format(extra=f", substr(text, p, {len(QUERY)}) AS text"),
     "search_conversations": _hits_sql("conversations", ["conv_id", "turn"], PAGE_QUERY).format(extra=""),
     "search_first_hits": f"SELECT conv_id, nth, turn, start_u16 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, hit_ord) AS nth FROM ({_hits_sql('conversations', ['conv_id', 'turn'], PAGE_QUERY).format(extra='')})) WHERE nth <= 3",
-    "fold_literals": f"SELECT CAST(id AS BIGINT) AS id, trim(regexp_replace(lower(nfc_normalize(translate(raw, '{_SMART_FROM}', '{_SMART_TO}'))), '[{SPACE_SQL}\\x{{200B}}]+', ' ', 'g')) AS folded FROM {_values(_FOLD_ROWS, 'id, raw')}",
     "text_blocks": f"SELECT doc_id, CAST(ord AS BIGINT) AS ord, block FROM ({_LINES})",
     "text_headings": f"SELECT doc_id, CAST(ord AS BIGINT) AS ord, regexp_replace(block, '[{SPACE_SQL}]+', ' ', 'g') AS heading FROM ({_LINES}) WHERE {_HEADING_SQL}",
     "text_sections_lines_as_blocks": _SECTIONS_SQL,
     "text_toc_lines_as_blocks": f"SELECT doc_id, section_id, heading AS label FROM ({_SECTIONS_SQL}) WHERE heading IS NOT NULL",
-    "text_metadata_literals": "SELECT * FROM (VALUES (0::BIGINT, 'The Long Way', 'A. Writer'), (1, 'Some Book', 'Some One'), (2, NULL, NULL), (3, 'Loud', NULL)) AS v(id, title, author)",
     "grapheme_counts": "SELECT doc_id, length_grapheme(text) AS graphemes, length(text) AS u16 FROM documents",
     "collapse_escape_documents": f"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[{SPACE_SQL}]+', ' ', 'g')) AS t FROM documents)
         SELECT doc_id, md5(t) AS collapsed_md5, md5(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5 FROM c""",
@@ -344,11 +283,6 @@ ORACLES = {
     "classify_references": _REFERENCE_SQL,
     "strip_markup_pages": f"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[{SPACE_SQL}]+', ' ', 'g'))) AS md5 FROM pages",
     "removal_tally": "SELECT name, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS name FROM pages) WHERE name IN ('area','base','button','embed','frame','frameset','iframe','input','keygen','listing','meta','noembed','noframes','option','optgroup','param','plaintext','script','select','source','template','textarea','title','track','xmp','style') GROUP BY name",
-    "crc32_vectors": "SELECT * FROM (VALUES (0::BIGINT, 3421780262::BIGINT), (1, 0), (2, 1095738169)) AS v(id, crc)",
-    "sha1_key": "SELECT * FROM (VALUES (0::BIGINT, sha1('urn:uuid:1-2')), (1, sha1('abc'))) AS v(id, key)",
-    "spine_join": f"SELECT idref, path, pos FROM (SELECT idref, CAST(min(pos) AS BIGINT) AS pos FROM {_values(_SPINE, 'idref, pos')} GROUP BY idref) JOIN (SELECT * FROM {_values(_MANIFEST, 'id, path, ord')}) ON id = idref",
-    "manifest_semi": f"SELECT id, path FROM {_values(_MANIFEST, 'id, path, ord')} WHERE path IN (SELECT name FROM {_values(_ENTRIES, 'name')})",
-    "manifest_anti": f"SELECT id, path FROM {_values(_MANIFEST, 'id, path, ord')} WHERE id NOT IN (SELECT idref FROM {_values(_SPINE, 'idref, pos').replace('AS v', 'AS s')})",
     "first_of_host": "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM pages GROUP BY 1",
     "quantiles_chars": "SELECT lang, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, max(n_chars) AS most FROM documents GROUP BY lang",
 }

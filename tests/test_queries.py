@@ -7,12 +7,12 @@ import pytest
 import regex
 
 from quire.operators import reader
-from quire.plans import archives, corpus, formats, layout, marks, nodes, ordered, queries, streams
+from quire.plans import archives, corpus, fed, formats, layout, marks, nodes, ordered, queries, streams
 from quire.streaming.replay import replay_stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages conversations events benchmark labels embeddings".split()
-PLANS = (queries, formats, layout, marks, nodes, archives, corpus, ordered, streams)
+PLANS = (queries, formats, layout, marks, nodes, archives, corpus, ordered, streams, fed)
 QUERIES, ORACLES = ({k: v for plan in PLANS for k, v in getattr(plan, name).items()} for name in ("QUERIES", "ORACLES"))
 
 
