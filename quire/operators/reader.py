@@ -42,6 +42,14 @@ def gesture(dx: Column, dy: Column) -> Column:
     return F.when((F.abs(dx) > 30) & (F.abs(dx) > F.abs(dy)), "swipe").when((F.abs(dx) <= 10) & (F.abs(dy) <= 10), "tap").otherwise("none")
 
 
+def gesture_message(dx: Column, dy: Column, selected: Column, link: Column, image: Column, decorated: Column) -> Column:
+    """Type of the message that a finished gesture sends. A swipe that leaves a selection sends none; a tap means the link
+    under it, else the image, else the decorations, else the place itself."""
+    kind = gesture(dx, dy)
+    tap = F.when(link, "linkclick").when(image, "imagetap").when(decorated, "decorationtap").otherwise("tap")
+    return F.when(kind == "swipe", F.when(~selected, "swipe")).when(kind == "tap", tap)
+
+
 # --- messages ---------------------------------------------------------------------------------------------------
 
 VERSION = 13
@@ -174,6 +182,25 @@ def reflows(update: dict) -> bool:
     return any(update.get(k) is not None for k in REFLOWS)
 
 
+def merged_appearance(base: Column, update: Column) -> Column:
+    """Two maps of settings as one: what the update has wins, and a null that it has clears."""
+    both = F.map_zip_with(base, update, lambda k, b, u: F.when(F.map_contains_key(update, k), u).otherwise(b))
+    return F.map_filter(both, lambda k, v: v.isNotNull())
+
+
+def reflows(update: Column) -> Column:
+    """Whether an update (a map) sets anything that moves text."""
+    return F.exists(F.array(*map(F.lit, REFLOWS)), lambda k: F.element_at(update, k).isNotNull())
+
+
+def appearance_states(updates: DataFrame, key: str, order: str, settings: str) -> DataFrame:
+    """(key, name, value): what all of a key's updates (maps) come to, merged in order. A setting is decided by the last
+    update that has it, so updates are aggregated and never gathered or folded."""
+    each = updates.select(key, order, F.explode(settings).alias("name", "value"))
+    last = each.groupBy(key, "name").agg(F.max(F.struct(F.col(order).alias("at"), F.col("value").alias("value")))["value"].alias("value"))
+    return last.filter("value IS NOT NULL")
+
+
 # --- navigation -------------------------------------------------------------------------------------------------
 
 NAVIGATION = "session long, seq long, section int, page int, depth int, status string"

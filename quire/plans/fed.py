@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,9 +220,45 @@ def href_ladder(spark, sf_dir):
     return L.href_sections(hrefs, sections, toc)
 
 
+def tap_messages(spark, sf_dir):
+    """Gestures on links, images and decorations, in their order."""
+    n = F.col("event_id")
+    dx, dy = F.when(n % 3 == 0, n % 9).otherwise(n * 13 % 101 - 50).cast("double"), (n * 7 % 61 - 30).cast("double")
+    message = R.gesture_message(dx, F.when(n % 3 == 0, 0.0).otherwise(dy), n % 4 == 0, n % 5 == 0, n % 7 < 2, n % 2 == 0)
+    return _events(spark, sf_dir).select("event_id", message.alias("message"))
+
+
+_SETTINGS = ("fontSize", "theme", "columns", "customProperties.x")
+
+
+def _updates(spark, sf_dir):
+    """Every event as an update of one or two settings; every seventh clears its own."""
+    n = F.col("event_id")
+    name = lambda k: F.get(F.array(*map(F.lit, _SETTINGS)), F.pmod(n + k, F.lit(len(_SETTINGS))).cast("int"))
+    one = F.create_map(name(0), F.when(n % 7 > 0, n.cast("string")))
+    two = F.map_concat(one, F.create_map(name(1), F.concat(F.lit("b"), n.cast("string"))))
+    rows = _table(spark, sf_dir, "events").filter("event_id IS NOT NULL AND user_id IS NOT NULL").select(F.col("user_id").cast("long").alias("session"), F.col("event_id").cast("long").alias("event_id"))
+    return rows.select("session", "event_id", F.when(n % 3 == 0, two).otherwise(one).alias("settings"))
+
+
+def appearance_of_sessions(spark, sf_dir):
+    """What all updates of each session come to."""
+    return R.appearance_states(_updates(spark, sf_dir), "session", "event_id", "settings")
+
+
+def appearance_merges(spark, sf_dir):
+    """Each update merged into the one before: how many settings stand, their names, and whether text moves."""
+    before = F.lag("settings").over(Window.partitionBy("session").orderBy("event_id"))
+    rows = _updates(spark, sf_dir).withColumn("base", F.coalesce(before, F.create_map().cast("map<string,string>")))
+    merged = R.merged_appearance(F.col("base"), F.col("settings"))
+    names = F.array_join(F.sort_array(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return rows.select("session", "event_id", names.alias("merged"), R.reflows(F.col("settings")).alias("reflows"))
+
+
 QUERIES = {f.__name__: f for f in (
     fold_literals, text_metadata_literals, crc32_vectors, sha1_key, spine_join, manifest_semi, manifest_anti, decoded_books, decoded_sections, decoded_toc, decoded_resources, archive_entries,
     format_claims, css_references, key_intents, tap_intents, gestures, protocol_validate, host_messages, column_geometry, href_ladder,
+    tap_messages, appearance_of_sessions, appearance_merges,
 )}
 
 _FROM, _TO = "".join(SMART), "".join(SMART.values()).replace("'", "''")
@@ -237,7 +274,20 @@ _MD5 = "md5(regexp_replace({}, '\\s', '', 'g'))"
 _SEG = lambda c: f"regexp_extract(regexp_replace({c}, '\\?.*$', ''), '[^/]*$')"
 _STEM = lambda c: f"CASE WHEN strpos(reverse({c}), '.') BETWEEN 1 AND length({c}) - 1 THEN substr({c}, 1, length({c}) - strpos(reverse({c}), '.')) ELSE {c} END"
 _EDGE = lambda right: f"CASE WHEN ({right}) = (direction <> 'rtl') THEN 'next' ELSE 'prev' END"
+_UPDATES = f"""WITH e AS (SELECT user_id::BIGINT AS session, event_id::BIGINT AS event_id FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL),
+    u AS (SELECT *, [{', '.join(f"'{k}'" for k in _SETTINGS)}] AS names FROM e),
+    s AS (SELECT session, event_id, names[event_id % 4 + 1] AS name, CASE WHEN event_id % 7 > 0 THEN event_id::VARCHAR END AS value FROM u
+      UNION ALL SELECT session, event_id, names[(event_id + 1) % 4 + 1], 'b' || event_id FROM u WHERE event_id % 3 = 0) """
 ORACLES = {
+    "tap_messages": f"""SELECT event_id, CASE WHEN abs(dx) > 30 AND abs(dx) > abs(dy) THEN CASE WHEN event_id % 4 <> 0 THEN 'swipe' END WHEN abs(dx) <= 10 AND abs(dy) <= 10 THEN
+        CASE WHEN event_id % 5 = 0 THEN 'linkclick' WHEN event_id % 7 < 2 THEN 'imagetap' WHEN event_id % 2 = 0 THEN 'decorationtap' ELSE 'tap' END END AS message
+        FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 9 ELSE event_id * 13 % 101 - 50 END AS dx, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id * 7 % 61 - 30 END AS dy FROM {_E})""",
+    "appearance_of_sessions": _UPDATES + "SELECT session, name, value FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session, name ORDER BY event_id DESC) = 1) WHERE value IS NOT NULL",
+    "appearance_merges": _UPDATES + """, b AS (SELECT *, lag(event_id) OVER (PARTITION BY session ORDER BY event_id) AS before FROM e),
+        m AS (SELECT b.session, b.event_id, s.name, s.value FROM b JOIN s ON s.session = b.session AND s.event_id = b.event_id
+          UNION ALL SELECT b.session, b.event_id, s.name, s.value FROM b JOIN s ON s.session = b.session AND s.event_id = b.before WHERE NOT EXISTS (SELECT 1 FROM s x WHERE x.session = b.session AND x.event_id = b.event_id AND x.name = s.name)),
+        r AS (SELECT session, event_id, string_agg(name || '=' || value, ',' ORDER BY name || '=' || value) FILTER (value IS NOT NULL) AS merged FROM m GROUP BY ALL)
+        SELECT r.session, r.event_id, coalesce(merged, '') AS merged, EXISTS (SELECT 1 FROM s x WHERE x.session = r.session AND x.event_id = r.event_id AND x.name IN ('fontSize', 'columns') AND x.value IS NOT NULL) AS reflows FROM r""",
     "fold_literals": f"""SELECT doc_id, md5(trim(regexp_replace(lower(nfc_normalize(translate('  ' || translate(text, '{_LETTERS}', '{_FROM}') || ' ' || chr(9) || chr(160) || 'x' || chr(8203) || '  E' || chr(769) || 'A' || chr(778) || chr(12288), '{_FROM}', '{_TO}'))),
         '[{SPACE_SQL}\\x{{200B}}]+', ' ', 'g'))) AS md5 FROM {_D}""",
     "text_metadata_literals": f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'The ' || doc_id WHEN 1 THEN 'Book ' || doc_id WHEN 3 THEN 'Loud ' || doc_id END AS title,
