@@ -40,7 +40,7 @@ LANDINGS = 16
 #: Copies of one row beyond so many are written by several tasks.
 SPREAD = 4096
 OUTPUTS = ("size", "source_size", "target", "copies", "taken")
-_INNER = ("sid", "n_units", "h", "p", "block", "blocks", "row", "rows", "left", "__own", "__source", "__i", "__lo")
+_INNER = ("sid", "n_units", "h", "h2", "p", "block", "blocks", "row", "rows", "left", "__own", "__source", "__i", "__lo")
 _EPS = 1e-9
 
 
@@ -136,9 +136,12 @@ def _fly(seed: int, turn: int):
 
 
 def _hash(docs: DataFrame, seed: int):
-    """Hash of a whole row. xxhash64 takes no maps; rows that differ in those columns alone count as equal."""
-    plain = [f"`{c}`" for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
-    return F.xxhash64(*plain, F.lit(seed))
+    """h, h2: two hashes of a whole row, which together tell different rows apart. What xxhash64 does not take (maps,
+    variants, what holds them) counts by its JSON text; equal maps in another order of entries are different rows then."""
+    hard = (T.MapType, T.VariantType)
+    holds = lambda kind: isinstance(kind, hard) or isinstance(kind, T.ArrayType) and holds(kind.elementType) or isinstance(kind, T.StructType) and any(holds(f.dataType) for f in kind)
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if holds(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*columns, F.lit(seed)).alias("h"), F.xxhash64(F.lit(seed), *columns, F.lit(~seed)).alias("h2")
 
 
 def _spread(df: DataFrame, many: str, name: str) -> DataFrame:
@@ -154,8 +157,8 @@ def _units(docs: DataFrame, text: str, source: str, weights, cap: int, block: in
     taken, how often the mix takes all of them together."""
     rest = [c for c in docs.columns if c != text]
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    units = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(source).alias("__own"), size.alias("size"), _hash(docs, seed).alias("h"))
-    units = flat.saved(units.groupBy("h").agg(F.first("row").alias("row"), F.first("__own").alias("__own"), F.first("size").alias("size"), F.count("*").alias("rows")))
+    units = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(source).alias("__own"), size.alias("size"), *_hash(docs, seed))
+    units = flat.saved(units.groupBy("h", "h2").agg(F.first("row").alias("row"), F.first("__own").alias("__own"), F.first("size").alias("size"), F.count("*").alias("rows")))
     targets = flat.saved(source_targets(units.select(F.col("__own").alias("source"), "size", "rows"), weights, cap).withColumnRenamed("source", "__source"))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
@@ -178,7 +181,7 @@ def _units(docs: DataFrame, text: str, source: str, weights, cap: int, block: in
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("h", "row", "rows", "size", "source_size", "target", (F.col("taken") + F.col("p").cast("long")).alias("taken"))
+    return out.select("h", "h2", "row", "rows", "size", "source_size", "target", (F.col("taken") + F.col("p").cast("long")).alias("taken"))
 
 
 def copies(docs: DataFrame, text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = 3, block: int = 1024, seed: int = 1) -> DataFrame:
@@ -198,10 +201,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights=WEI
 
     Equal rows become one before their text moves, and it meets its decision by the hash of the whole row."""
     docs = flat.unclash(docs, ("copy", *_INNER))
-    taken = _units(docs, text, source, weights, cap, block, seed).select("h", "rows", "taken").filter("taken > 0")
-    whole = docs.select(_hash(docs, seed).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    whole = whole.groupBy("h").agg(F.first("row").alias("row"))
-    out = _spread(whole.join(taken, "h"), "taken", "__i")
+    taken = _units(docs, text, source, weights, cap, block, seed).select("h", "h2", "rows", "taken").filter("taken > 0")
+    whole = docs.select(*_hash(docs, seed), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = whole.groupBy("h", "h2").agg(F.first("row").alias("row"))
+    out = _spread(whole.join(taken, ["h", "h2"]), "taken", "__i")
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.expr("__i div rows + 1").alias("copy"))
 
 
