@@ -1,12 +1,12 @@
 """License scans: an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
 A text is lower-cased (A-Z); its words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Base: places where the words of
-a phrase stand consecutively. Method: a block (a line, or a window of consecutive words of the text, wherever its lines end,
-as long as the template's words over ``threshold``) holds a template when at least ``threshold`` of the template's
-distinct words occur in it. Windows are only tried in texts of several lines that as a whole would hold the
-template. Words are ordered by document frequency over all documents, rarest first;
+a phrase stand consecutively. Method: a block (a window of consecutive words of the text, wherever its lines end, as
+long as the template's words over ``threshold``) holds a template when at least ``threshold`` of the template's
+distinct words occur in it. The rule is the same for every text: how it is wrapped changes nothing, and words that are
+scattered over a long line hold nothing. Windows are tried in texts that as a whole would hold the template. Words are ordered by document frequency over all documents, rarest first;
 a template that needs ``need`` of its ``size`` words must share one of its rarest ``size - need + 1`` with the
-block (prefix filter), the block must have ``need`` distinct words (length filter), and the words after the
+text (prefix filter), the text must have ``need`` distinct words (length filter), and the words after the
 shared one must suffice on both sides (positional filter). What is left is verified on the whole sets, so the
 join is exact.
 
@@ -84,53 +84,47 @@ def _literal(words) -> Column:
     return F.array(*[F.lit(w) for w in words] or [F.lit(None).cast("string")])
 
 
+def _span(text: str, threshold: float) -> int:
+    """Words of a window: a notice stands in one even if so many words that are not its own are among its words."""
+    return math.ceil(len(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text)) / threshold - 1e-9)
+
+
 def similar_blocks(texts: DataFrame, counts: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD, key=("k1", "k2")) -> DataFrame:
-    """(key, label, containment): for each text (key, line) and label the best containment of a template in a line or
-    window of it, of all pairs that reach the threshold. ``counts`` are the words' document frequencies."""
+    """(key, label, containment): for each text (key, line) and label the best containment of a template in a window of
+    it, of all pairs that reach the threshold. ``counts`` are the words' document frequencies."""
     spark, sets = texts.sparkSession, _sets(templates)
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     rows, prefix, least = [], set(), []
-    spans = {k: math.ceil(len(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t)) / threshold - 1e-9) for k, (t, _) in enumerate(templates)}
     for k, label, ws in sets:
         ws = sorted(ws, key=rank.get)
         need = _need(len(ws), threshold)
         least.append(need)
         prefix.update(ws[: len(ws) - need + 1])
-        rows += [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(len(ws) - 1 - i).alias("after"), F.lit(need).alias("need"), F.lit(spans[k]).alias("span"), _literal(ws).alias("set")) for i, w in enumerate(ws[: len(ws) - need + 1])]
+        rows += [F.struct(F.lit(w).alias("word"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(len(ws) - 1 - i).alias("after"), F.lit(need).alias("need"), F.lit(_span(templates[k][0], threshold)).alias("span"), _literal(ws).alias("set")) for i, w in enumerate(ws[: len(ws) - need + 1])]
     if not rows:
         return texts.select(*key, F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     index = F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
-    lines = texts.select(*key, F.explode(F.split("line", "\n")).alias("line"))
-
-    def sets_of(blocks: DataFrame, *more: str) -> DataFrame:
-        # What is exploded from an array of one is computed once; a filter on it would else compute it again.
-        cut = blocks.select(*key, *more, F.explode(F.array(words_of("line"))).alias("w")).filter((F.size("w") >= min(least)) & F.arrays_overlap("w", _literal(sorted(prefix))))
-        cut = cut.select(*key, *more, F.size(F.array_distinct("w")).alias("size"), F.array_intersect(_literal(order), F.col("w")).alias("own"))
-        return (
-            cut.select(*key, *more, "size", "own", F.posexplode("own").alias("at", "word"))
-            .join(index, "word")
-            .filter(F.col("size") >= F.col("need"))
-            .filter(1 + F.least(F.col("after"), F.size("own") - F.col("at") - 1) >= F.col("need"))
-            .withColumn("overlap", F.size(F.array_intersect("own", "set")))
-            .filter(F.col("overlap") >= F.col("need"))
-        )
-
-    found = sets_of(lines).select(*key, "label", "set", "overlap")
-    # Whole texts of several lines: what holds no template as a whole has no window that does.
-    whole = texts.filter(F.contains("line", F.lit("\n")))
-    wide = sets_of(whole, "line").dropDuplicates([*key, "template"])
-    wide = wide.select(*key, "label", "need", "span", "set", F.explode(F.array(words_of("line"))).alias("w"))
+    # What is exploded from an array of one is computed once; a filter on it would else compute it again.
+    cut = texts.select(*key, F.explode(F.array(words_of("line"))).alias("w")).filter((F.size("w") >= min(least)) & F.arrays_overlap("w", _literal(sorted(prefix))))
+    cut = cut.select(*key, "w", F.size(F.array_distinct("w")).alias("size"), F.array_intersect(_literal(order), F.col("w")).alias("own"))
+    wide = (
+        cut.select(*key, "w", "size", "own", F.posexplode("own").alias("at", "word"))
+        .join(index, "word")
+        .filter(F.col("size") >= F.col("need"))
+        .filter(1 + F.least(F.col("after"), F.size("own") - F.col("at") - 1) >= F.col("need"))
+        .filter(F.size(F.array_intersect("own", "set")) >= F.col("need"))
+        .dropDuplicates([*key, "template"])
+    )
     places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda o: F.array_contains("set", o["x"]))
     wide = wide.select(*key, "label", "need", "span", "set", F.explode(F.array(places)).alias("o"))
     # A window begins at a word of the template and has no more of them than words.
     inside = lambda s, j: F.filter(F.slice("o", j + 1, F.col("span")), lambda o: o["i"] < s["i"] + F.col("span"))
     most = F.array_max(F.transform("o", lambda s, j: F.size(F.array_distinct(F.transform(inside(s, j), lambda o: o["x"])))))
     wide = wide.select(*key, "label", "set", "need", F.explode(F.array(most)).alias("overlap")).filter(F.col("overlap") >= F.col("need"))
-    pairs = found.unionByName(wide.select(*key, "label", "set", "overlap"))
     best = F.max(F.col("overlap").cast("double") / F.size("set"))
-    return pairs.groupBy(*key, "label").agg(best.alias("containment"))
+    return wide.groupBy(*key, "label").agg(best.alias("containment"))
 
 
 def words_of(column: str) -> Column:
@@ -179,8 +173,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PHRASE_ROWS = ", ".join(f"({[*p.split(' ')]}, '{label}')" for p, label in PHRASES)
-_TEMPLATE_ROWS = ", ".join(f"({ws}, '{label}', {_need(len(ws), THRESHOLD)})" for _, label, ws in _sets(TEMPLATES))
-_LINE_WORDS = _SQL_WORDS.replace("coalesce(text, '')", "line")
+_TEMPLATE_ROWS = ", ".join(f"({k}, {ws}, '{label}', {_need(len(ws), THRESHOLD)}, {_span(TEMPLATES[k][0], THRESHOLD)})" for k, label, ws in _sets(TEMPLATES))
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body, {_SQL_WORDS} AS w FROM documents),
 phrase(words, label) AS (VALUES {_PHRASE_ROWS}),
@@ -190,12 +183,13 @@ place AS (
 base AS (
   SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY rid),
-template(words, label, need) AS (VALUES {_TEMPLATE_ROWS}),
-block AS (
-  SELECT rid, list_distinct({_LINE_WORDS}) AS ws FROM (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM d)),
+template(tid, words, label, need, span) AS (VALUES {_TEMPLATE_ROWS}),
+may AS (SELECT rid, tid, label, need, span, words, w FROM d, template WHERE len(list_intersect(words, list_distinct(w))) >= need),
+own AS (SELECT rid, tid, label, need, span, len(words) AS size, words, i, w[i] AS x FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM may) WHERE list_contains(words, w[i])),
 held AS (
-  SELECT rid, label, CAST(len(list_intersect(words, ws)) AS DOUBLE) / len(words) AS c FROM block, template
-  WHERE len(list_intersect(words, ws)) >= need),
+  SELECT rid, label, CAST(max(n) AS DOUBLE) / any_value(size) AS c
+  FROM (SELECT rid, tid, label, need, size, count(DISTINCT x) OVER (PARTITION BY rid, tid ORDER BY i RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING) AS n FROM own)
+  WHERE n >= need GROUP BY rid, tid, label),
 lab AS (
   SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM (SELECT rid, label FROM held UNION SELECT rid, label FROM place) GROUP BY rid),
