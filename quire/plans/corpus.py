@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import words as words_of
 from ..operators import books as B
 from ..operators import grams as G
 from .queries import _WORDS_SQL, _table
@@ -100,3 +101,37 @@ g AS (SELECT DISTINCT doc_id AS other, array_to_string(w[i + 1 : i + 25], ' ') A
 SELECT doc_id, other, count(*) / 20.0::DOUBLE AS score FROM s JOIN g USING (x) WHERE doc_id <> other GROUP BY doc_id, other""",
     "book_classes": _STREAMS + "c AS (SELECT w.doc_id, k.doc_id AS of FROM w JOIN k USING (w)) SELECT doc_id, of FROM c",
 }
+
+
+def unspaced_words(spark, sf_dir):
+    """Every benchmark item without its spaces, cut again by a dictionary of all items' words."""
+    items = _table(spark, sf_dir, "benchmark").filter("text IS NOT NULL").select("item_id", F.lower("text").alias("text"))
+    words = items.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    joined = items.select("item_id", F.regexp_replace("text", r"[^\p{L}\p{M}\p{N}]", "").alias("text"))
+    starts = words_of.word_starts(words, "word", "n")(F.col("text"))
+    return joined.select("item_id", "text", starts.alias("starts")).select("item_id", F.size("starts").cast("long").alias("n_words"), F.array_join(words_of.cut_words(F.col("text"), F.col("starts")), " ").alias("words"))
+
+
+QUERIES["unspaced_words"] = unspaced_words
+#: The same path by dynamic programming in SQL: the best cost and the last word's length at every place, then back.
+ORACLES["unspaced_words"] = r"""
+WITH RECURSIVE i AS (SELECT item_id, lower(text) AS t FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '[\p{L}\p{M}\p{N}]+')) AS word FROM i) GROUP BY word),
+s AS (SELECT sum(n)::DOUBLE AS total, max(length(word)) AS longest FROM w),
+c AS (SELECT map_from_entries(list({'k': word, 'v': -ln(n / total)})) AS cost, max(-ln(n / total)) + 2.0 AS unknown, any_value(longest) AS longest FROM w, s),
+j AS (SELECT item_id, regexp_replace(t, '[^\p{L}\p{M}\p{N}]', '', 'g') AS t FROM i),
+r AS (
+  SELECT item_id, 0 AS e, [0.0::DOUBLE] AS best, []::BIGINT[] AS last FROM j
+  UNION ALL
+  SELECT item_id, e + 1, list_append(best, m.cost), list_append(last, -m.size) FROM (
+    SELECT r.item_id, e, best, last, list_min(list_append(list_filter(list_transform(range(1, least(e + 1, longest) + 1),
+      lambda l: {'cost': best[e + 2 - l] + cost[substr(t, e + 2 - l, l)], 'size': -l}), lambda x: x.cost IS NOT NULL), {'cost': best[e + 1] + unknown, 'size': 0::BIGINT})) AS m
+    FROM r JOIN j USING (item_id), c WHERE e < length(t))),
+b AS (
+  SELECT item_id, t, last, length(t) AS place, []::BIGINT[] AS starts FROM r JOIN j USING (item_id) WHERE e = length(t)
+  UNION ALL
+  SELECT item_id, t, last, place - greatest(last[place], 1), CASE WHEN last[place] > 0 OR place = 1 OR last[place - 1] > 0 THEN list_prepend(place - greatest(last[place], 1), starts) ELSE starts END
+  FROM b WHERE place > 0)
+SELECT item_id, len(starts)::BIGINT AS n_words, array_to_string(list_transform(range(1, len(starts) + 1), lambda k: substr(t, starts[k] + 1, coalesce(starts[k + 1], length(t)) - starts[k])), ' ') AS words
+FROM b WHERE place = 0
+"""
