@@ -236,6 +236,19 @@ class Reader:
         return "moved" if self.place != (section, page) else "none"
 
 
+def navigation_events(replayed: DataFrame, pages: list[int]) -> DataFrame:
+    """(session, seq, event, section, page, progress): what a host hears of replayed navigation, in its order: ``relocated``
+    with the share of the book behind the place, ``error`` for a step that failed (it breaks nothing behind it); nothing
+    for a step that moved nothing."""
+    size = F.get(F.array(*[F.lit(n) for n in pages]), F.col("section"))
+    within = F.when(size > 1, F.col("page") / (size - 1)).otherwise(F.lit(0.0))
+    progress = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("section") + within) / F.lit(len(pages))))
+    event = F.when(F.col("status") == "error", "error").when(F.col("status") == "moved", "relocated")
+    moved = F.col("event") == "relocated"
+    told = replayed.withColumn("event", event).filter("event IS NOT NULL")
+    return told.select("session", "seq", "event", *[F.when(moved, F.col(c)).alias(c) for c in ("section", "page")], F.when(moved, progress).alias("progress"))
+
+
 def replay(events: DataFrame, pages: list[int]) -> DataFrame:
     """Sessions' events (session, seq, verb, target) in order; a session is replayed as one group."""
 

@@ -14,7 +14,8 @@ from ..operators import layout as L
 from ..operators import reader as R
 from ..sources import decode as D
 from . import fixtures
-from .formats import _PARTS, _made
+from .formats import _PARTS, _made, session_replay
+from .formats import ORACLES as _FORMATS_SQL
 from .queries import SPACE_SQL, _table
 
 # --- text rules -------------------------------------------------------------------------------------------------
@@ -228,6 +229,11 @@ def tap_messages(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", message.alias("message"))
 
 
+def navigation_events(spark, sf_dir):
+    """Places and failures that a host hears of while all sessions are replayed."""
+    return R.navigation_events(session_replay(spark, sf_dir), [4] * 5)
+
+
 _SETTINGS = ("fontSize", "theme", "columns", "customProperties.x")
 
 
@@ -258,7 +264,7 @@ def appearance_merges(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     fold_literals, text_metadata_literals, crc32_vectors, sha1_key, spine_join, manifest_semi, manifest_anti, decoded_books, decoded_sections, decoded_toc, decoded_resources, archive_entries,
     format_claims, css_references, key_intents, tap_intents, gestures, protocol_validate, host_messages, column_geometry, href_ladder,
-    tap_messages, appearance_of_sessions, appearance_merges,
+    tap_messages, navigation_events, appearance_of_sessions, appearance_merges,
 )}
 
 _FROM, _TO = "".join(SMART), "".join(SMART.values()).replace("'", "''")
@@ -282,6 +288,9 @@ ORACLES = {
     "tap_messages": f"""SELECT event_id, CASE WHEN abs(dx) > 30 AND abs(dx) > abs(dy) THEN CASE WHEN event_id % 4 <> 0 THEN 'swipe' END WHEN abs(dx) <= 10 AND abs(dy) <= 10 THEN
         CASE WHEN event_id % 5 = 0 THEN 'linkclick' WHEN event_id % 7 < 2 THEN 'imagetap' WHEN event_id % 2 = 0 THEN 'decorationtap' ELSE 'tap' END END AS message
         FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 9 ELSE event_id * 13 % 101 - 50 END AS dx, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id * 7 % 61 - 30 END AS dy FROM {_E})""",
+    "navigation_events": f"""SELECT session, seq, event, CASE WHEN event = 'relocated' THEN section END AS section, CASE WHEN event = 'relocated' THEN page END AS page,
+        CASE WHEN event = 'relocated' THEN (section + page / 3::DOUBLE) / 5 END AS progress
+        FROM (SELECT *, CASE status WHEN 'error' THEN 'error' WHEN 'moved' THEN 'relocated' END AS event FROM ({_FORMATS_SQL['session_replay']})) WHERE event IS NOT NULL""",
     "appearance_of_sessions": _UPDATES + "SELECT session, name, value FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session, name ORDER BY event_id DESC) = 1) WHERE value IS NOT NULL",
     "appearance_merges": _UPDATES + """, b AS (SELECT *, lag(event_id) OVER (PARTITION BY session ORDER BY event_id) AS before FROM e),
         m AS (SELECT b.session, b.event_id, s.name, s.value FROM b JOIN s ON s.session = b.session AND s.event_id = b.event_id
