@@ -8,7 +8,6 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Intents of keys that do not depend on the direction.
 KEYS = {

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..functions import css
-from ..operators import books as B
 from ..operators import reader as R
 from ..operators import sanitize as Z
 from ..sources import decode as D
 from . import fixtures
-from .queries import _SECTIONS_SQL, _table, _values, literals
+from .queries import _SECTIONS_SQL, _table
 
 
 def _made(spark, sf_dir, maker):

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import columns as C
 from ..operators import layout as L
-from ..operators import reader as R
-from .queries import _CHUNK_SQL, _table, _values, chunk_ranges, literals
+from .queries import _CHUNK_SQL, _table, chunk_ranges
 
 GAP, STRIDE = 20.0, 300.0
 
