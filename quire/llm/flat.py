@@ -201,13 +201,15 @@ def binary_array(data: np.ndarray, offs: np.ndarray, kind=None) -> pa.Array:
 
 
 def shared_folder(spark) -> str:
-    """The checkpoint folder that the cluster shares (``spark.checkpoint.dir``). Only a session without that
-    setting, as in tests, gets one of its own."""
+    """The checkpoint folder that the cluster shares (``spark.checkpoint.dir``). Only a local session without that setting,
+    as in tests, gets one of its own; a cluster without it is an error, as its machines would write to their own disks."""
     context = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir names no folder that the executors share")
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="quire-checkpoint-")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .decontaminate import _LOWER, _SQL_WORDS, _UPPER, WORD, lowered
+from .decontaminate import _SQL_WORDS, WORD, lowered
 
 #: Phrases and labels of the base.
 PHRASES = (
