@@ -187,7 +187,7 @@ def merged_appearance(base: Column, update: Column) -> Column:
     return F.map_filter(both, lambda k, v: v.isNotNull())
 
 
-def reflows(update: Column) -> Column:
+def reflowing(update: Column) -> Column:
     """Whether an update (a map) sets anything that moves text."""
     return F.exists(F.array(*map(F.lit, REFLOWS)), lambda k: F.element_at(update, k).isNotNull())
 

@@ -258,7 +258,7 @@ def appearance_merges(spark, sf_dir):
     rows = _updates(spark, sf_dir).withColumn("base", F.coalesce(before, F.create_map().cast("map<string,string>")))
     merged = R.merged_appearance(F.col("base"), F.col("settings"))
     names = F.array_join(F.sort_array(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return rows.select("session", "event_id", names.alias("merged"), R.reflows(F.col("settings")).alias("reflows"))
+    return rows.select("session", "event_id", names.alias("merged"), R.reflowing(F.col("settings")).alias("reflows"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -17,7 +17,7 @@ def test_merges_equal_the_plain_form(spark):
     rng = random.Random(9)
     rows = [(i, b or {}, u or {}) for i, (b, u) in enumerate(zip(maps(rng, 80), maps(rng, 80)))]
     df = spark.createDataFrame(rows, "id long, base map<string,string>, upd map<string,string>")
-    for r in df.select("id", "base", "upd", R.merged_appearance(F.col("base"), F.col("upd")).alias("m"), R.reflows(F.col("upd")).alias("r")).collect():
+    for r in df.select("id", "base", "upd", R.merged_appearance(F.col("base"), F.col("upd")).alias("m"), R.reflowing(F.col("upd")).alias("r")).collect():
         assert r.m == R.merge_appearance(r.base, r.upd)
         assert r.r == any(r.upd.get(k) is not None for k in R.REFLOWS)
 
