@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grams import written
+from ..sources.ranges import written
 
 
 def follow(nodes: DataFrame, keys: list[str], node: str, next_: str, stops: Column) -> DataFrame:

@@ -19,8 +19,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ranges import written
 from .books import CHUNK_CHARS, NEVER_LAST, chunk_ranges
-from .grams import written
 from .ranged import as_of, ranked
 
 ROUNDS = 6

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grams import written
+from ..sources.ranges import written
 
 _IN_PARTITION = (1 << 33) - 1
 
