@@ -11,6 +11,8 @@ from .queries import _table
 
 #: Micro-batches in which the events come; every seventh event comes one batch late, every eleventh two.
 BATCHES = 6
+#: Events a file of a micro-batch, and events of a part of the keys, about.
+FILE_EVENTS, PART_EVENTS = 500_000, 20_000
 
 
 def selection_reports_late(spark, sf_dir):
@@ -26,12 +28,13 @@ def selection_reports_late(spark, sf_dir):
     came = F.floor(F.col("seq") / step) + F.when(F.col("seq") % 11 == 0, 2).when(F.col("seq") % 7 == 0, 1).otherwise(0)
     folder = scratch(spark)
     schema = events.schema
+    files = 1 + step // FILE_EVENTS  # as many in every micro-batch
     for k in range(BATCHES + 2):
-        events.filter(came == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        events.filter(came == k).repartition(files).write.mode("append").parquet(f"{folder}/in")
     end = spark.createDataFrame([(-1, (most + 10 * step) * 10 + 1_000_000_000, -1, "other")], "session long, at long, seq long, kind string")
     end.select("session", F.timestamp_seconds("at").alias("ts"), "seq", "kind").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     with late.rocksdb(spark):
-        stream = late.selection_reports_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), f"{3 * step * 10} seconds")
+        stream = late.selection_reports_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), f"{3 * step * 10} seconds", max(late.PARTS, most // PART_EVENTS))
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.schema("session long, seq long, kind string").parquet(f"{folder}/out")
