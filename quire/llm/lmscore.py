@@ -10,9 +10,11 @@ Seating is sampled by Gibbs sweeps: given all other dishes and restaurants as of
 conditional distribution (generalised Stirling numbers); more are seated one after the other by the restaurant's own
 odds (from ``ONE_BY_ONE`` customers on in runs of 1/32 of those seated, by binomial draws). Tables of a context are
 customers of the parent. Predictive probabilities are averaged over the sweeps after ``BURN_IN``. Discounts come from
-the counts of ones and twos; strengths are 1. A pair seen once sits at its table and counts in both restaurants like
-any other; only its own part of the prediction is not stored: its mass is the parent's, so every context still sums
-to one.
+the counts of ones and twos; strengths are 1. A pair seen once always sits at a table of its own, so no sweep moves it: it
+counts in both restaurants like any other, and its own part of the prediction is the same for all pairs seen once of a
+context, (1 - discount) / (strength + customers). So the sweeps carry none of these pairs; with ``once`` (as in the query) the
+model keeps ``PAIR_BYTES`` bytes of the hash of each and predicts with all pairs. Without it their own part is the
+parent's mass. Every context sums to one either way.
 
 ``score`` is over the base's events, the known words and one event for every unknown word (the mass that the parent
 gives to new words, less what spells a known one). ``spelled_score`` also pays for the spelling of unknown words.
@@ -23,7 +25,7 @@ each packed into one row; pairs are counted within a task first, and one pass fi
 of their contexts, and of split words, to the buckets at home in them, which answer with totals. Only sums, the at
 most ``2 * SPLIT`` split words and the spelling model (at most 2**24 byte triples, as arrays) reach the driver. To score,
 texts are dealt into blocks of about ``BLOCK_BYTES`` by hash; a block asks each bucket for its distinct words and pairs
-and gets numbers back. A text with more than 1 / ``SPLIT`` of all rows is scored once and its rows join the result.
+and gets numbers back, in ``PASSES`` passes over the blocks, whose requests are not all on disk at once. A text with more than 1 / ``SPLIT`` of all rows is scored once and its rows join the result.
 
 Cases: null and empty texts are one end token. Without training texts base and score are those of an empty corpus.
 Repeated rows count again. Empty tables give no rows. Extra columns pass through; clashing names are renamed.
@@ -47,6 +49,7 @@ EXACT, ONE_BY_ONE = 64, 256
 BUCKET_BYTES = 6 << 20
 BLOCK_BYTES = 8 << 20
 COUNT_BYTES = 8 << 20
+PASSES = 3
 SPLIT = 16_384
 OUTPUTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -259,6 +262,16 @@ class Deal:
         return out
 
 
+def _short(h: np.ndarray, size: int) -> np.ndarray:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].ravel()
+
+
+def _long(raw: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = raw.reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
 def pieces(bucket: np.ndarray):
     """(bucket, from, to) of the runs of a sorted array."""
     found, first = np.unique(bucket, return_index=True)
@@ -267,7 +280,8 @@ def pieces(bucket: np.ndarray):
 
 _ROW = "dest long, source long, kind int, blob binary, sums array<double>"
 _NAMES = ["dest", "source", "kind", "blob", "sums"]
-STATE, TABLES, WORDS, TOTALS, DISHES = range(5)
+STATE, TABLES, WORDS, TOTALS, DISHES, ONCE = range(6)
+_WORD_BYTES, PAIR_BYTES = 6, 5  # of a hash travel; the bucket says some more
 
 
 def _table(rows) -> pa.Table:
@@ -384,8 +398,9 @@ class State:
         return own[order], home[order], back[place]
 
 
-def _gathered(deal: Deal):
-    """Count a bucket's pairs; tell homes the customers of contexts and the parts of split words."""
+def _gathered(deal: Deal, single: bool = False):
+    """Count a bucket's pairs; tell homes the customers of contexts and the parts of split words. With ``single`` also the
+    hashes of the pairs seen once, in order."""
 
     def run(table: pa.Table) -> pa.Table:
         dest = table["dest"][0].as_py()
@@ -408,6 +423,7 @@ def _gathered(deal: Deal):
         sums = [float((count == 1).sum()), float((count == 2).sum())]
         keep = np.flatnonzero(count > 1)
         keep = keep[np.argsort(word[keep], kind="stable")]
+        lone = [(dest, -1, ONCE, _short(np.sort(code[count == 1] & np.uint64((1 << 8 * PAIR_BYTES) - 1)), PAIR_BYTES).tobytes(), None)] if single else []
         word, before, count = word[keep], before[keep], count[keep]
         dish, run_ = np.unique(word, return_counts=True)
         wide = deal.is_split(names)
@@ -429,7 +445,7 @@ def _gathered(deal: Deal):
         own, home, place = state.contexts(deal)
         kept = np.bincount(place, count, len(own)).astype(np.int64)
         rows += [(b, dest, TABLES, dump(own[lo:hi], kept[lo:hi].astype(np.float64), np.bincount(place, minlength=len(own))[lo:hi].astype(np.float64)), None) for b, lo, hi in pieces(home)]
-        return _table([(dest, -1, STATE, state.dump(), sums), *rows])
+        return _table([(dest, -1, STATE, state.dump(), sums), *rows, *lone])
 
     return run
 
@@ -490,7 +506,7 @@ def _settled(deal: Deal, docs: int, first: bool, root, kept: bool, spelling=None
             x.t0 = seat(x.c0.astype(np.int64), root["d0"], root["t0"] - x.t0, base, seeds) * some
             sums = [0.0, 0.0, 0.0, 0.0, x.c0.sum(), x.t0.sum(), base.sum()]
             if kept:
-                x.back = x.back + np.where(x.kept > 0, (STRENGTH + root["d1"] * x.tables + once) / (STRENGTH + x.n), 1.0)
+                x.back = x.back + (STRENGTH + root["d1"] * x.tables + root["lone"] * once) / (STRENGTH + x.n)
         rows = [(source, dest, TOTALS, dump((x.tables + once)[at], x.n[at].astype(float)), None) for source, at in tables_of]
         for source, (word, *_) in words:
             at = np.searchsorted(x.word, word)
@@ -546,9 +562,9 @@ def _seated(deal: Deal, root, kept: bool):
     return run
 
 
-def _finished(root, sweeps: int):
+def _finished(root, sweeps: int, single: bool = False):
     """A bucket of the model: words (hash, count, parent probability, back-off weight as a context) and kept pairs
-    (hash, own part), sorted by hash; averages over the kept sweeps."""
+    (hash, own part), sorted by hash; averages over the kept sweeps. Then the pairs seen once, where the model has them."""
 
     def run(table: pa.Table) -> pa.Table:
         dest = table["dest"][0].as_py()
@@ -557,7 +573,8 @@ def _finished(root, sweeps: int):
         n = np.where(x.word == START, 0, x.n)
         code = pair_hash(x.dish[np.repeat(np.arange(len(x.dish)), x.run)], x.before)
         order = np.argsort(code)
-        return _table([(dest, -1, STATE, dump(x.word, n, p0.astype(np.float32), (x.back / sweeps).astype(np.float32), code[order], (x.own[order] / sweeps).astype(np.float32)), None)])
+        lone = [b"".join(memoryview(b) for _, b in _mine(table, ONCE))] if single else []  # at most one
+        return _table([(dest, -1, STATE, dump(x.word, n, p0.astype(np.float32), (x.back / sweeps).astype(np.float32), code[order], (x.own[order] / sweeps).astype(np.float32), *[np.frombuffer(b, np.uint8) if b else np.zeros(0, np.uint8) for b in lone]), None)])
 
     return run
 
@@ -575,17 +592,23 @@ def _spelling_counts(batches):
 
 
 class Model:
-    """The buckets as a table, how words are dealt, the spelling model, and what all restaurants share."""
+    """The buckets as a table, how words are dealt, the spelling model, and what all restaurants share; ``lone``: the customers
+    that a pair seen once leaves for its own part (None: those pairs are not in the buckets); ``docs``: training texts."""
+
+    def __init__(self, buckets: DataFrame | None, deal: Deal, spelling: Spelling, n: int, v: int, new: float, others: float, lone: float | None = None, docs: int = 0):
+        self.buckets, self.deal, self.spelling, self.n, self.v, self.new, self.others, self.lone, self.docs = buckets, deal, spelling, n, v, new, others, lone, docs
 
-    def __init__(self, buckets: DataFrame | None, deal: Deal, spelling: Spelling, n: int, v: int, new: float, others: float):
-        self.buckets, self.deal, self.spelling, self.n, self.v, self.new, self.others = buckets, deal, spelling, n, v, new, others
+    def forget(self) -> None:
+        """Remove the buckets; what ``score`` has returned does not read them."""
+        flat.forget(self.buckets)
 
     def shared(self) -> Model:
-        return Model(None, self.deal, self.spelling, self.n, self.v, self.new, self.others)
+        return Model(None, self.deal, self.spelling, self.n, self.v, self.new, self.others, self.lone, self.docs)
 
 
-def fit(training: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN, bucket: int = BUCKET_BYTES, often: int = 4096) -> Model:
-    """The model of all training texts. A word is only split if it occurs more than ``often`` times."""
+def fit(training: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN, bucket: int = BUCKET_BYTES, often: int = 4096, once: bool = False) -> Model:
+    """The model of all training texts. A word is only split if it occurs more than ``often`` times. ``once``: pairs seen
+    once have their own part of the prediction, too."""
     spark = training.sparkSession
     texts = training.select(text)
     flat.shared_folder(spark)
@@ -604,14 +627,15 @@ def fit(training: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in:
     def added(world: DataFrame, k: int) -> list[float]:
         return [r or 0.0 for r in world.filter("sums is not null").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(k)]).first()]
 
-    world = exchange(texts.mapInArrow(flat.tidy(_count(deal, COUNT_BYTES)), _ROW), _gathered(deal))
+    world = exchange(texts.mapInArrow(flat.tidy(_count(deal, COUNT_BYTES)), _ROW), _gathered(deal, once))
     ones, twos = added(world, 2)
-    world = exchange(world, _settled(deal, docs, True, None, False), world)
+    lone = flat.saved(world.filter(F.col("kind") == ONCE)) if once else None
+    world = exchange(world.filter(F.col("kind") != ONCE), _settled(deal, docs, True, None, False), world)
     v, tokens_, ones0, twos0, c0, t0, _ = added(world, 7)
     counts = world.filter(F.col("kind") == STATE).select("blob").mapInArrow(_spelling_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     spelling = Spelling(counts["code"].to_numpy(), counts["n"].to_numpy())
     held = spark.sparkContext.broadcast(spelling)
-    root = {"first": True, "n": tokens_, "d1": discount(ones, twos), "d0": discount(ones0, twos0), "c0": c0, "t0": t0, "kept": False}
+    root = {"first": True, "n": tokens_, "d1": discount(ones, twos), "d0": discount(ones0, twos0), "c0": c0, "t0": t0, "kept": False, "lone": discount(ones, twos) if once else 1.0}
     new, known, total = [], 0.0, max(1, sweeps - burn_in)
     for sweep in range(sweeps):
         root["sweep"], kept = sweep, sweep >= burn_in
@@ -621,26 +645,16 @@ def fit(training: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in:
         root |= {"first": False, "c0": c0, "t0": t0, "kept": kept}
         if kept:
             new.append((STRENGTH + root["d0"] * t0) / (STRENGTH + c0))
-    done = exchange(world.filter(F.col("kind") == STATE), _finished(root, total), world)
+    last = world.filter(F.col("kind") == STATE)
+    done = exchange(last.unionByName(lone) if once else last, _finished(root, total, once), world)
+    if once:
+        flat.forget(lone)
     held.destroy()
-    return Model(done.select("dest", "blob"), deal, spelling, int(tokens_), int(v), float(np.mean(new)) if new else 1.0, max(1.0 - known, 1e-12))
+    return Model(done, deal, spelling, int(tokens_), int(v), float(np.mean(new)) if new else 1.0, max(1.0 - known, 1e-12), 1.0 - root["lone"] if once else None, int(docs))
 
 
 # --- scores -----------------------------------------------------------------------------------------------------
 
-_WORD_BYTES, _PAIR_BYTES = 6, 5  # of a hash travel; the bucket says some more
-
-
-def _short(h: np.ndarray, size: int) -> np.ndarray:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].ravel()
-
-
-def _long(raw: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((len(raw) // size, 8), np.uint8)
-    out[:, :size] = raw.reshape(-1, size)
-    return out.view("<u8").ravel()
-
-
 class _Block:
     """The texts of a block: its distinct words (the start too) and pairs, in order of bucket and hash."""
 
@@ -670,7 +684,7 @@ def _asked(deal: Deal, block_at: int, text_at: int):
         dests = np.unique(np.concatenate([x.home, x.bucket]))
         (a, b_), (c, d) = ([np.searchsorted(v, dests, side) for side in ("left", "right")] for v in (x.home, x.bucket))
         for k, dest in enumerate(dests.tolist()):
-            yield dest, b, WORDS, dump(_short(x.words[a[k] : b_[k]], _WORD_BYTES), _short(x.pairs[c[k] : d[k]], _PAIR_BYTES)), None
+            yield dest, b, WORDS, dump(_short(x.words[a[k] : b_[k]], _WORD_BYTES), _short(x.pairs[c[k] : d[k]], PAIR_BYTES)), None
 
     def run(batches):
         held: dict[int, list] = {}
@@ -693,21 +707,42 @@ def _find(keys: np.ndarray, wanted: np.ndarray):
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _answered(asked: pa.Table, bucket: pa.Table) -> pa.Table:
-    """Per asked word: count, parent probability, back-off weight; per asked pair: its own part (0: none)."""
-    names, n, p0, back, code, own = load(bucket["blob"][0].as_buffer(), "u8 i8 f4 f4 u8 f4") if len(bucket) else [np.zeros(0, k) for k in "u8 i8 f4 f4 u8 f4".split()]
-    names, code = names & np.uint64((1 << 8 * _WORD_BYTES) - 1), code & np.uint64((1 << 8 * _PAIR_BYTES) - 1)
-    order = np.argsort(names)
-    names, n, p0, back = names[order], n[order], p0[order], back[order]
-    order = np.argsort(code)
-    code, own = code[order], own[order]
-    n, p0, back, own = np.append(n, 0), np.append(p0, 0), np.append(back, np.float32(1)), np.append(own, 0)  # -1 reads the last
-    rows = []
-    for i, blob in enumerate(asked["blob"]):
-        words, pairs = load(blob.as_buffer(), "u1 u1")
-        w, p = _find(names, _long(words, _WORD_BYTES)), _find(code, _long(pairs, _PAIR_BYTES))
-        rows.append((asked["source"][i].as_py(), asked["dest"][0].as_py(), TOTALS, dump(n[w], p0[w].astype(np.float32), back[w].astype(np.float32), own[p].astype(np.float32)), None))
-    return _table(rows)
+def _parts(part: np.ndarray) -> list[np.ndarray]:
+    """Own parts of pairs (0: none, -1: that of a pair seen once) as their number, two bits for each, and the others."""
+    return [np.array([len(part)], np.uint32), np.packbits(part > 0), np.packbits(part < 0), part[part > 0]]
+
+
+def _unparted(n: np.ndarray, stored: np.ndarray, lone: np.ndarray, values: np.ndarray) -> np.ndarray:
+    part = -np.unpackbits(lone, count=int(n[0])).astype(np.float32)
+    part[np.unpackbits(stored, count=int(n[0])).astype(bool)] = values
+    return part
+
+
+def _answered(single: bool):
+    """Per asked word: count, parent probability, back-off weight; per asked pair: its own part (see ``_parts``)."""
+    kinds = "u8 i8 f4 f4 u8 f4 u1" if single else "u8 i8 f4 f4 u8 f4"
+
+    def run(asked: pa.Table, bucket: pa.Table) -> pa.Table:
+        names, n, p0, back, code, own, *lone = load(bucket["blob"][0].as_buffer(), kinds) if len(bucket) else [np.zeros(0, k) for k in kinds.split()]
+        names, code = names & np.uint64((1 << 8 * _WORD_BYTES) - 1), code & np.uint64((1 << 8 * PAIR_BYTES) - 1)
+        order = np.argsort(names)
+        names, n, p0, back = names[order], n[order], p0[order], back[order]
+        order = np.argsort(code)
+        code, own = code[order], own[order]
+        n, p0, back, own = np.append(n, 0), np.append(p0, 0), np.append(back, np.float32(1)), np.append(own, 0)  # -1 reads the last
+        lone = [_long(x, PAIR_BYTES) for x in lone]
+        rows = []
+        for i, blob in enumerate(asked["blob"]):
+            words, pairs = load(blob.as_buffer(), "u1 u1")
+            w, pairs = _find(names, _long(words, _WORD_BYTES)), _long(pairs, PAIR_BYTES)
+            p = _find(code, pairs)
+            part = own[p].astype(np.float32)
+            for x in lone:
+                part[(p < 0) & (_find(x, pairs) >= 0)] = -1
+            rows.append((asked["source"][i].as_py(), asked["dest"][0].as_py(), TOTALS, dump(n[w], p0[w].astype(np.float32), back[w].astype(np.float32), *_parts(part)), None))
+        return _table(rows)
+
+    return run
 
 
 def _score(held, text_at: int, names: list[str], kept: int):
@@ -719,10 +754,13 @@ def _score(held, text_at: int, names: list[str], kept: int):
                 parts.append((low, word, before, doc + n, s, e))
                 n += len(offs) - 1
         x = _Block(m.deal, *(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
-        told = [load(answers["blob"][i].as_buffer(), "i8 f4 f4 f4") for i in np.argsort(answers["dest"].to_numpy())]
+        told = [load(answers["blob"][i].as_buffer(), "i8 f4 f4 u4 u1 u1 f4") for i in np.argsort(answers["dest"].to_numpy())]
         count, p0, back = (x.back(np.concatenate([t[k] for t in told]), x.by_home) for k in range(3))
-        own = x.back(np.concatenate([t[3] for t in told]), x.by_bucket)
+        own = x.back(np.concatenate([_unparted(*t[3:]) for t in told]), x.by_bucket)
         number, context = x.number[x.first], x.context[x.first]
+        once = np.flatnonzero(own < 0)
+        customers = np.where(context[once] == x.start, m.docs, count[context[once]])
+        own[once] = (m.lone or 0.0) / (STRENGTH + customers)
         c, p = count[number], p0[number]
         fresh = np.flatnonzero(c == 0)
         p[fresh] = m.new * m.others
@@ -771,10 +809,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 def _scored(keyed: DataFrame, model: Model, keep: list[str], size: int, block: int) -> DataFrame:
     spark = keyed.sparkSession
     blocks = max(1, -(-int(size) // block))
-    dealt = keyed.select(*[f"`{c}`" for c in keep], "__t", F.pmod(F.xxhash64("__k1", "__k2"), F.lit(blocks)).cast("long").alias("__block")).repartition(blocks, "__block")
-    text_at, place = len(keep), len(keep) + 1
-    asked = dealt.mapInArrow(flat.tidy(_asked(model.deal, place, text_at)), _ROW)
-    answers = flat.saved(asked.groupBy("dest").cogroup(model.buckets.groupBy("dest")).applyInArrow(flat.trimmed(_answered), _ROW).withColumnRenamed("source", "__s").select(F.col("dest").alias("__block"), F.col("__s").alias("dest"), "blob"))
+    placed = keyed.select(*[f"`{c}`" for c in keep], "__t", F.pmod(F.xxhash64("__k1", "__k2"), F.lit(blocks)).cast("long").alias("__block"))
+    dealt = placed.repartition(blocks, "__block")
+    text_at, answers = len(keep), None
+    passes = min(PASSES, blocks)
+    for k in range(passes):  # every block in one pass; a pass's shuffle files go before the next one's are written
+        own = placed.filter(F.col("__block") % passes == k).select("__t", "__block").repartition(-(-blocks // passes), "__block")
+        asked = own.mapInArrow(flat.tidy(_asked(model.deal, 1, 0)), _ROW)
+        told = asked.groupBy("dest").cogroup(model.buckets.select("dest", "blob").groupBy("dest")).applyInArrow(flat.trimmed(_answered(model.lone is not None)), _ROW)
+        part = flat.saved(told.withColumnRenamed("source", "__s").select(F.col("dest").alias("__block"), F.col("__s").alias("dest"), "blob"))
+        answers = part if answers is None else answers.unionByName(part)
+    flat.release(spark)
     fields = [T.StructField(x, T.LongType()) for x in OUTPUTS[:3]] + [T.StructField(x, T.DoubleType()) for x in OUTPUTS[3:]]
     schema = T.StructType([keyed.schema[c] for c in keep] + fields)
     held = spark.sparkContext.broadcast(model.shared())
@@ -783,6 +828,7 @@ def _scored(keyed: DataFrame, model: Model, keep: list[str], size: int, block: i
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = fit(docs.filter(~held_out("doc_id", 7, 2)))
+    model = fit(docs.filter(~held_out("doc_id", 7, 2)), once=True)
     found = score(docs, model, keep=["doc_id"])
+    model.forget()
     return found.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), *OUTPUTS)

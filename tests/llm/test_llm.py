@@ -461,6 +461,39 @@ def test_language_model(spark, docs, often):
     assert {round(r.score, 9) for r in lmscore.score(copies.select("doc_id", "text", "nth"), model).collect()} == {round(r[at["score"]], 9) for r in found if r[0] == 8}
 
 
+@pytest.mark.parametrize("often", [4096, 3])
+def test_language_model_predicts_pairs_seen_once(spark, docs, often):
+    """Every trained pair has its own part, also one seen once, and every context still sums to one."""
+    model = lmscore.fit(docs.filter("doc_id is null or doc_id % 3 != 1"), bucket=3000, often=often, once=True)
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), ""]
+    trained = [tokens(r[1]) for r in rows() if r[0] is None or r[0] % 3 != 1]
+    counts, heads = Counter(x for t in trained for x in t), Counter(x for t in trained for x in [None, *t[:-1]])
+    words, own = {}, {}
+    for r in model.buckets.collect():
+        names, _, p0, back, code, part, _ = lmscore.load(bytes(r.blob), "u8 i8 f4 f4 u8 f4 u1")
+        words.update(zip(names.tolist(), zip(p0.tolist(), back.tolist())))
+        own.update(zip(code.tolist(), part.tolist()))
+    code = lambda w: int(lmscore.START) if w is None else int(flat.span_hash(flat.prefix(np.frombuffer(w.encode(), np.uint8)), [0], [len(w.encode())])[0])
+    pair = lambda w, u: int(lmscore.pair_hash(np.array([code(w)], np.uint64), np.array([code(u)], np.uint64))[0])
+    pairs = Counter((u, w) for t in trained for u, w in zip([None, *t], t))
+    sizes = Counter(pairs.values())
+    lone = 1 - lmscore.discount(sizes[1], sizes[2])
+
+    def chance(w, u):
+        p0, (_, back) = words[code(w)][0] if w in counts else model.new * model.others, words.get(code(u), (0, 1.0))
+        part = lone / (lmscore.STRENGTH + heads[u]) if pairs[u, w] == 1 else own.get(pair(w, u), 0.0)
+        return part + back * p0
+
+    assert sizes[1] > 5
+    for u in [None, "the", "cat", next(u for (u, _), c in pairs.items() if c == 1 and u)]:
+        assert math.isclose(sum(chance(w, u) for w in counts) + words[code(u)][1] * model.new * model.others, 1.0, rel_tol=1e-4)
+    got = lmscore.score(docs, model, block=4000)
+    score = got.columns.index("score", 8)
+    for r in got.collect():
+        mine = tokens(r.text)
+        assert math.isclose(r[score], sum(math.log10(chance(w, u)) for u, w in zip([None, *mine], mine)), rel_tol=1e-5)
+
+
 def test_language_model_beats_its_base(spark):
     held = registry.queries()["op8_lm_score"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
