@@ -2,11 +2,13 @@
 
 import gc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import columns as C
+from quire.plans import queries
 
 
 @pytest.mark.parametrize("size", [1, 2000])
@@ -36,3 +38,12 @@ def test_results_of_a_slice_are_arrow_before_the_next(spark, size):
 def test_no_rows_give_no_rows(spark):
     df = spark.range(0).select(C.fold(F.col("id").cast("string")).alias("t"))
     assert df.collect() == []
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """What a query's table sets holds for columns in Python: 4,000 rows of 10 KB come in batches of some MB, not in one."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    queries._table(spark, "/root/testdata/sf0.001", "documents")
+    held = F.arrow_udf(lambda c: pa.array([c.nbytes] * len(c), pa.int64()), T.LongType())
+    df = spark.range(0, 4000, 1, 1).select(F.concat(F.repeat(F.lit("a"), 10_000), F.col("id").cast("string")).alias("t"))
+    assert df.select(F.max(held(F.col("t")))).first()[0] < 3 * (4 << 20)
