@@ -141,3 +141,17 @@ def test_word_starts_near_and_whole():
         edges = [m.start() for m in U._WORD_EDGE.finditer(text)]
         whole._words = edges if edges and edges[0] == 0 else [0, *edges]
         assert [near.word_start(g) for g in range(len(near.parts) + 1)] == [whole.word_start(g) for g in range(len(whole.parts) + 1)]
+
+
+def test_search_form_cuts_only_what_is_not_plain(monkeypatch):
+    """It is the form that grapheme by grapheme cutting gives, and a long plain stretch is not cut."""
+    import random
+
+    rng, signs = random.Random(2), ["a", "E", " ", "\t", "\r\n", "\u0301", "\u030a", "\u200b", "\u200d", "©", "—", "’", "\u3000", "\xa0", "\u0600", "😀", "🇩", "\u1100", "\u1161", "가", "İ", "É", "ß", "क", "\u094d", " \u0301"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 12)))
+        assert unicode.fold(text) == unicode.fold_map(text)[0] or unicode._PLAIN.fullmatch(text), text
+    cut = []
+    monkeypatch.setattr(unicode, "_folded", lambda part, keep=unicode._folded: cut.append(part) or keep(part))
+    assert unicode.fold("Words  of a text. " * 500 + " E\u0301 end") == "words of a text. " * 500 + "é end"
+    assert len(cut) < 5
