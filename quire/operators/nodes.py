@@ -50,6 +50,17 @@ def entities(text: Column) -> Column:
     return F.when(~F.contains(text, F.lit("&")), text).when(hard, _numbered(F.when(hard, text))).otherwise(plain)
 
 
+#: Characters of documents that one task makes nodes of; the sorts over their tokens hold some hundred times as many bytes.
+PART = 1 << 20
+
+
+def tasks(docs: DataFrame, xml: str, part: int = PART) -> int:
+    """To how many tasks documents are to be dealt, so that the sorts of each stay in memory however large the table is.
+    Said outright (``repartition``): tasks by shuffled bytes, as adaptive execution makes them, would be too large."""
+    size = docs.agg(F.sum(F.length(xml))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part))
+
+
 def _tokens(docs: DataFrame, keys: list[str], xml: str) -> DataFrame:
     found = docs.select(*keys, F.posexplode_outer(F.regexp_extract_all(F.col(xml), F.lit(_TOKEN), F.lit(0))).alias("pre", "token"))
     token = F.col("token")
@@ -161,14 +172,17 @@ def texts_within(nodes: DataFrame, keys: list[str], outer: Column, name: str) ->
 PACKAGE_TYPE, OCTETS = "application/oebps-package+xml", "application/octet-stream"
 
 
-def packages(nodes: DataFrame, keys: list[str], file: str) -> DataFrame:
+def packages(nodes: DataFrame, keys: list[str], file: str, parts: int | None = None) -> DataFrame:
     """The nodes of each book's package document, with its ``directory``, out of those of its container and others
-    (``file`` is the column of a node's own path): the first rootfile of the package's media type names it, else the first."""
+    (``file`` is the column of a node's own path): the first rootfile of the package's media type names it, else the first.
+    ``parts``: as in ``contents``."""
     book = Window.partitionBy(*keys)
     asked = (F.col(file) == "META-INF/container.xml") & (F.col("kind") == "element") & (F.col("name") == "rootfile")
     other = F.coalesce(attribute("media-type") != PACKAGE_TYPE, F.lit(True))
-    best = F.min(F.when(asked, F.struct(other.alias("other"), "pre", attribute("full-path").alias("path")))).over(book)
-    found = nodes.withColumn("_package", best["path"]).filter((F.col(file) == F.col("_package")) & (F.col("_package") != "")).drop("_package")
+    rows = nodes.withColumn("_asked", F.when(asked, F.struct(other.alias("other"), "pre", attribute("full-path").alias("path"))))
+    rows = rows.repartition(parts, *keys) if parts else rows
+    best = F.min("_asked").over(book)
+    found = rows.withColumn("_package", best["path"]).filter((F.col(file) == F.col("_package")) & (F.col("_package") != "")).drop("_package", "_asked")
     return found.withColumn("directory", directory_column(F.col(file)))
 
 
@@ -218,18 +232,21 @@ def _fragment(href: Column) -> Column:
     return F.when(F.contains(href, F.lit("#")), F.when(fine & ~F.startswith(href, F.lit("#")), F.coalesce(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), part)).otherwise(part))
 
 
-def contents(nodes: DataFrame, sections: DataFrame, keys: list[str], path: str) -> DataFrame:
+def contents(nodes: DataFrame, sections: DataFrame, keys: list[str], path: str, parts: int | None = None) -> DataFrame:
     """(keys, node_id, parent_id, depth, label, section_id, fragment): the table of contents of navigation documents,
     in preorder. ``path`` is the column of the document's own path, ``sections`` are (keys, path, section_id).
 
     The list is that of the first nav typed ``toc``, else of the first nav with a list. An entry is a list item whose way up
     to that list leads over first lists of items only. Its label is its first link, else its first span, else its own
-    text. One without a section takes that of its first entry within; one without any is left out."""
+    text. One without a section takes that of its first entry within; one without any is left out. ``parts``: to so many
+    tasks nodes are dealt, once their attributes are read (what Python has seen counts as dealt by no key)."""
+    rows = nodes.withColumn("_type", attribute("type")).withColumn("_href", attribute("href")).drop("attributes")
+    rows = rows.repartition(parts, *keys) if parts else rows
     book, siblings = Window.partitionBy(*keys), Window.partitionBy(*keys, "parent")
     is_ = lambda name: F.col("name") == name
     first = lambda condition, over=book: F.min(F.when(condition, F.col("pre"))).over(over)
-    typed = F.array_contains(F.split(F.coalesce(attribute("type"), F.lit("")), r"[ \t\n\r]+"), "toc")
-    rows = first_within(nodes, keys, is_("ol"), "_list")
+    typed = F.array_contains(F.split(F.coalesce("_type", F.lit("")), r"[ \t\n\r]+"), "toc")
+    rows = first_within(rows, keys, is_("ol"), "_list")
     rows = rows.withColumn("_nav", F.coalesce(first(is_("nav") & typed), first(is_("nav") & F.col("_list").isNotNull())))
     rows = rows.withColumn("_start", F.coalesce(first(is_("ol") & (F.col("parent") == F.col("_nav"))), F.max(F.when(F.col("pre") == F.col("_nav"), F.col("_list"))).over(book)))
     rows = rows.withColumn("_stop", F.max(F.when(F.col("pre") == F.col("_start"), F.col("post"))).over(book)).filter("pre BETWEEN _start AND _stop")
@@ -243,7 +260,7 @@ def contents(nodes: DataFrame, sections: DataFrame, keys: list[str], path: str)
     named = (F.col("parent") == F.col("_in_entry")) & (F.col("pre") == F.coalesce("_a", "_span")) & (is_("a") | is_("span"))
     rows = enclosing(rows.withColumn("_source", F.coalesce(named, F.lit(False))), keys, F.col("_source"), "_in_source")
     text = F.when(F.col("kind") == "text", F.struct("pre", "value"))
-    href = F.max(F.when(F.col("_source") & is_("a"), attribute("href")))
+    href = F.max(F.when(F.col("_source") & is_("a"), F.col("_href")))
     entries = rows.groupBy(*keys, path, F.when(F.col("_is"), F.col("pre")).otherwise(F.col("_in_entry")).alias("_own")).agg(
         F.max(F.when(F.col("_is"), F.struct("pre", "post"))).alias("span"), F.max("_source").alias("_named"), href.alias("href"),
         _joined(F.when(F.col("_in_source").isNotNull(), text)).alias("_deep"), _joined(F.when(F.col("parent") == F.col("_in_entry"), text)).alias("_direct"),

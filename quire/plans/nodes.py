@@ -7,48 +7,56 @@ from pyspark.sql import functions as F
 
 from ..operators import nodes as N
 from ..sources import decode as D
+from ..sources.ranges import written
 from . import fixtures
 from .formats import _PARTS, _made
 
-_XML = r"^(META-INF/container\.xml|.*\.opf|.*nav\.xhtml)$"
+_PACKAGE, _NAV, _TEXT = r"META-INF/container\.xml|.*\.opf", r".*nav\.xhtml", r".*/text/.*"
 _KEYS = ["doc_id"]
 
 
-def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(files, the nodes of the documents that say how each book is put together). Nodes are dealt by book, so that the
-    passes over files and over books need no other shuffle."""
-    files = _made(spark, sf_dir, fixtures.nested_epub)
-    entries = D.archive_entries(files, _KEYS, _XML).select("doc_id", F.col("name").alias("file"), N.xml_text(F.col("body")).alias("xml"))
-    return files, N.tree(entries.repartition("doc_id"), [*_KEYS, "file"], "xml")
+def _documents(spark, sf_dir, *names) -> DataFrame:
+    """A table of the documents (doc_id, file, xml) of every book whose names match; archives are made and read once."""
+    entries = D.archive_entries(_made(spark, sf_dir, fixtures.nested_epub), _KEYS, f"^({'|'.join(names)})$")
+    return written(entries.select("doc_id", F.col("name").alias("file"), N.xml_text(F.col("body")).alias("xml")))
 
 
-def _sections(nodes: DataFrame) -> DataFrame:
-    return N.spine(N.packages(nodes, _KEYS, "file"), [*_KEYS, "directory"])
+def _nodes(documents: DataFrame, parts: int) -> DataFrame:
+    """Their nodes, dealt by book, so that the passes over files and over books need no other shuffle."""
+    return N.tree(documents.repartition(parts, *_KEYS), [*_KEYS, "file"], "xml")
+
+
+def _sections(documents: DataFrame) -> DataFrame:
+    parts = N.tasks(documents, "xml")
+    return N.spine(N.packages(_nodes(documents, parts), _KEYS, "file", parts), [*_KEYS, "directory"])
 
 
 def epub_spine_nodes(spark, sf_dir):
     """The reading order of every book, by joins over the nodes of its package."""
-    _, nodes = _parts(spark, sf_dir)
-    found = _sections(nodes).filter("section_index IS NOT NULL")
+    found = _sections(_documents(spark, sf_dir, _PACKAGE)).filter("section_index IS NOT NULL")
     return found.select("doc_id", F.col("section_index").cast("long").alias("section_index"), "section_id", "linear", "path", "media_type")
 
 
 def toc_nodes(spark, sf_dir):
     """The table of contents of every book, by passes over the nodes of its navigation document."""
-    _, nodes = _parts(spark, sf_dir)
-    items = _sections(nodes)
+    documents = _documents(spark, sf_dir, _PACKAGE, _NAV)
+    items = written(_sections(documents.filter(~F.col("file").rlike(f"^{_NAV}$"))).select("doc_id", "section_index", "section_id", "path", "properties"))
     nav = items.filter(F.array_contains("properties", "nav")).groupBy("doc_id").agg(F.min("path").alias("file"))
     sections = items.filter("section_index IS NOT NULL").select("doc_id", "section_id", "path")
-    found = N.contents(nodes.filter("file <> 'META-INF/container.xml'").join(nav, ["doc_id", "file"]), sections, _KEYS, "file")
+    pages = written(documents.filter("file <> 'META-INF/container.xml'").join(nav, ["doc_id", "file"]))
+    parts = N.tasks(pages, "xml")
+    found = N.contents(_nodes(pages, parts), sections, _KEYS, "file", parts)
     return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("node_id", "parent_id", "depth")], "label", "section_id", "fragment")
 
 
 def reference_nodes(spark, sf_dir):
     """Every link of every chapter, with the chapter that it leads to."""
-    files, nodes = _parts(spark, sf_dir)
-    sections = _sections(nodes).filter("section_index IS NOT NULL").select("doc_id", "section_index", "section_id", "path")
-    chapters = D.archive_entries(files, _KEYS, r"/text/").select("doc_id", F.col("name").alias("file"), N.xml_text(F.col("body")).alias("xml"))
-    links = N.references(N.tree(chapters, [*_KEYS, "file"], "xml"), [*_KEYS, "file"], "file")
+    documents = _documents(spark, sf_dir, _PACKAGE, _TEXT)
+    chapter = F.col("file").rlike(f"^{_TEXT}$")
+    sections = _sections(documents.filter(~chapter)).filter("section_index IS NOT NULL").select("doc_id", "section_index", "section_id", "path")
+    sections = written(sections)
+    texts = documents.filter(chapter)
+    links = N.references(_nodes(texts, N.tasks(texts, "xml")), [*_KEYS, "file"], "file")
     nth = F.row_number().over(Window.partitionBy("doc_id", "file").orderBy("pre")) - 1
     links = links.withColumn("nth", nth.cast("long"))
     here, there = (sections.select("doc_id", F.col("path").alias(c), F.col("section_id").alias(n)) for c, n in (("file", "section_id"), ("target", "leads_to")))

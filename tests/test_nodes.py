@@ -130,3 +130,18 @@ def test_contents_and_reading_order_equal_the_decoder(spark):
     got = sorted((tuple(r[c] for c in names) for r in toc.collect()), key=str)
     assert got == sorted((tuple(r[c] for c in names) for r in D.toc_of(decoded, "doc_id").collect()), key=str)
     assert {r[0] for r in got} >= {0, 1, 2, 3, 4, 6, 9, 10}
+
+
+def test_documents_are_dealt_by_their_size(spark, monkeypatch):
+    """A task's nodes are bounded, whatever the session's number of partitions, and the tables stay the same."""
+    from quire.plans import nodes as P
+
+    docs = spark.createDataFrame([(k, "<a>" + "x" * 9993 + "</a>") for k in range(20)] + [(20, None)], "id long, xml string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert N.tasks(docs, "xml", 20_000) == 10 and N.tasks(docs, "xml") == N.tasks(docs.limit(0), "xml") == least
+    sf, dealt = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(N, "tasks", lambda d, xml, keep=N.tasks: dealt.append(keep(d, xml, 1 << 13)) or dealt[-1])
+    got = {name: sorted(map(str, P.QUERIES[name](spark, sf).collect())) for name in ("epub_spine_nodes", "toc_nodes")}
+    assert len(dealt) == 3 and min(dealt) > least
+    monkeypatch.undo()
+    assert got == {name: sorted(map(str, P.QUERIES[name](spark, sf).collect())) for name in got}
