@@ -145,3 +145,10 @@ def test_documents_are_dealt_by_their_size(spark, monkeypatch):
     assert len(dealt) == 3 and min(dealt) > least
     monkeypatch.undo()
     assert got == {name: sorted(map(str, P.QUERIES[name](spark, sf).collect())) for name in got}
+
+
+def test_a_tag_looks_up_no_pattern(monkeypatch):
+    looked = []
+    monkeypatch.setattr(xmltree.regex, "compile", lambda *a, **k: looked.append(a))
+    root = xmltree.parse("<!DOCTYPE a [<!ENTITY x 'y'>]><a><b>1</b><c >2</c ></a>")
+    assert [n.name for n in root.content] == ["b", "c"] and not looked
