@@ -1,10 +1,12 @@
 """Text kernels: folding, positions, sentences, reading text, search, chunks, style sheets, sanitizer."""
 
+import duckdb
 import pytest
 
 from quire.functions import css, markup, matching, positions, unicode
 from quire.functions.unicode import Units
 from quire.operators import books, reader, sanitize
+from quire.plans import queries
 
 SCRIPTS = ["a😀b😀c", "é ö̈ x", "one 👨‍👩‍👧‍👦 two", "日本語のテキスト", "🇩🇪🇫🇷 flags 🇮🇹"]
 
@@ -45,6 +47,16 @@ def test_sentences():
     assert positions.sentences("  \n ", "s") == []
 
 
+def test_sentences_count_leaves_words_whole_as_its_sql_does(spark, tmp_path):
+    texts = ["SHOUT!! HA.18@MAIL1.EXAMPLE.COM!! AND!! MORE", "Version 2.0.In use. Now", "EAU!!De la", "好。再！Ja?nein", "He left.” She stayed.", "Plain a.b text. Next", "One.\nTwo!Three", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(queries.ORACLES["sentences_count"]).fetchall())
+    assert {r.doc_id: r.sentences for r in queries.sentences_count(spark, str(tmp_path)).collect()} == want
+    assert want[0] == 4 and len(unicode.sentence_runs(texts[0])) == 5  # UAX #29 ends one in the address
+
+
 def test_fold():
     assert unicode.fold(" ‘A’ –  “B”\n") == "'a' - \"b\""
     assert unicode.fold("Café ΟΔΟΣ") == "café οδοσ"
