@@ -38,15 +38,18 @@ def tapped(taps: DataFrame, boxes: DataFrame, tap: str = "tap_id") -> DataFrame:
     """(tap, id, order, rank) of the boxes (id, order, left, top, right, bottom) that hold a tap (x, y), newest first.
 
     Both sides meet in cells of a grid, so a tap is compared with the boxes near it and not with all; a box in
-    several cells, or a decoration of several boxes, is one hit."""
+    several cells, or a decoration of several boxes, is one hit. Taps at the same points have the same hits: these are found and
+    ranked once for all of them, so what is sorted grows with the boxes and not with the result, which can be quadratic."""
     cell = lambda v: F.floor(v / CELL)
     spread = lambda lo, hi: F.explode(F.sequence(cell(lo), cell(hi)))
     placed = boxes.filter("left < right AND top < bottom").select("*", spread(F.col("left"), F.col("right")).alias("cx")).select("*", spread(F.col("top"), F.col("bottom")).alias("cy"))
-    asked = taps.select(tap, "x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
+    held = taps.groupBy(tap).agg(F.sort_array(F.collect_set(F.struct("x", "y"))).alias("points"))
+    asked = held.select("points").distinct().select("points", F.inline("points")).withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
     inside = (F.col("x") >= F.col("left")) & (F.col("x") < F.col("right")) & (F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom"))
-    hits = asked.join(placed, ["cx", "cy"]).filter(inside).select(tap, "id", "order").distinct()
-    newest = Window.partitionBy(tap).orderBy(F.desc("order"), "id")
-    return hits.withColumn("rank", F.row_number().over(newest))
+    newest = Window.partitionBy("points").orderBy(F.desc("order"), "id")
+    hits = asked.join(placed, ["cx", "cy"]).filter(inside).select("points", F.struct("id", "order").alias("hit"), "id", "order")
+    ranked = hits.select("*", F.dense_rank().over(newest).alias("rank"), F.lag("hit").over(newest).alias("before")).filter(~F.col("hit").eqNullSafe(F.col("before")))
+    return held.join(ranked, "points").select(tap, "id", "order", "rank")
 
 
 def round2(n: Column) -> Column:

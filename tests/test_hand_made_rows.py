@@ -234,3 +234,17 @@ def test_hand_made_rows(spark, name):
 @pytest.mark.parametrize("name", ["decoded_sections", "decoded_toc", "decoded_resources", "archive_entries"])
 def test_hand_made_files(spark, name):
     assert globals()[name](spark, None).count() > 0
+
+
+def test_hits_of_many_taps_at_one_point_are_sorted_once(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    taps = spark.range(600).selectExpr("id AS tap_id", "id % 2 * 500D AS x", "10D AS y").union(spark.sql("SELECT 0L, 0D, 10D"))
+    boxes = spark.range(200).selectExpr("id % 100 AS id", "id % 100 % 7 AS order", "CAST(id % 3 AS DOUBLE) - 2 AS left", "0D AS top", "70D AS right", "70D AS bottom")
+    first = max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
+    got = L.tapped(taps, boxes).collect()
+    assert len(got) == 300 * 100  # decorations of two boxes and a repeated tap are one hit each
+    want = sorted(range(100), key=lambda i: (-(i % 7), i))
+    assert {(r.tap_id, r["rank"]): r.id for r in got} == {(t, k + 1): i for t in range(0, 600, 2) for k, i in enumerate(want)}
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(None) if j > first for s in tracker.getJobInfo(j).stageIds}
+    assert sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 5_000  # the hits of all taps are 30,000
