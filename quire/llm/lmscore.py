@@ -263,7 +263,8 @@ class Deal:
 
 
 def _short(h: np.ndarray, size: int) -> np.ndarray:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].ravel()
+    """The high bytes of hashes: what is sorted stays sorted."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].ravel()
 
 
 def _long(raw: np.ndarray, size: int) -> np.ndarray:
@@ -338,9 +339,10 @@ def _count(deal: Deal, group_bytes: int):
 
     def packed(parts):
         word, before = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        names, at, number, _ = flat.distinct(word)
         code, first, _, count = flat.distinct(pair_hash(word, before))
-        word, before, rank = word[first], before[first], number[first]
+        word, before = word[first], before[first]
+        names, at, rank, _ = flat.distinct(word)
+        at = first[at]
         bucket = deal.bucket(word, code)
         order = np.argsort((bucket << 40) | rank)
         bucket, rank, before, count = bucket[order], rank[order], before[order], count[order]
@@ -423,7 +425,7 @@ def _gathered(deal: Deal, single: bool = False):
         sums = [float((count == 1).sum()), float((count == 2).sum())]
         keep = np.flatnonzero(count > 1)
         keep = keep[np.argsort(word[keep], kind="stable")]
-        lone = [(dest, -1, ONCE, _short(np.sort(code[count == 1] & np.uint64((1 << 8 * PAIR_BYTES) - 1)), PAIR_BYTES).tobytes(), None)] if single else []
+        lone = [(dest, -1, ONCE, _short(code[count == 1], PAIR_BYTES).tobytes(), None)] if single else []
         word, before, count = word[keep], before[keep], count[keep]
         dish, run_ = np.unique(word, return_counts=True)
         wide = deal.is_split(names)
@@ -619,7 +621,7 @@ def fit(training: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in:
     deal = Deal(max(1, -(-size // bucket)), split.view(np.uint64))
 
     def exchange(rows: DataFrame, step, old=None) -> DataFrame:
-        new = flat.saved(rows.groupBy("dest").applyInArrow(flat.trimmed(step), _ROW))
+        new = flat.saved(rows.groupBy("dest").applyInArrow(flat.trimmed(step), _ROW), "zstd")
         if old is not None:
             flat.forget(old)
         return new
@@ -629,7 +631,7 @@ def fit(training: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in:
 
     world = exchange(texts.mapInArrow(flat.tidy(_count(deal, COUNT_BYTES)), _ROW), _gathered(deal, once))
     ones, twos = added(world, 2)
-    lone = flat.saved(world.filter(F.col("kind") == ONCE)) if once else None
+    lone = flat.saved(world.filter(F.col("kind") == ONCE), "zstd") if once else None
     world = exchange(world.filter(F.col("kind") != ONCE), _settled(deal, docs, True, None, False), world)
     v, tokens_, ones0, twos0, c0, t0, _ = added(world, 7)
     counts = world.filter(F.col("kind") == STATE).select("blob").mapInArrow(_spelling_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
@@ -656,16 +658,16 @@ def fit(training: DataFrame, text: str = "text", sweeps: int = SWEEPS, burn_in:
 # --- scores -----------------------------------------------------------------------------------------------------
 
 class _Block:
-    """The texts of a block: its distinct words (the start too) and pairs, in order of bucket and hash."""
+    """The texts of a block: its distinct words (the start too) and pairs, in order of bucket and hash; the numbers of each
+    pair's word and context, and the number of each token's pair."""
 
     def __init__(self, deal: Deal, word: np.ndarray, before: np.ndarray):
-        at = np.flatnonzero(before == START)
-        names, _, self.number, _ = flat.distinct(np.append(word, START))
-        self.start, self.number = self.number[-1], self.number[:-1]
-        self.context = np.roll(self.number, 1)
-        self.context[at] = self.start
         code, self.first, self.pair, _ = flat.distinct(pair_hash(word, before))
-        home, bucket = deal.home(names), deal.bucket(word[self.first], code)
+        own, context = word[self.first], before[self.first]
+        names, _, number, _ = flat.distinct(np.append(own, START))
+        self.start, self.word = number[-1], number[:-1]
+        self.context = np.where(context == START, self.start, self.word[self.pair[self.first - 1]])
+        home, bucket = deal.home(names), deal.bucket(own, code)
         self.by_home, self.by_bucket = np.argsort(home, kind="stable"), np.argsort(bucket, kind="stable")
         self.words, self.home, self.pairs, self.bucket = names[self.by_home], home[self.by_home], code[self.by_bucket], bucket[self.by_bucket]
 
@@ -700,7 +702,7 @@ def _asked(deal: Deal, block_at: int, text_at: int):
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray):
-    """Places of the wanted low bytes among keys (sorted by them), -1 where there are none."""
+    """Places of the wanted high bytes among keys (sorted by them), -1 where there are none."""
     if not len(keys):
         return np.full(len(wanted), -1)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -724,11 +726,7 @@ def _answered(single: bool):
 
     def run(asked: pa.Table, bucket: pa.Table) -> pa.Table:
         names, n, p0, back, code, own, *lone = load(bucket["blob"][0].as_buffer(), kinds) if len(bucket) else [np.zeros(0, k) for k in kinds.split()]
-        names, code = names & np.uint64((1 << 8 * _WORD_BYTES) - 1), code & np.uint64((1 << 8 * PAIR_BYTES) - 1)
-        order = np.argsort(names)
-        names, n, p0, back = names[order], n[order], p0[order], back[order]
-        order = np.argsort(code)
-        code, own = code[order], own[order]
+        names, code = names >> np.uint64(64 - 8 * _WORD_BYTES), code >> np.uint64(64 - 8 * PAIR_BYTES)
         n, p0, back, own = np.append(n, 0), np.append(p0, 0), np.append(back, np.float32(1)), np.append(own, 0)  # -1 reads the last
         lone = [_long(x, PAIR_BYTES) for x in lone]
         rows = []
@@ -757,7 +755,7 @@ def _score(held, text_at: int, names: list[str], kept: int):
         told = [load(answers["blob"][i].as_buffer(), "i8 f4 f4 u4 u1 u1 f4") for i in np.argsort(answers["dest"].to_numpy())]
         count, p0, back = (x.back(np.concatenate([t[k] for t in told]), x.by_home) for k in range(3))
         own = x.back(np.concatenate([_unparted(*t[3:]) for t in told]), x.by_bucket)
-        number, context = x.number[x.first], x.context[x.first]
+        number, context = x.word, x.context
         once = np.flatnonzero(own < 0)
         customers = np.where(context[once] == x.start, m.docs, count[context[once]])
         own[once] = (m.lone or 0.0) / (STRENGTH + customers)
@@ -768,7 +766,7 @@ def _score(held, text_at: int, names: list[str], kept: int):
         spelled, spelt = np.zeros(len(p)), np.zeros(len(count))
         at = 0
         for low, word, _, _, s, e in parts:  # each unknown word of the chunk once
-            own_number = x.number[at : at + len(word)]
+            own_number = x.word[x.pair[at : at + len(word)]]
             at += len(word)
             new, place = np.unique(own_number[count[own_number] == 0], return_index=True)
             if len(new):
@@ -817,7 +815,7 @@ def _scored(keyed: DataFrame, model: Model, keep: list[str], size: int, block: i
         own = placed.filter(F.col("__block") % passes == k).select("__t", "__block").repartition(-(-blocks // passes), "__block")
         asked = own.mapInArrow(flat.tidy(_asked(model.deal, 1, 0)), _ROW)
         told = asked.groupBy("dest").cogroup(model.buckets.select("dest", "blob").groupBy("dest")).applyInArrow(flat.trimmed(_answered(model.lone is not None)), _ROW)
-        part = flat.saved(told.withColumnRenamed("source", "__s").select(F.col("dest").alias("__block"), F.col("__s").alias("dest"), "blob"))
+        part = flat.saved(told.withColumnRenamed("source", "__s").select(F.col("dest").alias("__block"), F.col("__s").alias("dest"), "blob"), "zstd")
         answers = part if answers is None else answers.unionByName(part)
     flat.release(spark)
     fields = [T.StructField(x, T.LongType()) for x in OUTPUTS[:3]] + [T.StructField(x, T.DoubleType()) for x in OUTPUTS[3:]]
